@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probatum.llm import bpe, common, epsjoin, mixing, secrets, simhash, tokenfile, topk, toxicity
+from probatum.llm import bpe, common, epsjoin, licenses, mixing, secrets, simhash, suffix, tokenfile, topk, toxicity
 
 
 def _over(*names):
@@ -19,9 +19,11 @@ def queries() -> dict:
         "op1_secret_scan": _over("documents")(secrets.op1_secrets),
         "op2_source_mixing": _over("documents")(mixing.op2_mixing),
         "op3_toxicity": _over("documents", "labels")(toxicity.op3_toxicity),
+        "op4_suffix_dedup": _over("documents")(suffix.op4_suffix_dedup),
         "op5_embedding_dedup": _over("embeddings")(epsjoin.op5_near_embeddings),
         "op6_byte_bpe": _over("documents")(bpe.op6_byte_bpe),
         "op7_token_file": _over("documents")(tokenfile.op7_token_file),
+        "op8_license_scan": _over("documents")(licenses.op8_licenses),
         "op9_topk": _over("embeddings")(topk.op9_top_products),
         "op10_simhash": _over("documents")(simhash.op10_simhash),
     }

@@ -94,3 +94,78 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def op10_simhash(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` (16 lowercase hex digits) and ``component_id`` of every document."""
     return simhash_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by shingle similarity. A 64-bit fingerprint of shingles is too coarse for a similarity of 0.8, where it differs
+# in about nine bits, so candidates come from PRINTS fingerprints of the set of distinct words, cut into BANDS segments of
+# BAND_BITS bits; one word changed moves one of many votes, so some segment of near copies is within one bit.
+SHINGLE, SIMILAR, PRINTS, BANDS, BAND_BITS, MOST_BITS = 5, 0.8, 5, 10, 28, 64
+
+
+def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
+    """``prints`` fingerprints of the set of a text's words, by as many seeds."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * prints
+    out = []
+    for seed in range(prints):
+        hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED + seed)
+        bits = np.unpackbits(np.array([hashed(w) for w in words], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> set[int]:
+    """Hashes of the distinct ``words``-word shingles (fewer words: the whole sequence)."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))}
+
+
+def _printed(batches):
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": same, "prints": [word_prints(t) for t in texts]})
+
+
+def _verified(batches):
+    for pdf in batches:
+        got = []
+        for x, y in zip(pdf["text_u"], pdf["text_v"], strict=True):
+            a, b = shingles(x), shingles(y)
+            got.append(len(a & b) >= SIMILAR * len(a | b))
+        yield pdf.loc[got, ["u", "v"]]
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of every document whose words, or five-word shingles to 0.8 or more, others share.
+
+    Texts with equal words in order are one class. A class probes, per band, the Hamming ball of one bit around its segment;
+    each segment value holds its smallest and greatest member, so a bucket of n classes gives at most 2n candidates, never
+    all pairs. Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = written(known.mapInPandas(_printed, "doc_id long, same binary, prints array<long>"), "prints")
+    classes = marked.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    reps = written(marked.join(classes, (marked.same == classes.same) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "prints").dropDuplicates(["doc_id"]), "classes")
+    per, mask = 64 // BAND_BITS, (1 << BAND_BITS) - 1
+    bands = F.array(*[
+        F.shiftrightunsigned(F.get("prints", F.lit(i // per)), BAND_BITS * (i % per)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << BAND_BITS)) for i in range(BANDS)
+    ])
+    keyed = reps.select("doc_id", F.explode(bands).alias("key"))
+    index = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(BAND_BITS))]])
+    probes = keyed.select("doc_id", "key", F.explode(flips).alias("flip")).select("doc_id", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
+    met = probes.join(index.hint("shuffle_hash"), "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
+    pairs = written(met.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct(), "candidates")
+    left, right = reps.select(F.col("doc_id").alias("u"), F.col("prints").alias("pu")), reps.select(F.col("doc_id").alias("v"), F.col("prints").alias("pv"))
+    apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, x: a + x)
+    close = written(pairs.join(left, "u").join(right, "v").where(apart <= MOST_BITS).select("u", "v"), "close")
+    needed = close.select(F.col("u").alias("doc_id")).unionAll(close.select(F.col("v").alias("doc_id"))).distinct()
+    texts = written(known.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+    both = close.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    links = written(both.mapInPandas(_verified, "u long, v long"), "links")
+    copies = marked.join(classes, "same").where("doc_id <> rep").select(F.col("doc_id").alias("v"), F.col("rep").alias("u"))
+    comps = connected_components(links)
+    of_rep = copies.join(comps, copies.u == comps.node, "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("component_id"))
+    return of_rep.unionAll(comps.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")))

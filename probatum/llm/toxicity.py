@@ -7,7 +7,7 @@ count. The best term of each word gives the word's weight. Total weight, weight
 the number of different terms go into a logistic model that gives the score.
 
 Term weights are smoothed log-odds of document frequencies in labelled training rows (crc32 of the id modulo 3 is not
-1), the logistic model is fitted to features made with weights from the other half of those rows. Both use at most
+1), the logistic model is fitted to features made with weights from the other folds of those rows. Both use at most
 about ``SAMPLE`` training rows, chosen by a hash of the id. Score uses the text only.
 
 Null and empty texts have no terms and get the model's score for that. Without training rows of both classes every
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from probatum.llm.common import written
 
-SAMPLE, SUPPORT, SUPPORT_SHARE, LEAST_WEIGHT, LEAST_Z, CUT = 20_000, 4, 0.01, 2.5, 7.0, 0.7
+SAMPLE, SUPPORT, SUPPORT_SHARE, LEAST_WEIGHT, LEAST_Z, CUT, FOLDS = 20_000, 4, 0.01, 2.5, 7.0, 0.7, 4
 PREFIXES = range(4, 9)
 EXCEPTIONS = ("trash can", "clown fish", "pathetic fallacy", "class clown", "trash bag", "white trash bag")
 #: Look-alikes of Latin letters.
@@ -94,16 +94,16 @@ def features(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple
     return float(np.log1p(total)), float(np.log1p(100 * total / words)), max(w for w, _ in best.values()), float(np.log1p(len({t for _, t in best.values()})))
 
 
-def lexicon(counts: pd.DataFrame, halves: tuple[int, ...], rows: dict[tuple[int, int], int]) -> Lexicon:
-    """``counts (term, pos0, neg0, pos1, neg1)``; the terms that count by the rows of ``halves``."""
-    pos, neg = sum(counts[f"pos{h}"] for h in halves), sum(counts[f"neg{h}"] for h in halves)
-    n_pos, n_neg = sum(rows.get((h, 1), 0) for h in halves), sum(rows.get((h, 0), 0) for h in halves)
+def lexicon(counts: pd.DataFrame, folds: list[int], rows: dict[tuple[int, int], int]) -> Lexicon:
+    """``counts (term, pos0, neg0, pos1, neg1, ...)``; the terms that count by the rows of ``folds``."""
+    pos, neg = sum(counts[f"pos{h}"] for h in folds), sum(counts[f"neg{h}"] for h in folds)
+    n_pos, n_neg = sum(rows.get((h, 1), 0) for h in folds), sum(rows.get((h, 0), 0) for h in folds)
     weight = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    keep = (pos >= max(SUPPORT * len(halves) / 2, SUPPORT_SHARE * n_pos)) & (weight >= LEAST_WEIGHT) & (weight * np.sqrt(pos) >= LEAST_Z * np.sqrt(len(halves) / 2))
+    keep = (pos >= max(SUPPORT * len(folds) / FOLDS, SUPPORT_SHARE * n_pos)) & (weight >= LEAST_WEIGHT) & (weight * np.sqrt(pos) >= LEAST_Z * np.sqrt(len(folds) / FOLDS))
     return Lexicon(dict(zip(counts["term"][keep], weight[keep].astype(float), strict=True)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     """Coefficients, intercept first, by Newton steps on the penalised likelihood."""
     x = np.hstack([np.ones((len(x), 1)), x])
     b, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [penalty] * (x.shape[1] - 1))
@@ -136,46 +136,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = sample / max(1, marks.count())
     h = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    rows = marks.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))).withColumn("half", F.pmod(F.shiftright(h, 32), F.lit(2)).cast("int"))
-    rows = written(docs.select("doc_id", "text").join(rows, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "half"), "labelled")
-    n = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
-    if not (n.get((0, 1), 0) + n.get((1, 1), 0)) or not (n.get((0, 0), 0) + n.get((1, 0), 0)):
+    rows = marks.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))).withColumn("fold", F.pmod(F.shiftright(h, 32), F.lit(FOLDS)).cast("int"))
+    rows = written(docs.select("doc_id", "text").join(rows, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "fold"), "labelled")
+    n = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    n_pos, n_neg = (sum(n.get((fold, kind), 0) for fold in range(FOLDS)) for kind in (1, 0))
+    if not n_pos or not n_neg:
         return Model(Lexicon({}), None)
 
     def counted(which: int, only: frozenset | None):
         def count(batches):
-            seen = (Counter(), Counter())
+            seen = Counter()
             for pdf in batches:
-                for text, half in zip(pdf["text"], pdf["half"], strict=True):
-                    seen[half].update(terms_of(text) if only is None else terms_of(text) & only)
-                    if len(seen[0]) + len(seen[1]) > 500_000:
+                for text, fold in zip(pdf["text"], pdf["fold"], strict=True):
+                    seen.update((t, fold) for t in (terms_of(text) if only is None else terms_of(text) & only))
+                    if len(seen) > 500_000:
                         yield frame(seen)
-                        seen = (Counter(), Counter())
-            yield frame(seen)
+                        seen = Counter()
+            if seen:  # Spark 4.1 can't take a frame of strings without rows
+                yield frame(seen)
 
         def frame(seen):
-            return pd.DataFrame({"term": [*seen[0], *seen[1]], "half": [0] * len(seen[0]) + [1] * len(seen[1]), "n": [*seen[0].values(), *seen[1].values()]})
+            return pd.DataFrame({"term": [t for t, _ in seen], "fold": [f for _, f in seen], "n": list(seen.values())})
 
-        part = rows.where(F.col("toxic") == which).select("text", "half").mapInPandas(count, "term string, half int, n long")
+        part = rows.where(F.col("toxic") == which).select("text", "fold").mapInPandas(count, "term string, fold int, n long")
         name = "pos" if which else "neg"
-        return part.groupBy("term").agg(*[F.sum(F.when(F.col("half") == i, F.col("n")).otherwise(0)).alias(f"{name}{i}") for i in (0, 1)])
+        return part.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"{name}{i}") for i in range(FOLDS)])
 
-    n_pos = n.get((0, 1), 0) + n.get((1, 1), 0)
-    support = max(SUPPORT / 2, SUPPORT_SHARE * n_pos / 2)
-    pos = counted(1, None).where(f"pos0 + pos1 >= {support}").toPandas()
+    support = max(SUPPORT, SUPPORT_SHARE * n_pos) * (FOLDS - 1) / FOLDS
+    pos = counted(1, None).where(f"{' + '.join(f'pos{i}' for i in range(FOLDS))} >= {support}").toPandas()
     neg = counted(0, frozenset(pos["term"])).toPandas()
     counts = pos.merge(neg, on="term", how="left").fillna(0)
-    crossed = [lexicon(counts, (1,), n), lexicon(counts, (0,), n)]
+    crossed = [lexicon(counts, [f for f in range(FOLDS) if f != fold], n) for fold in range(FOLDS)]
 
     def featured(batches):
         autos = [x.automaton() for x in crossed]
         for pdf in batches:
-            got = np.array([features(t, autos[h]) for t, h in zip(pdf["text"], pdf["half"], strict=True)], dtype=float).reshape(-1, 4)
+            got = np.array([features(t, autos[h]) for t, h in zip(pdf["text"], pdf["fold"], strict=True)], dtype=float).reshape(-1, 4)
             yield pd.DataFrame({"toxic": pdf["toxic"], **{f"f{i}": got[:, i] for i in range(4)}})
 
     seen = rows.mapInPandas(featured, "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas()
     beta = fit_logistic(seen[[f"f{i}" for i in range(4)]].to_numpy(), seen["toxic"].to_numpy(dtype=float))
-    return Model(lexicon(counts, (0, 1), n), tuple(beta.tolist()))
+    return Model(lexicon(counts, list(range(FOLDS)), n), tuple(beta.tolist()))
 
 
 def score_column(model: Model):

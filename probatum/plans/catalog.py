@@ -1,11 +1,494 @@
-"""Every query over the driver's tables, with the SQL it is held against."""
+"""Every query over the driver's tables, with the SQL it is held against.
+
+``QUERIES`` maps a name to a function of (spark, sf_dir); ``SQL`` has the same result for DuckDB where SQL can express it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from probatum.functions import detectors, text
+from probatum.operators import compare, fulltext, report, scan, signal, study, verify
+from probatum.plans.fixtures import derived, duck, table
+from probatum.sources import bibtex, catalog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# --- verification
+
+def _records(spark, d):
+    return derived(spark, d, "records").withColumn("authors", F.array("family"))
+
+
+def _refs(spark, d):
+    return derived(spark, d, "refs").withColumn("authors", F.when(F.col("author") != "", F.array("author")).otherwise(F.array().cast("array<string>")))
+
+
+def _verified(spark, d):
+    refs, records = _refs(spark, d), _records(spark, d)
+    known = records.where("provider = 'crossref' and outcome = 'ok'").withColumn("plain", text.title(F.col("title")))
+    cited = refs.where(text.doi(F.col("doi")) == "").select("ref_id", text.title(F.col("title")).alias("plain")).where("plain <> ''")
+    exact = cited.join(known, "plain").select("ref_id", F.lit(1.0).alias("similarity"), "title", "year", "authors", "retraction")
+    return verify.verified(refs, records, derived(spark, d, "probes"), exact)
+
+
+_PLAIN = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_DOI = r"trim(regexp_replace(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^https?://(dx\.)?doi\.org/', '')), '(?i)^doi:\s*', ''))"
+_SCORE = """
+round(CASE WHEN w > 0 THEN s / w ELSE 0 END, 3)"""
+_JUDGE = """
+j AS (SELECT *,
+  (CASE existence WHEN 'pass' THEN 0.5::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.5::DOUBLE ELSE 0 END) + (CASE metadata WHEN 'pass' THEN 0.3::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.3::DOUBLE ELSE 0 END)
+  + (CASE retraction WHEN 'pass' THEN 0.1::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.1::DOUBLE ELSE 0 END) + (CASE url WHEN 'pass' THEN 0.1::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.1::DOUBLE ELSE 0 END) AS s,
+  (CASE WHEN existence <> 'unknown' THEN 0.5::DOUBLE ELSE 0 END) + (CASE WHEN metadata <> 'unknown' THEN 0.3::DOUBLE ELSE 0 END)
+  + (CASE WHEN retraction <> 'unknown' THEN 0.1::DOUBLE ELSE 0 END) + (CASE WHEN url <> 'unknown' THEN 0.1::DOUBLE ELSE 0 END) AS w FROM a),
+k AS (SELECT *, round(CASE WHEN w > 0 THEN s / w ELSE 0 END, 3) AS mean FROM j),
+l AS (SELECT *, CASE WHEN existence = 'error' THEN 'error' WHEN retraction = 'fail' THEN 'retracted' WHEN existence = 'fail' THEN 'not_found' WHEN existence = 'unknown' OR metadata = 'unknown' THEN 'unverifiable'
+  WHEN metadata IN ('warn', 'fail') OR retraction IN ('warn', 'fail') OR url IN ('warn', 'fail') OR retraction = 'unknown' THEN 'warnings' WHEN mean >= 0.8 THEN 'verified' ELSE 'warnings' END AS verdict FROM k),
+m AS (SELECT *, CASE verdict WHEN 'error' THEN NULL WHEN 'retracted' THEN least(mean, 0.1) WHEN 'not_found' THEN least(mean, 0.1) WHEN 'unverifiable' THEN least(mean, 0.4) WHEN 'warnings' THEN least(mean, 0.79) ELSE mean END AS capped FROM l),
+v AS (SELECT *, CASE WHEN url_cited AND url = 'unknown' THEN least(capped, 0.95) ELSE capped END::DOUBLE AS score FROM m)"""
+_VERIFY = f"""
+WITH rec AS (SELECT * FROM {duck("records")}),
+c AS (SELECT * FROM rec WHERE provider = 'crossref'), o AS (SELECT * FROM rec WHERE provider = 'openalex'), d AS (SELECT * FROM rec WHERE provider = 'datacite'),
+r AS (SELECT ref_id, {_DOI} AS doi, trim(title) AS title, year, author, url FROM {duck("refs")}),
+x AS (SELECT r.*, c.outcome AS co, o.outcome AS oo, d.outcome AS dox, c.retraction AS cr, o.retraction AS orr,
+  CASE WHEN r.doi = '' THEN NULL WHEN c.outcome = 'ok' THEN 'crossref' WHEN c.outcome = 'error' THEN 'error' WHEN o.outcome = 'ok' THEN 'openalex' WHEN o.outcome = 'error' THEN 'error'
+    WHEN d.outcome = 'ok' THEN 'datacite' WHEN d.outcome = 'error' THEN 'error' END AS hit,
+  coalesce(c.title, o.title, d.title, t.title) AS kt, coalesce(c.year, o.year, d.year, t.year) AS ky, coalesce(c.family, o.family, d.family, t.family) AS kf, t.title AS tt, t.retraction AS tr
+  FROM r LEFT JOIN c ON c.doi = r.doi LEFT JOIN o ON o.doi = r.doi LEFT JOIN d ON d.doi = r.doi
+  LEFT JOIN (SELECT * FROM rec WHERE provider = 'crossref' AND outcome = 'ok') t ON r.doi = '' AND {_PLAIN.format("r.title")} <> '' AND {_PLAIN.format("t.title")} = {_PLAIN.format("r.title")}),
+y AS (SELECT *, CASE WHEN doi <> '' THEN CASE WHEN hit = 'error' THEN 'error' WHEN hit IS NULL THEN 'fail' ELSE 'pass' END WHEN title <> '' AND tt IS NOT NULL THEN 'pass' ELSE 'unknown' END AS existence,
+  (hit IS NOT NULL AND hit <> 'error') OR tt IS NOT NULL AS has_record, CASE WHEN {_PLAIN.format("title")} = '' THEN 0.0 WHEN {_PLAIN.format("title")} = {_PLAIN.format("kt")} THEN 1.0 ELSE 0.0 END AS sim FROM x),
+a AS (SELECT y.ref_id, y.doi, y.existence, y.url <> '' AS url_cited,
+  CASE WHEN doi <> '' THEN CASE hit WHEN 'crossref' THEN 0.95 ELSE 0.9 END WHEN title = '' THEN 0.0 WHEN tt IS NULL THEN 0.3 ELSE 1.0 END::DOUBLE AS existence_confidence,
+  CASE WHEN NOT has_record THEN 'unknown' WHEN title <> '' AND sim < 0.6 THEN 'fail' WHEN title = '' AND author = '' THEN 'unknown'
+    WHEN year <> ky OR (author <> '' AND lower(CASE WHEN author LIKE '%,%' THEN split_part(author, ',', 1) ELSE split_part(author, ' ', -1) END) <> lower(kf)) THEN 'warn' ELSE 'pass' END AS metadata,
+  CASE WHEN doi <> '' THEN CASE WHEN (co = 'ok' AND cr IS NOT NULL) OR (oo = 'ok' AND orr IS NOT NULL) THEN 'fail' WHEN coalesce(co, '') <> 'ok' AND coalesce(oo, '') <> 'ok' THEN 'unknown' ELSE 'pass' END
+    WHEN tt IS NOT NULL THEN CASE WHEN tr IS NOT NULL THEN 'fail' ELSE 'pass' END ELSE 'unknown' END AS retraction,
+  CASE WHEN y.url = '' OR p.http_status IS NULL THEN 'unknown' WHEN p.http_status BETWEEN 200 AND 399 THEN 'pass' WHEN p.archived THEN 'warn' ELSE 'fail' END AS url
+  FROM y LEFT JOIN {duck("probes")} p ON p.url = y.url),
+{_JUDGE.strip()}
+"""
+_META_CONF = "CASE metadata WHEN 'unknown' THEN 0.0 WHEN 'fail' THEN 1.0 WHEN 'warn' THEN 0.6 ELSE (CASE WHEN has_title THEN 1.0 ELSE 0.8 END) END::DOUBLE"
+_VERIFY = _VERIFY.replace("y.url <> '' AS url_cited,", "y.url <> '' AS url_cited, y.title <> '' AS has_title,")
+
+
+@query(_VERIFY + f"SELECT ref_id, doi, existence, metadata, retraction, url, existence_confidence, {_META_CONF} AS metadata_confidence, score, verdict FROM v")
+def verify_verdicts(spark, d):
+    return _verified(spark, d)
+
+
+@query(_VERIFY + "SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
+def verify_tally(spark, d):
+    return report.tally(_verified(spark, d))
+
+
+@query(
+    _VERIFY
+    + "SELECT ref_id, verdict, CASE WHEN verdict IN ('error', 'not_found', 'retracted') THEN verdict ELSE 'metadata_mismatch' END AS reason FROM v WHERE verdict IN ('error', 'not_found', 'retracted') OR metadata = 'fail'"
+)
+def needs_attention(spark, d):
+    return report.attention(_verified(spark, d)).select("ref_id", "verdict", "reason")
+
+
+@query(
+    _VERIFY
+    + """SELECT count(*) AS total, count(*) FILTER (verdict <> 'error') AS verified, count(*) FILTER (verdict = 'error') AS errors,
+  count(*) FILTER (verdict IN ('not_found', 'retracted') OR metadata = 'fail') AS attention, CASE WHEN count(*) FILTER (verdict IN ('not_found', 'retracted') OR metadata = 'fail') > 0 THEN 1 ELSE 0 END AS exit_code FROM v"""
+)
+def bibliography_summary(spark, d):
+    return report.summary(_verified(spark, d))
+
+
+_FINDING = "CASE verdict WHEN 'verified' THEN 'supported' WHEN 'not_found' THEN 'refuted' WHEN 'retracted' THEN 'refuted' ELSE 'inconclusive' END"
+
+
+@query(_VERIFY + f"SELECT count(*) AS total, count(*) FILTER ({_FINDING} = 'supported') AS supported, count(*) FILTER ({_FINDING} = 'refuted') AS refuted, count(*) FILTER ({_FINDING} = 'inconclusive') AS inconclusive FROM v")
+def bibliography_rollup(spark, d):
+    return report.rolled_up(_verified(spark, d))
+
+
+@query(
+    """WITH a AS (SELECT existence, metadata, retraction, url, url_cited FROM (VALUES ('pass'), ('fail'), ('unknown')) e(existence), (VALUES ('pass'), ('warn'), ('fail'), ('unknown')) m(metadata),
+  (VALUES ('pass'), ('fail'), ('unknown')) r(retraction), (VALUES ('pass'), ('warn'), ('fail'), ('unknown')) u(url), (VALUES (true), (false)) c(url_cited)),"""
+    + _JUDGE
+    + " SELECT existence, metadata, retraction, url, url_cited, score, verdict FROM v"
+)
+def score_grid(spark, d):
+    def axis(name, values):
+        return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+
+    rows = spark.range(1).select(axis("existence", ("pass", "fail", "unknown")))
+    for name, values in (("metadata", ("pass", "warn", "fail", "unknown")), ("retraction", ("pass", "fail", "unknown")), ("url", ("pass", "warn", "fail", "unknown")), ("url_cited", (True, False))):
+        rows = rows.select("*", axis(name, values))
+    return verify.judged(rows, F.col("url_cited"))
+
+
+@query(f"SELECT ref_id, {_DOI} AS doi FROM {duck('refs')}")
+def doi_normalize(spark, d):
+    return derived(spark, d, "refs").select("ref_id", text.doi(F.col("doi")).alias("doi"))
+
+
+@query("""
+WITH n AS (SELECT s_suppkey, s_name || ' of Nation' || s_nationkey AS cited, ['Nation' || (s_suppkey % 5), 'Nation' || s_nationkey || ', ' || s_name] AS known FROM supplier)
+SELECT s_suppkey, lower(split_part(cited, ' ', -1)) AS surname, CASE WHEN list_contains(list_transform(known, lambda k: lower(trim(split_part(k, ',', 1)))), lower(split_part(cited, ' ', -1))) THEN 0.5 ELSE 0 END
+  + CASE WHEN list_contains(list_transform(known, lambda k: lower(trim(split_part(k, ',', 1)))), 'nobody') THEN 0.5 ELSE 0 END::DOUBLE AS overlap FROM n""")
+def surname_overlap(spark, d):
+    rows = table(spark, d, "supplier")
+    name, nation = F.col("s_name"), F.col("s_nationkey").cast("string")
+    cited = F.concat(name, F.lit(" of Nation"), nation)
+    known = F.array(F.concat(F.lit("Nation"), (F.col("s_suppkey") % 5).cast("string")), F.concat(F.lit("Nation"), nation, F.lit(", "), name))
+    return rows.select("s_suppkey", text.surname(cited).alias("surname"), text.author_overlap(F.array(cited, F.lit("Nobody")), known).alias("overlap"))
+
+
+@query()
+def title_search_top1(spark, d):
+    """The best title of at most five candidates (no Ratcliff-Obershelp in SQL; tested against difflib)."""
+    works = derived(spark, d, "works")
+    refs = works.where("work % 7 = 0").select(F.col("work").alias("ref_id"), F.concat_ws(" ", F.expr("substring_index(title, ' ', 3)"), F.lit("bt"), F.expr("substring_index(title, ' ', -2)")).alias("title"))
+    return verify.title_candidates(refs, works.select("doi", "title"), words=4)
+
+
+_RETRACT = f"""
+WITH rec AS (SELECT * FROM {duck("records")}), w AS (SELECT doi FROM {duck("works")})
+SELECT w.doi, (c.outcome = 'ok' AND c.outcome IS NOT NULL)::INT + (o.outcome = 'ok' AND o.outcome IS NOT NULL)::INT AS consulted,
+  CASE WHEN (c.outcome = 'ok' AND c.retraction IS NOT NULL) OR (o.outcome = 'ok' AND o.retraction IS NOT NULL) THEN 'fail' WHEN coalesce(c.outcome, '') <> 'ok' AND coalesce(o.outcome, '') <> 'ok' THEN 'unknown' ELSE 'pass' END AS retraction
+FROM w LEFT JOIN rec c ON c.provider = 'crossref' AND c.doi = w.doi LEFT JOIN rec o ON o.provider = 'openalex' AND o.doi = w.doi"""
+
+
+@query(_RETRACT)
+def retraction_crosscheck(spark, d):
+    rows = verify.looked_up(derived(spark, d, "works").select("doi"), _records(spark, d)).withColumn("record", F.lit(None).cast("struct<retraction:string>"))
+    return verify.with_retraction(rows, F.lit(True)).select("doi", "consulted", "retraction")
+
+
+@query("""SELECT page_id, CASE WHEN s IS NULL THEN 'unknown' WHEN s BETWEEN 200 AND 399 THEN 'pass' WHEN page_id % 2 = 0 THEN 'warn' ELSE 'fail' END AS url_status,
+  CASE WHEN s IS NULL THEN 0.2 WHEN s BETWEEN 200 AND 399 THEN 0.9 WHEN page_id % 2 = 0 THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 500 END AS s FROM pages) p""")
+def url_liveness(spark, d):
+    k = F.col("page_id") % 5
+    http = F.when(k == 0, 200).when(k == 1, 301).when(k == 2, 404).when(k == 3, 500)
+    archived = F.col("page_id") % 2 == 0
+    return table(spark, d, "pages").select("page_id", verify.url_status(http, archived).alias("url_status"), verify.url_confidence(http, archived).alias("confidence"))
+
+
+@query(f"""
+WITH loc AS (SELECT * FROM {duck("locations")}), w AS (SELECT work, CASE WHEN work % 29 = 0 THEN '10.48550/arXiv.' || work ELSE doi END AS doi FROM {duck("works")}),
+x AS (SELECT w.work, w.doi, CASE WHEN o.outcome = 'ok' THEN coalesce(nullif(o.pdf_url, ''), nullif(o.landing_url, '')) END AS ou, CASE WHEN u.outcome = 'ok' THEN coalesce(nullif(u.pdf_url, ''), nullif(u.landing_url, '')) END AS uu,
+  o.outcome = 'ok' AND o.is_oa AS oa, u.outcome = 'ok' AND u.is_oa AS ua, coalesce(o.outcome, 'absent') AS oo, coalesce(u.outcome, 'absent') AS uo, o.oa_status AS os, u.oa_status AS us, CASE WHEN w.work % 31 = 0 THEN 'https://resolver.example/' || w.work END AS ext
+  FROM w LEFT JOIN loc o ON o.provider = 'openalex' AND o.doi = w.doi LEFT JOIN loc u ON u.provider = 'unpaywall' AND u.doi = w.doi),
+y AS (SELECT *, coalesce(oa, false) AND ou IS NOT NULL AS by_oa, coalesce(ua, false) AND uu IS NOT NULL AS by_un, regexp_extract(doi, '(?i)^10\\.48550/arxiv\\.(.+)$', 1) AS ax FROM x),
+z AS (SELECT *, CASE WHEN by_oa THEN 'openalex' WHEN by_un THEN 'unpaywall' WHEN ax <> '' THEN 'arxiv' WHEN ext IS NOT NULL THEN 'external-resolver' ELSE '' END AS source, oo = 'error' OR (NOT by_oa AND uo = 'error') AS failed FROM y),
+q AS (SELECT *, source IN ('openalex', 'unpaywall', 'arxiv') OR coalesce(oa, false) AS is_oa FROM z)
+SELECT work AS ref_id, doi, is_oa, CASE source WHEN 'openalex' THEN os WHEN 'unpaywall' THEN us WHEN 'arxiv' THEN 'green' ELSE CASE WHEN failed AND NOT coalesce(oa, false) THEN 'unknown' WHEN oo = 'ok' THEN coalesce(nullif(os, ''), 'closed') ELSE '' END END AS oa_status,
+  CASE source WHEN 'openalex' THEN ou WHEN 'unpaywall' THEN uu WHEN 'arxiv' THEN 'https://arxiv.org/pdf/' || ax WHEN 'external-resolver' THEN ext ELSE '' END AS best_url, source,
+  concat_ws(',', CASE WHEN oo <> 'error' THEN 'openalex' END, CASE WHEN NOT by_oa AND uo <> 'error' THEN 'unpaywall' END) AS consulted,
+  CASE WHEN is_oa THEN 'oa' WHEN source = 'external-resolver' THEN 'external' WHEN failed THEN 'incomplete' ELSE 'none' END AS message FROM q""")
+def fulltext_cascade(spark, d):
+    works = derived(spark, d, "works").select(F.col("work").alias("ref_id"), F.when(F.col("work") % 29 == 0, F.concat(F.lit("10.48550/arXiv."), F.col("work"))).otherwise(F.col("doi")).alias("doi"))
+    resolver = works.where("ref_id % 31 = 0").select("doi", F.concat(F.lit("https://resolver.example/"), F.col("ref_id")).alias("url"))
+    return fulltext.located(works, derived(spark, d, "locations"), True, resolver)
+
+
+@query(f"SELECT r.ref_id AS ref_key, r.work FROM {duck('refs')} r WHERE NOT EXISTS (SELECT 1 FROM {duck('findings')} f WHERE f.ref_key = r.ref_id)")
+def resume_pending(spark, d):
+    refs = derived(spark, d, "refs").select(F.col("ref_id").alias("ref_key"), "work")
+    return study.pending(refs, derived(spark, d, "findings"))
+
+
+# --- comparison
+
+@query(f"SELECT split, substring(sha256(string_agg(item, chr(10) ORDER BY item)), 1, 12) AS split_id, count(*) AS n_items FROM {duck('splits')} GROUP BY split")
+def split_ids(spark, d):
+    return compare.split_ids(derived(spark, d, "splits"))
+
+
+@query(f"""WITH s AS (SELECT * FROM {duck("splits")})
+SELECT 'a' AS side, item FROM (SELECT item FROM s WHERE split = 'test' EXCEPT SELECT item FROM s WHERE split = 'test2') UNION ALL
+SELECT 'b', item FROM (SELECT item FROM s WHERE split = 'test2' EXCEPT SELECT item FROM s WHERE split = 'test')""")
+def split_diff(spark, d):
+    return compare.split_difference(derived(spark, d, "splits"), "test", "test2")
+
+
+@query("""SELECT * FROM (VALUES ('iou', '0.5', '0.3'), ('note', 'null', '(absent)'), ('unit', '(absent)', '"s"')) t(k, a_value, b_value)""")
+def criterion_diff(spark, d):
+    rows = [("strict", "iou", "0.5"), ("strict", "class", '"x"'), ("strict", "note", None), ("loose", "iou", "0.3"), ("loose", "class", '"x"'), ("loose", "unit", '"s"')]
+    return compare.criterion_difference(spark.createDataFrame(rows, "criterion string, k string, v string"), "strict", "loose")
+
+
+_PAIRS = f"""
+WITH arms AS (SELECT * FROM {duck("arms")}), met AS (SELECT * FROM {duck("metrics")}),
+p AS (SELECT a.task, a.name AS a, b.name AS b, a.split_id <> b.split_id AS s, a.split_id = b.split_id AND a.n_units <> b.n_units AS u, a.criterion <> b.criterion AS c,
+  a.provenance LIKE 'asserted%' OR a.provenance LIKE '%reconstructed%' OR b.provenance LIKE 'asserted%' OR b.provenance LIKE '%reconstructed%' AS asserted FROM arms a JOIN arms b ON a.task = b.task AND a.name < b.name)"""
+
+
+@query(_PAIRS + " SELECT p.task, p.a, p.b, asserted, x.value AS va, y.value AS vb, x.value - y.value AS delta FROM p JOIN met x ON x.name = p.a JOIN met y ON y.name = p.b WHERE NOT (s OR u OR c)")
+def compare_pairs(spark, d):
+    return compare.deltas(derived(spark, d, "arms"), derived(spark, d, "metrics"), "test", "f1")
+
+
+@query(_PAIRS + " SELECT task, a, b, concat_ws(',', CASE WHEN s THEN 'split' END, CASE WHEN u THEN 'n_units' END, CASE WHEN c THEN 'criterion' END) AS problems FROM p WHERE s OR u OR c")
+def compare_refused(spark, d):
+    return compare.refused(derived(spark, d, "arms"))
+
+
+_STEPS = [round(0.1 * i, 1) for i in range(1, 10)]
+_SWEEP = f"""
+WITH t AS (SELECT unnest([{", ".join(map(str, _STEPS))}]::DOUBLE[]) AS threshold),
+s AS (SELECT run, threshold, count(*) FILTER (score >= threshold AND truth = 1) AS tp, count(*) FILTER (score >= threshold AND truth = 0) AS fp, count(*) FILTER (score < threshold AND truth = 1) AS fn FROM {duck("scored")} x, t GROUP BY run, threshold),
+f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) END AS f1 FROM s)"""
+
+
+@query(_SWEEP + " SELECT run, threshold, tp, fp, fn, f1 FROM f")
+def threshold_sweep(spark, d):
+    return compare.threshold_sweep(derived(spark, d, "scored"), _STEPS).withColumns({c: F.col(c).cast("long") for c in ("tp", "fp", "fn")})
+
+
+@query(_SWEEP + """, b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f1 DESC, threshold) AS k, min(threshold) OVER (PARTITION BY run) AS lo, max(threshold) OVER (PARTITION BY run) AS hi FROM f)
+SELECT run, threshold AS best_at, f1 AS best_value, threshold > lo AND threshold < hi AS interior FROM b WHERE k = 1""")
+def sweep_interior(spark, d):
+    return compare.sweep_interior(compare.threshold_sweep(derived(spark, d, "scored"), _STEPS), "threshold", "f1")
+
+
+@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 1)")
+def leakage_by_group(spark, d):
+    rows = table(spark, d, "lineitem")
+    return compare.leaked_groups(rows.where("l_orderkey % 10 = 1"), rows.where("l_orderkey % 10 = 0"), "l_suppkey")
+
+
+@query("""WITH x AS (SELECT count(DISTINCT doc_id) / count(*)::DOUBLE AS a, count(DISTINCT lang) / count(*)::DOUBLE AS b, count(DISTINCT source) / count(*)::DOUBLE AS c FROM documents)
+SELECT 'doc_id' AS "column", round(a, 6) AS share, a > 0.5 AS suspicious FROM x UNION ALL SELECT 'lang', round(b, 6), b > 0.5 FROM x UNION ALL SELECT 'source', round(c, 6), c > 0.5 FROM x""")
+def label_guard(spark, d):
+    return compare.label_guard(table(spark, d, "documents"), ["doc_id", "lang", "source"])
+
+
+@query("""WITH r AS (SELECT l_returnflag AS metric, l_linenumber AS run, count(*) AS value FROM lineitem GROUP BY 1, 2),
+x AS (SELECT *, value - lag(value) OVER (PARTITION BY metric ORDER BY run) AS delta FROM r)
+SELECT metric, run, value, delta, coalesce(sign(delta) * sign(lag(delta) OVER (PARTITION BY metric ORDER BY run)) < 0, false) AS reversed FROM x""")
+def run_trajectory(spark, d):
+    runs = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric"), F.col("l_linenumber").alias("run")).agg(F.count("*").alias("value"))
+    return compare.trajectory(runs)
+
+
+@query("""WITH p AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT (SELECT sum(n) FROM p)::BIGINT AS sum_of_parts, (SELECT count(*) FROM documents) AS whole,
+  (SELECT count(*) FROM documents) = (SELECT sum(n) FROM p) AS holds, round((SELECT count(*) FROM documents WHERE lang = 'en')::DOUBLE / (SELECT count(*) FROM documents), 6) AS dropped_share""")
+def free_assertions(spark, d):
+    docs = table(spark, d, "documents")
+    by = docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
+    total = by.agg(F.sum("n").alias("sum_of_parts"), F.sum("en").alias("en"))
+    whole = docs.agg(F.count("*").alias("whole"))
+    return total.crossJoin(whole).select("sum_of_parts", "whole", (F.col("sum_of_parts") == F.col("whole")).alias("holds"), F.round(F.col("en") / F.col("whole"), 6).alias("dropped_share"))
+
+
+# --- scanner
+
+_NO_LOOK = ("email", "ssn", "hardcoded-credential", "jwt", "aws-access-key", "github-token", "private-key-block")
+_FREE = {x.label: x for x in detectors.DETECTORS}
+
+
+def _sql_hits(name, column, source, key):
+    p = _FREE[name].pattern.replace("'", "''").replace("\\s", "[\\s\\v]")
+    body = f"regexp_extract_all({column}, '{p}', {1 if _FREE[name].gate == 'group' else 0})"
+    cut = f"m[{_FREE[name].strip + 1}:]" if _FREE[name].gate == "strip" else "m"
+    return f"SELECT {key}, '{name}' AS label, unnest(regexp_extract_all({column}, '{p}', 0)) AS match, unnest({body}) AS m0 FROM {source}", cut, _FREE[name].gate
+
+
+def _sql_scan(column, source, key):
+    parts = []
+    for name in _NO_LOOK:
+        inner, cut, gate = _sql_hits(name, column, source, key)
+        ok = "true" if gate == "pii" else "NOT (length(trim(b, '''\"')) >= 6 AND len(list_distinct(string_split(trim(b, '''\"'), ''))) <= 2)"
+        parts.append(f"SELECT {key}, label, match FROM (SELECT *, {cut.replace('m', 'm0', 1)} AS b FROM ({inner}) i) j WHERE {ok}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_sql_scan("text", "documents", "doc_id"))
+def secret_hits(spark, d):
+    return scan.scanned(table(spark, d, "documents").select("doc_id", "text"), labels=_NO_LOOK)
+
+
+@query(_sql_scan("html", "pages", "page_id"))
+def pii_hits_pages(spark, d):
+    return scan.scanned(table(spark, d, "pages").select("page_id", "html"), "html", labels=_NO_LOOK)
+
+
+@query("""SELECT doc_id, regexp_matches(text, '(^|[^0-9])(?:\\+?1[\\s\\v.\\-]?)?\\(?[0-9]{3}\\)?[\\s\\v.\\-][0-9]{3}[\\s\\v.\\-][0-9]{4}([^0-9]|$)') AS us_phone,
+  regexp_matches(text, '(^|[^0-9])\\+[0-9]{7,15}([^0-9]|$)') AS intl_phone, regexp_matches(text, '(^|[^0-9])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}([^0-9]|$)') AS ipv4 FROM documents""")
+def lookaround_docs(spark, d):
+    marks = [F.col("text").rlike(_FREE[n].pattern).alias(n.replace("-", "_")) for n in ("us-phone", "intl-phone", "ipv4")]
+    return table(spark, d, "documents").select("doc_id", *marks)
+
+
+@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:[0-9][ \\-]?){13,19}\\b')) AS match FROM documents),
+x AS (SELECT doc_id, match, list_reverse(string_split(regexp_replace(match, '[^0-9]', '', 'g'), '')) AS r FROM m)
+SELECT doc_id, match FROM x WHERE len(r) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN r[i]::INT WHEN r[i]::INT * 2 > 9 THEN r[i]::INT * 2 - 9 ELSE r[i]::INT * 2 END)) % 10 = 0""")
+def card_luhn(spark, d):
+    return scan.scanned(table(spark, d, "documents").select("doc_id", "text"), labels=("credit-card",)).select("doc_id", "match")
+
+
+@query()
+def scanner_all(spark, d):
+    """All detectors over three tables, with an allow list (look-around and Unicode shapes have no RE2 form)."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("source"), F.col(k).alias("id"), F.col(c).alias("text")) for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text"))]
+    return scan.scanned(parts[0].unionAll(parts[1]).unionAll(parts[2]), allowed=("example.com", "127.0.0.1"))
+
+
+@query("""SELECT c_custkey, length(b) >= 6 AND len(list_distinct(string_split(b, ''))) <= 2 AS placeholder, regexp_matches(b, '[0-9]') AND regexp_matches(b, '[A-Za-z]') AS entropy
+FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN repeat('x', (c_custkey % 9)::INT) WHEN 1 THEN c_name ELSE c_mktsegment END AS b FROM customer) t""")
+def placeholder_gate(spark, d):
+    k = F.col("c_custkey") % 3
+    body = F.when(k == 0, F.repeat(F.lit("x"), (F.col("c_custkey") % 9).cast("int"))).when(k == 1, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", body.alias("b")).select("c_custkey", detectors.is_placeholder(F.col("b")).alias("placeholder"), detectors.has_entropy(F.col("b")).alias("entropy"))
+
+
+@query("""SELECT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)) AS target FROM pages) t WHERE NOT regexp_matches(target, '^(https?:|mailto:|#)')""")
+def link_extract(spark, d):
+    return scan.links(table(spark, d, "pages").select("page_id", "html"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, substring(sha256(text), 1, 16) || '.bin' AS path FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def content_archive(spark, d):
+    return scan.archive(table(spark, d, "documents"), "text")
+
+
+# --- signal
+
+_EPOCH = f"""
+WITH e AS (SELECT s.recording, t.t AS event_t, channel, s.t - t.t AS lag, amp FROM {duck("triggers")} t JOIN {duck("samples")} s ON s.t BETWEEN t.t - 5 AND t.t + 15),
+b AS (SELECT *, amp - coalesce(avg(CASE WHEN lag <= 0 THEN amp END) OVER (PARTITION BY recording, event_t, channel), 0) AS adj FROM e),
+v AS (SELECT recording, channel, floor(lag / 2)::BIGINT AS lag_step, avg(adj) AS amp, count(*) AS n FROM b GROUP BY 1, 2, 3)"""
+
+
+def _evoked(spark, d):
+    rows = signal.baseline_corrected(signal.epochs(derived(spark, d, "samples"), derived(spark, d, "triggers"), -5.0, 15.0))
+    return signal.averaged(rows, 2.0)
+
+
+@query(_EPOCH + " SELECT recording, channel, lag_step, round(amp, 6) AS amp, n FROM v")
+def epoch_average(spark, d):
+    return _evoked(spark, d).withColumn("amp", F.round("amp", 6))
+
+
+@query(_EPOCH + " SELECT recording, channel, lag_step, amp, n FROM (SELECT recording, channel, lag_step, round(amp, 6) AS amp, n, row_number() OVER (PARTITION BY recording ORDER BY abs(round(amp, 6)) DESC, lag_step, channel) AS k FROM v WHERE lag_step BETWEEN 0 AND 6) WHERE k = 1")
+def epoch_peak(spark, d):
+    return signal.peak(_evoked(spark, d).withColumn("amp", F.round("amp", 6)), 0, 6)
+
+
+@query(f"SELECT recording, code, n FROM (SELECT recording, code, count(*) AS n, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, min(t), code) AS k FROM {duck('triggers')} GROUP BY 1, 2) WHERE k = 1")
+def trigger_mode(spark, d):
+    return signal.modal_code(derived(spark, d, "triggers"))
+
+
+@query("""WITH s AS (SELECT user_id AS recording, event_id::DOUBLE AS t, (value > 50)::INT AS code FROM events), x AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY recording ORDER BY t), 0) AS b FROM s) SELECT recording, t, code FROM x WHERE code > b""")
+def trigger_edges(spark, d):
+    return signal.rising_edges(table(spark, d, "events").select(F.col("user_id").alias("recording"), F.col("event_id").cast("double").alias("t"), (F.col("value") > 50).cast("int").alias("code")))
+
+
+_LATENCIES = "(SELECT i, CASE WHEN i % 41 = 0 THEN NULL ELSE i * 2.5 END::DOUBLE AS latency_ms, CASE WHEN i % 7 = 0 THEN NULL ELSE 1.0 END::DOUBLE AS amplitude, (i % 20)::INT AS n_epochs FROM range(121) t(i))"
+
+
+@query(f"""
+WITH x AS (SELECT *, CASE WHEN latency_ms IS NULL THEN 'no_peak' WHEN latency_ms BETWEEN 80 AND 120 THEN 'supported' WHEN latency_ms <= 70 THEN 'p50_ambiguous' WHEN latency_ms BETWEEN 170 AND 215 THEN 'p200_ambiguous'
+  WHEN latency_ms > 215 THEN 'refutable' WHEN latency_ms < 80 THEN 'off_window_early' ELSE 'off_window_late' END AS zone, coalesce(least(abs(latency_ms - 30), abs(latency_ms - 235)) <= 1, false) AS edge FROM {_LATENCIES} l),
+y AS (SELECT *, CASE WHEN edge AND zone <> 'supported' THEN 'inconclusive' WHEN zone = 'supported' THEN 'supported' WHEN zone = 'refutable' THEN 'refuted' ELSE 'inconclusive' END AS first FROM x)
+SELECT i, zone, CASE WHEN first = 'refuted' AND (n_epochs < 8 OR amplitude IS NULL) THEN 'inconclusive' ELSE first END AS verdict,
+  concat_ws(',', CASE WHEN edge THEN 'boundary_hit' END, CASE WHEN zone LIKE '%ambiguous' THEN 'component_ambiguous' END, CASE WHEN n_epochs < 8 THEN 'low_evidence' END) AS caveats FROM y""")
+def latency_zones(spark, d):
+    i = F.col("id")
+    rows = spark.range(121).select(
+        i.alias("i"), F.when(i % 41 != 0, i * 2.5).alias("latency_ms"), F.when(i % 7 != 0, F.lit(1.0)).alias("amplitude"), (i % 20).cast("int").alias("n_epochs"),
+        F.lit(30.0).alias("search_lo_ms"), F.lit(235.0).alias("search_hi_ms"), F.lit(80.0).alias("window_lo"), F.lit(120.0).alias("window_hi"),
+    )
+    return signal.finding(rows).select("i", "zone", "verdict", F.array_join("caveats", ",").alias("caveats"))
+
+
+@query()
+def golden_signal(spark, d):
+    """A planted peak at 100 ms, found and judged (the generator has no SQL form; tested against its plan)."""
+    samples, triggers = signal.synthetic(spark)
+    rows = signal.baseline_corrected(signal.epochs(samples, triggers))
+    evoked = signal.averaged(rows.withColumn("lag", F.round("lag", 6)), 0.001)
+    return signal.peak(evoked, 30, 235).select("channel", F.col("lag_step").alias("latency_ms"), F.round("amp", 3).alias("amp"), "n")
+
+
+# --- catalogue, bibliography, studies
+
+@query("""SELECT 'ds' || lpad(page_id::VARCHAR, 6, '0') AS id, '1.0.' || (page_id % 3) AS latest_tag, length(html)::BIGINT AS size, CASE WHEN page_id % 2 = 0 THEN 'meg,mri' ELSE 'eeg' END AS modalities FROM pages WHERE page_id % 7 <> 0""")
+def dataset_catalogue(spark, d):
+    i = F.col("page_id")
+    snap = F.struct(F.concat(F.lit("1.0."), i % 3).alias("tag"), F.length("html").alias("size"), F.struct(F.when(i % 2 == 0, F.array(F.lit("meg"), F.lit("mri"))).otherwise(F.array(F.lit("eeg"))).alias("modalities")).alias("summary"))
+    node = F.when(i % 7 != 0, F.struct(F.concat(F.lit("ds"), F.lpad(i.cast("string"), 6, "0")).alias("id"), snap.alias("latestSnapshot")))
+    bodies = table(spark, d, "pages").select(F.to_json(F.struct(node.alias("dataset"))).alias("body"))
+    return catalog.datasets(bodies).select("id", "latest_tag", "size", F.array_join("modalities", ",").alias("modalities"))
+
+
+@query("""SELECT 'ds' || (page_id % 10) AS dataset, '1.0.' || (page_id % 3) AS tag, 'page-' || page_id AS filename, length(url)::BIGINT AS size, url FROM pages WHERE page_id % 3 = 1""")
+def dataset_files(spark, d):
+    i = F.col("page_id")
+    entry = F.struct(F.concat(F.lit("page-"), i).alias("filename"), F.length("url").alias("size"), F.array("url").alias("urls"))
+    rows = table(spark, d, "pages").groupBy(F.concat(F.lit("ds"), i % 10, F.lit(":1.0."), i % 3).alias("id")).agg(F.collect_list(entry).alias("files"))
+    latest = spark.range(10).select(F.concat(F.lit("ds"), F.col("id")).alias("id"), F.lit("1.0.1").alias("latest_tag"))
+    return catalog.files(rows.select(F.to_json(F.struct(F.struct("id", "files").alias("snapshot"))).alias("body")), latest)
+
+
+@query("SELECT (i - 1)::INT AS position, 'ds' || i AS id FROM range(1, 21) t(i) WHERE i % 4 <> 0")
+def dataset_listing(spark, d):
+    edges = F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.struct(F.struct(F.when(i % 4 != 0, F.concat(F.lit("ds"), i)).alias("id")).alias("node")))
+    return catalog.listed(spark.range(1).select(F.to_json(F.struct(F.struct(edges.alias("edges")).alias("datasets"))).alias("body")))
+
+
+@query(f"""SELECT 'p' || work AS path, 'Trials of ' || work AS title, 'Author' || (work % 50) || ', Given|Other Person' AS authors, year, '10.5555/' || work AS doi FROM {duck("works")}""")
+def bibtex_parse(spark, d):
+    w = F.col("work").cast("string")
+    body = F.concat(F.lit("@article{key"), w, F.lit(",\n  title = {{Trials} of "), w, F.lit("},\n  author = \"Author"), F.col("work") % 50, F.lit(", Given and Other Person\",\n  year = "), F.col("year"), F.lit(",\n doi={https://doi.org/10.5555/"), w, F.lit("}\n}\n@comment{none}"))
+    files = derived(spark, d, "works").select(F.concat(F.lit("p"), w).alias("path"), body.alias("text"))
+    return bibtex.parse_bibtex(files).select("path", "title", F.array_join("authors", "|").alias("authors"), "year", "doi")
+
+
+@query(f"SELECT ref_id, '10.5555/' || work AS doi FROM {duck('refs')} WHERE ref_id % 4 <> 0")
+def doi_list_parse(spark, d):
+    rows = derived(spark, d, "refs")
+    line = F.when(F.col("ref_id") % 4 == 0, F.lit("# none")).otherwise(F.concat(F.lit("  doi: 10.5555/"), F.col("work")))
+    out = bibtex.parse_dois(rows.select(F.col("ref_id").alias("path"), F.concat(F.lit("\n"), line, F.lit("\n\nnothing here\n")).alias("text")))
+    return out.select(F.col("path").alias("ref_id"), "doi")
+
+
+@query("SELECT l_returnflag AS status, count(*) AS n FROM lineitem GROUP BY 1")
+def study_status(spark, d):
+    return report.tally(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "status"), "status")
+
+
+@query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 50")
+def study_recent(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).orderBy(F.desc("conv_id")).limit(50)
+
+
+@query("""SELECT event_id, '{"success":true,"event_id":' || event_id || ',"level":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 10)::VARCHAR || '.5' END || '}' AS json FROM events""")
+def strict_json(spark, d):
+    e = F.col("event_id")
+    level = F.when(e % 3 == 0, F.lit(float("nan"))).otherwise((e % 10) + 0.5)
+    rows = table(spark, d, "events").select("event_id", level.alias("level"))
+    return report.envelopes(rows).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "json")

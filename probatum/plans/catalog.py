@@ -169,7 +169,7 @@ def title_search_top1(spark, d):
     """The best title of at most five candidates (no Ratcliff-Obershelp in SQL; tested against difflib)."""
     works = derived(spark, d, "works")
     refs = works.where("work % 7 = 0").select(F.col("work").alias("ref_id"), F.concat_ws(" ", F.expr("substring_index(title, ' ', 3)"), F.lit("bt"), F.expr("substring_index(title, ' ', -2)")).alias("title"))
-    return verify.title_candidates(refs, works.select("doi", "title"), words=4)
+    return verify.title_candidates(refs, works.select("doi", "title"), words=3)
 
 
 _RETRACT = f"""
@@ -344,9 +344,9 @@ def lookaround_docs(spark, d):
 
 @query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:[0-9][ \\-]?){13,19}\\b')) AS match FROM documents),
 x AS (SELECT doc_id, match, list_reverse(string_split(regexp_replace(match, '[^0-9]', '', 'g'), '')) AS r FROM m)
-SELECT doc_id, match FROM x WHERE len(r) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN r[i]::INT WHEN r[i]::INT * 2 > 9 THEN r[i]::INT * 2 - 9 ELSE r[i]::INT * 2 END)) % 10 = 0""")
+SELECT doc_id, trim(match) AS match FROM x WHERE len(r) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i % 2 = 1 THEN r[i]::INT WHEN r[i]::INT * 2 > 9 THEN r[i]::INT * 2 - 9 ELSE r[i]::INT * 2 END)) % 10 = 0""")
 def card_luhn(spark, d):
-    return scan.scanned(table(spark, d, "documents").select("doc_id", "text"), labels=("credit-card",)).select("doc_id", "match")
+    return scan.scanned(table(spark, d, "documents").select("doc_id", "text"), labels=("credit-card",)).select("doc_id", F.trim("match").alias("match"))
 
 
 @query()

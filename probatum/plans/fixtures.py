@@ -27,8 +27,7 @@ SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_partkey AS work,
   CAST(CASE WHEN l_orderkey % 7 = 3 THEN 1981 + p_size WHEN l_orderkey % 7 = 5 THEN NULL ELSE 1980 + p_size END AS INT) AS year,
   CASE WHEN l_orderkey % 9 = 4 THEN 'Somebody, Else' WHEN l_orderkey % 9 = 5 THEN '' ELSE concat('Given ', 'Author', p_partkey % 50) END AS author,
   CASE WHEN l_orderkey % 4 = 1 THEN concat('https://example.org/', l_orderkey % 8) ELSE '' END AS url
-FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
-WHERE l_orderkey % 3 = 0
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM {lineitem} WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber) li JOIN {part} ON p_partkey = l_partkey
 """
 PROBES = """
 SELECT concat('https://example.org/', k) AS url, CAST(CASE WHEN k = 1 THEN 200 WHEN k = 5 THEN 404 END AS INT) AS http_status, k = 5 AND k % 2 = 0 AS archived

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probatum.sources.shipping import ship
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
@@ -32,7 +35,14 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files that no plan holds any more, which it does only after garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -25,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.common import written
+from probatum.llm.common import forget, release, written
 
 LENGTH, GRAM, HOT, BLOCK, BATCH = 400, 128, 20_000, 16, 8192
 _POSITION_BITS = np.uint64(28)
@@ -96,14 +96,16 @@ def _anchor_rows(length: int, gram: int):
                 h, p, lo, hi = anchors(raw, ends, length, gram)
                 doc = np.searchsorted(ends, lo, side="right")
                 base = np.concatenate([[0], ends])[doc]
-                yield pd.DataFrame({"blob": [blobs[at + d] for d in doc], "hash": h.view(np.int64), "p": p - base, "lo": lo - base, "hi": hi - base})
+                if len(doc):  # Spark 4.1 can't take a frame of binaries without rows
+                    yield pd.DataFrame({"blob": [blobs[at + d] for d in doc], "hash": h.view(np.int64), "p": p - base, "lo": lo - base, "hi": hi - base})
                 at = to
 
     return rows
 
 
-def _context_rows(length: int, block: int | None):
-    """The contexts of each document's candidate anchors, whole or (for hot hashes) by blocks of windows."""
+def _tag_rows(length: int, block: int | None):
+    """Where the contexts of each document's candidate anchors lie, with a digest; whole, or (for hot hashes) by blocks of windows."""
+    columns = ["blob", "copies", "first", "left", "size", "key", "tag"]
 
     def rows(batches):
         for pdf in batches:
@@ -121,17 +123,34 @@ def _context_rows(length: int, block: int | None):
                             key = xxhash.xxh3_64_intdigest(core + h.to_bytes(8, "little", signed=True) + b.to_bytes(4, "little"))
                             parts.append((key - (1 << 64) if key >> 63 else key, max(lo, p - block * (b + 1) + 1), min(hi, p - block * b)))
                     for key, first, last in parts:
-                        left, right = raw[first:p], raw[p : last + length]
-                        tag = xxhash.xxh3_128_digest(left + right + key.to_bytes(8, "little", signed=True) + len(left).to_bytes(4, "little"))
-                        out.append((blob, copies, first, key, tag, left, right))
+                        tag = xxhash.xxh3_128_digest(raw[first : last + length] + key.to_bytes(8, "little", signed=True) + (p - first).to_bytes(4, "little"))
+                        out.append((blob, copies, first, p - first, last + length - first, key, tag))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["blob", "copies", "first", "key", "tag", "left", "right"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=["blob", "copies", "first", "key", "tag", "left", "right"])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return rows
 
 
+def _byte_rows(batches):
+    """The bytes before and after the anchor of each wanted context."""
+    columns = ["key", "tag", "copies", "left", "right"]
+    for pdf in batches:
+        out = []
+        for text, wants in zip(pdf["text"], pdf["wants"], strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            for w in wants:
+                first, p = w["first"], w["first"] + w["left"]
+                out.append((w["key"], w["tag"], w["copies"], raw[first:p], raw[p : first + w["size"]]))
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+
 def induced(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Which windows repeat inside groups of contexts that come ordered by group and right part.
 
@@ -200,13 +219,13 @@ def _repeats(length: int):
                 both = pd.concat(held, ignore_index=True)
                 open_ = both["key"] == both["key"].iloc[-1]  # the last group may go on
                 if not open_.all():
-                    yield ranges(both[~open_])
+                    yield from ranges(both[~open_])
                     both = both[open_]
                 held = [both]
         if held:
-            yield ranges(pd.concat(held, ignore_index=True))
+            yield from ranges(pd.concat(held, ignore_index=True))
 
-    def ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ranges(pdf: pd.DataFrame):
         group = pd.factorize(pdf["key"])[0]
         lefts, rights = pdf["left"].tolist(), pdf["right"].tolist()
         flags = induced(group, lefts, rights, length)
@@ -218,7 +237,8 @@ def _repeats(length: int):
         i, lo = np.nonzero(edge == 1)
         _, hi = np.nonzero(edge == -1)
         tags = pdf["tag"].to_numpy()
-        return pd.DataFrame({"tag": tags[i], "a": left_n[i] - (hi - 1), "b": left_n[i] - lo + length})  # bytes from the context's start
+        if len(i):
+            yield pd.DataFrame({"tag": tags[i], "a": left_n[i] - (hi - 1), "b": left_n[i] - lo + length})  # bytes from the context's start
 
     return found
 
@@ -238,40 +258,67 @@ def _cut(pdf_batches):
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``blob, n_removed, n_spans, kept`` (bytes) of each text with repeats; ``blob`` is the SHA-256 of a text."""
+    """``blob, n_removed, n_spans, kept`` (bytes) of each text with repeats; ``blob`` is 16 bytes of the text's SHA-256."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.unhex(F.sha2("text", 256)))
+    rows = rows.withColumn("blob", blob_of(F.col("text")))
     long_ = rows.where(F.octet_length("text") >= length)
     marks = written(long_.select("blob", "text").mapInPandas(_anchor_rows(length, gram), "blob binary, hash long, p int, lo int, hi int"), "anchors")
     often = marks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     shared = marks.join(often, "hash").groupBy("blob").agg(F.collect_set(F.struct("hash", "p", "lo", "hi")).alias("marks")).withColumnRenamed("blob", "b")
     reps = long_.groupBy("blob").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    wanted = shared.join(reps, shared.b == reps.blob).select("b", "rep", "copies", "marks").hint("shuffle_hash")
-    texts = written(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b"))).select("blob", "text", "copies", "marks"), "texts")
+    wanted = written(shared.join(reps, shared.b == reps.blob).select("b", "rep", "copies", "marks"), "wanted")
+    forget(marks)
+    release(spark)
+    texts = written(
+        rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("blob") == F.col("b"))).select("blob", "text", "copies", "marks"), "texts"
+    )
+    forget(wanted)
+    release(spark)
     texts = texts.dropDuplicates(["blob"]) if _repeated(texts) else texts
-    schema = "blob binary, copies long, first int, key long, tag binary, left binary, right binary"
-    contexts = written(texts.mapInPandas(_context_rows(length, None), schema), "contexts")
+    tags, crowded = _tagged(texts, length, None, hot)
+    spans = _spans(texts, tags.join(crowded, "key", "left_anti") if crowded else tags, length)
+    if crowded:
+        keys = crowded.select(F.col("key").alias("hash"))
+        again = texts.select("blob", F.explode("marks").alias("m")).join(keys, F.col("m.hash") == F.col("hash"), "left_semi")
+        again = again.groupBy("blob").agg(F.collect_list("m").alias("marks")).join(texts.drop("marks"), "blob")
+        spans = spans.unionAll(_spans(texts, _tagged(again, length, BLOCK, None)[0], length))
+    spans = written(spans.groupBy("blob").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    release(spark)
+    return texts.select("blob", "text").join(spans.hint("shuffle_hash"), "blob").mapInPandas(_cut, "blob binary, n_removed long, n_spans long, kept binary")
 
-    def sorted_once(contexts):
-        return contexts.groupBy("key", "tag", "left", "right").agg(F.sum("copies").alias("copies"))
 
-    once = written(sorted_once(contexts), "once")
-    crowded = written(once.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
-    parts = [(contexts, once)]
-    if crowded.take(1):
-        keys = crowded.select(F.col("key").alias("hash"))
-        again = texts.select("blob", "text", "copies", F.explode("marks").alias("m")).join(keys, F.col("m.hash") == F.col("hash"), "left_semi")
-        again = again.groupBy("blob").agg(F.collect_list("m").alias("marks")).join(texts.select("blob", "text", "copies"), "blob").select("blob", "text", "copies", "marks")
-        blocks = written(again.mapInPandas(_context_rows(length, BLOCK), schema), "blocks")
-        parts = [(contexts.join(crowded, "key", "left_anti"), once.join(crowded, "key", "left_anti")), (blocks, written(sorted_once(blocks), "once"))]
-    spans = None
-    for contexts, once in parts:
-        shard = once.repartition("key").sortWithinPartitions("key", "right")
-        found = written(shard.mapInPandas(_repeats(length), "tag binary, a int, b int"), "ranges")
-        got = contexts.select("blob", "first", "tag").join(found, "tag").select("blob", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-        spans = got if spans is None else spans.unionAll(got)
-    spans = spans.groupBy("blob").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return texts.select("blob", "text").join(spans, "blob").mapInPandas(_cut, "blob binary, n_removed long, n_spans long, kept binary")
+def blob_of(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _tagged(texts: DataFrame, length: int, block: int | None, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """The contexts' places and digests; the keys with more than ``hot`` different contexts, if any."""
+    schema = "blob binary, copies long, first int, left int, size int, key long, tag binary"
+    tags = written(texts.select("blob", "copies", "text", "marks").mapInPandas(_tag_rows(length, block), schema), "tags")
+    if hot is None:
+        return tags, None
+    crowded = written(tags.select("key", "tag").distinct().groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
+    return tags, (crowded if crowded.take(1) else None)
+
+
+def _spans(texts: DataFrame, tags: DataFrame, length: int) -> DataFrame:
+    """``blob, a, b``: the bytes that repeated windows cover.
+
+    A context that is alone under its key is sorted as it stands: its windows repeat if it has copies. The bytes of one copy
+    of each other context go to its key's shard.
+    """
+    place = F.struct("blob", "first", "left", "size")
+    once = tags.groupBy("key", "tag").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
+    once = written(once, "once")
+    mixed = once.groupBy("key").count().where("count > 1").select("key")
+    alone = once.join(mixed, "key", "left_anti").where("copies > 1").select("tag", F.lit(0).alias("a"), F.col("at.size").alias("b"))
+    wants = once.join(mixed, "key").groupBy("at.blob").agg(F.collect_list(F.struct("key", "tag", "copies", "at.first", "at.left", "at.size")).alias("wants"))
+    suffixes = texts.select("blob", "text").join(wants.hint("shuffle_hash"), "blob").mapInPandas(_byte_rows, "key long, tag binary, copies long, left binary, right binary")
+    shard = suffixes.repartition("key").sortWithinPartitions("key", "right")
+    found = written(shard.mapInPandas(_repeats(length), "tag binary, a int, b int"), "ranges")
+    release(texts.sparkSession)
+    return tags.select("blob", "first", "tag").join(found.unionAll(alone), "tag").select("blob", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
 def _repeated(texts: DataFrame) -> bool:
@@ -283,8 +330,8 @@ def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     gone = removed(docs).select(F.col("blob"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
-    every = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("blob"))
+    every = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("whole")).withColumn("blob", F.substring("whole", 1, 16))
     none = F.lit(0).cast("long")
     return every.join(gone, "blob", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("blob"))).alias("kept_sha256")
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("whole"))).alias("kept_sha256")
     )

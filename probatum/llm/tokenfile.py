@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,26 +33,53 @@ VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS =
 
 
 class LibraryCache(dict):
-    """Ids of pieces, encoded by the library in batches."""
+    """The serialized ids of pieces, encoded by the library in batches.
+
+    A space and letters are always a piece of their own, so such pieces are given to the library many to a text and its word
+    numbers tell their ids apart.
+    """
+
+    TOGETHER = 128
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def learn(self, pieces: list[str]) -> None:
+        plain, other = [], []
+        for p in pieces:
+            (plain if p[0] == " " and p[1:2].isalpha() else other).append(p)
+        size = self.kind.itemsize
+        groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, e in zip(part, self.tokenizer.encode_batch(["".join(g) for g in part], add_special_tokens=False), strict=True):
+                word = np.array(e.word_ids, dtype=np.int64)
+                starts = np.flatnonzero(np.diff(word, prepend=-1))
+                if len(starts) != len(group):
+                    other += group
+                    continue
+                raw, cuts = np.array(e.ids, dtype=self.kind).tobytes(), (starts * size).tolist()
+                self.update(zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            self.update(zip(part, (np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
     def encode_batch(self, texts: list):
+        """The serialized ids of each text, one text after another."""
         for run in in_chunks(texts):
             if len(self) > CACHE:
                 self.clear()
             pieces, firsts = pieces_of(run)
-            new = list({p for p in pieces if p not in self})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                self.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            got = list(map(self.__getitem__, pieces))
+            got = list(map(self.get, pieces))
+            if None in got:
+                self.learn(list({p for p, x in zip(pieces, got, strict=True) if x is None}))
+                got = list(map(self.__getitem__, pieces))
             for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-                yield list(chain.from_iterable(got[a:b]))
+                yield b"".join(got[a:b])
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,14 +90,8 @@ def library(path: str) -> LibraryCache:
     return LibraryCache(path)
 
 
-def serialized(ids: list[int]) -> bytes:
-    """Two bytes an id where all fit, after a byte that says so."""
-    wide = np.array(ids, dtype="<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + wide.tobytes()
-
-
-def restored(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u2" if raw[0] == 2 else "<u4", offset=1).astype("<u4")
+def end_of(lib: LibraryCache) -> bytes:
+    return np.array([END], dtype=lib.kind).tobytes()
 
 
 def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> bytes:
@@ -79,8 +99,9 @@ def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> by
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("zstd")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, samples / max(1, n)))).limit(2 * samples)
 
     def serialize(batches):
+        lib = library(path)
         for pdf in batches:
-            yield pd.DataFrame({"raw": [serialized([*ids, END]) for ids in library(path).encode_batch(pdf["text"].tolist())]})
+            yield pd.DataFrame({"raw": [ids + end_of(lib) for ids in lib.encode_batch(pdf["text"].tolist())]})
 
     raw = [bytes(r["raw"]) for r in some.select("text").mapInPandas(serialize, "raw binary").collect()]
     try:
@@ -89,8 +110,8 @@ def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> by
         return b"".join(raw)[:DICTIONARY_BYTES]
 
 
-def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, bytes]:
-    """The shards, written in order of id; ``part, base``: the tokens before each partition; the dictionary."""
+def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, bytes, int]:
+    """The shards, written in order of id; ``part, base``: the tokens before each partition; the dictionary; the bytes of an id."""
     path = path or vocabulary_path(VOCABULARY)
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     shared = trained_dictionary(docs, path)
@@ -99,11 +120,12 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     def frames(batches):
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdCompressor(level=3)
         lib = library(path)
+        end, size = end_of(lib), lib.kind.itemsize
         for pdf in batches:
             n, packed = [], []
             for ids in lib.encode_batch(pdf["text"].tolist()):
-                n.append(len(ids) + 1)
-                packed.append(press.compress(serialized([*ids, END])))
+                n.append(len(ids) // size + 1)
+                packed.append(press.compress(ids + end))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pd.Series(n, dtype="int64"), "frame": packed})
 
     packed = written(docs.mapInPandas(frames, f"doc_id {id_type}, n long, frame binary"), "frames")
@@ -140,29 +162,28 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     for part, n in totals:
         rows.append((part, base))
         base += n
-    return file, spark.createDataFrame(rows, "part int, base long"), shared
+    return file, spark.createDataFrame(rows, "part int, base long"), shared, library(path).kind.itemsize
 
 
-def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document of a token file."""
+def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document of a token file; ids have ``size`` bytes there."""
     id_type = file.schema["doc_ids"].dataType.elementType.simpleString()
     digest = hashlib.sha256(shared).hexdigest()
 
     def read(batches):
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdDecompressor()
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.dictionary != digest:
-                    raise ValueError(f"shard needs dictionary {row.dictionary}, not {digest}")
-                ids = [restored(open_.decompress(row.payload[a:b])) for a, b in zip(row.frames[:-1], row.frames[1:], strict=True)]
-                yield pd.DataFrame({
-                    "doc_id": pd.Series(list(row.doc_ids), dtype=object), "start": np.array(row.starts, dtype=np.int64) + row.base,
-                    "n_tokens": np.array([len(x) for x in ids], dtype=np.int64), "ids_crc32": np.array([zlib.crc32(x.tobytes()) for x in ids], dtype=np.int64),
-                })
-
-    return file.join(F.broadcast(bases), "part").select("doc_ids", "starts", "frames", "payload", "dictionary", "base").mapInPandas(
-        read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
-    )
+            if (pdf["dictionary"] != digest).any():
+                raise ValueError(f"the file needs another dictionary than {digest}")
+            ids = [np.frombuffer(open_.decompress(f), dtype=f"<u{size}").astype("<u4") for f in pdf["frame"]]
+            yield pdf[["doc_id", "start"]].assign(n_tokens=np.array([len(x) for x in ids], dtype=np.int64), ids_crc32=np.array([zlib.crc32(x) for x in ids], dtype=np.int64))
+
+    at = F.posexplode("doc_ids").alias("i", "doc_id")
+    rows = file.select("part", "starts", "frames", "payload", "dictionary", at).join(F.broadcast(bases), "part")
+    begin, end = F.get("frames", F.col("i")), F.get("frames", F.col("i") + 1)
+    frame = F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int")).alias("frame")
+    rows = rows.select("doc_id", (F.get("starts", F.col("i")) + F.col("base")).alias("start"), frame, "dictionary")
+    return rows.mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_file(docs: DataFrame) -> DataFrame:

@@ -73,16 +73,37 @@ def title_ratio(cited: Column, recorded: Column) -> Column:
     return F.when((cited == "") | (recorded == ""), F.lit(0.0)).when(cited == recorded, F.lit(1.0)).otherwise(ratio)
 
 
-def surname(name: Column, plain=ascii_title) -> Column:
-    """Of "Last, First" what stands before the comma, else the last word."""
-    return F.when(F.contains(name, F.lit(",")), plain(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(plain(name), " "), -1))
+def surname(name: Column) -> Column:
+    """Of an ASCII "Last, First" what stands before the comma, else the last word."""
+    return F.when(F.contains(name, F.lit(",")), ascii_title(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(ascii_title(name), " "), -1))
 
 
-def author_overlap(cited: Column, recorded: Column, plain=ascii_title) -> Column:
-    """The share of cited surnames (repeats count) that are among the recorded ones; 0 if none is cited."""
-    known = F.filter(F.transform(recorded, lambda n: surname(n, plain)), lambda s: s != "")
-    names = F.filter(F.transform(cited, lambda n: surname(n, plain)), lambda s: s != "")
-    return F.when(F.size(names) > 0, F.size(F.filter(names, lambda s: F.array_contains(known, s))) / F.size(names)).otherwise(F.lit(0.0))
+def surname_of(name: str) -> str:
+    if "," in name:
+        return plain_title(name.split(",")[0])
+    return (plain_title(name).split() or [""])[-1]
+
+
+def overlap_of(cited: list[str], recorded: list[str]) -> float:
+    names, known = ([s for s in map(surname_of, x) if s] for x in (cited, recorded))
+    return sum(n in known for n in names) / len(names) if names else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _overlap_udf(cited: pd.Series, recorded: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else overlap_of([n or "" for n in a], [n or "" for n in b]) for a, b in zip(cited, recorded, strict=True)], dtype="float64")
+
+
+def author_overlap(cited: Column, recorded: Column) -> Column:
+    """The share of cited surnames (repeats count) that are among the recorded ones; 0 if none is cited.
+
+    Only rows with other than ASCII letters reach the UDF.
+    """
+    ascii_only = F.array_join(cited, "").rlike(ASCII) & F.array_join(recorded, "").rlike(ASCII)
+    known = F.transform(recorded, surname)
+    names = F.filter(F.transform(cited, surname), lambda s: s != "")
+    native = F.when(F.size(names) > 0, F.size(F.filter(names, lambda s: F.array_contains(known, s))) / F.size(names)).otherwise(F.lit(0.0))
+    return F.when(ascii_only, native).otherwise(_overlap_udf(F.when(~ascii_only, cited), F.when(~ascii_only, recorded)))
 
 
 def arxiv_pdf(bare_doi: Column) -> Column:

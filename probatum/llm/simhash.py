@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probatum.llm.common import connected_components, written
+from probatum.llm.common import connected_components, release, written
 
 WORDS, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
 
@@ -140,9 +140,10 @@ def _verified(batches):
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of every document whose words, or five-word shingles to 0.8 or more, others share.
 
-    Texts with equal words in order are one class. A class probes, per band, the Hamming ball of one bit around its segment;
-    each segment value holds its smallest and greatest member, so a bucket of n classes gives at most 2n candidates, never
-    all pairs. Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
+    Texts with equal words in order are one class. Each segment value holds the members with the least and the greatest component,
+    so a bucket of n classes gives at most 2n candidates, never all pairs. Classes that share a segment are linked first; then each
+    class probes the Hamming balls of one bit around its segments, and meets only classes that it is not linked with so far.
+    Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
     marked = written(known.mapInPandas(_printed, "doc_id long, same binary, prints array<long>"), "prints")
@@ -152,19 +153,33 @@ def near_copies(docs: DataFrame) -> DataFrame:
     bands = F.array(*[
         F.shiftrightunsigned(F.get("prints", F.lit(i // per)), BAND_BITS * (i % per)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << BAND_BITS)) for i in range(BANDS)
     ])
-    keyed = reps.select("doc_id", F.explode(bands).alias("key"))
-    index = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(BAND_BITS))]])
-    probes = keyed.select("doc_id", "key", F.explode(flips).alias("flip")).select("doc_id", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    met = probes.join(index.hint("shuffle_hash"), "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
-    pairs = written(met.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct(), "candidates")
-    left, right = reps.select(F.col("doc_id").alias("u"), F.col("prints").alias("pu")), reps.select(F.col("doc_id").alias("v"), F.col("prints").alias("pv"))
-    apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, x: a + x)
-    close = written(pairs.join(left, "u").join(right, "v").where(apart <= MOST_BITS).select("u", "v"), "close")
-    needed = close.select(F.col("u").alias("doc_id")).unionAll(close.select(F.col("v").alias("doc_id"))).distinct()
-    texts = written(known.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
-    both = close.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    links = written(both.mapInPandas(_verified, "u long, v long"), "links")
+
+    def candidates(comps: DataFrame | None, flips: list[int]) -> DataFrame:
+        own = reps.withColumn("comp", F.col("doc_id"))
+        if comps is not None:
+            own = reps.join(comps, reps.doc_id == comps.node, "left").withColumn("comp", F.coalesce("component", "doc_id"))
+        keyed = own.select("doc_id", "comp", F.explode(bands).alias("key"))
+        member = F.struct("comp", "doc_id")
+        index = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
+        probes = keyed.select("doc_id", "comp", "key", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
+        probes = probes.select("doc_id", "comp", F.col("key").bitwiseXOR(F.col("flip")).alias("probe"))
+        other = (F.col("comp") != F.col("low.comp")) | (F.col("comp") != F.col("high.comp"))
+        met = probes.join(index.hint("shuffle_hash"), (F.col("probe") == F.col("key")) & other).select("doc_id", "comp", F.explode(F.array("low", "high")).alias("o")).where("comp <> o.comp")
+        return written(met.select(F.least("doc_id", "o.doc_id").alias("u"), F.greatest("doc_id", "o.doc_id").alias("v")).distinct(), "candidates")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left, right = reps.select(F.col("doc_id").alias("u"), F.col("prints").alias("pu")), reps.select(F.col("doc_id").alias("v"), F.col("prints").alias("pv"))
+        apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, x: a + x)
+        close = written(pairs.join(left, "u").join(right, "v").where(apart <= MOST_BITS).select("u", "v"), "close")
+        needed = close.select(F.col("u").alias("doc_id")).unionAll(close.select(F.col("v").alias("doc_id"))).distinct()
+        texts = written(known.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+        both = close.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+        links = written(both.mapInPandas(_verified, "u long, v long"), "links")
+        release(docs.sparkSession)
+        return links
+
+    first = linked(candidates(None, [0]))
+    links = first.unionAll(linked(candidates(connected_components(first), [1 << b for b in range(BAND_BITS)])))
     copies = marked.join(classes, "same").where("doc_id <> rep").select(F.col("doc_id").alias("v"), F.col("rep").alias("u"))
     comps = connected_components(links)
     of_rep = copies.join(comps, copies.u == comps.node, "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("component_id"))

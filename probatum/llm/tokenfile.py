@@ -16,6 +16,7 @@ order among themselves. Special tokens' strings in a text are ordinary text. Oth
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import zlib
 
@@ -25,11 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.bpe import CACHE, vocabulary_path
+from probatum.llm.bpe import vocabulary_path
 from probatum.llm.common import written
 from probatum.llm.pretoken import in_chunks, pieces_of
 
-VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS = "byte_bpe_50k.json", 0, 400, 65_536, 512, 4 << 20, 20_000
+VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 1_500_000
 
 
 class LibraryCache(dict):
@@ -39,7 +40,7 @@ class LibraryCache(dict):
     numbers tell their ids apart.
     """
 
-    TOGETHER = 128
+    TOGETHER = 512
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,6 +120,7 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
 
     def frames(batches):
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdCompressor(level=3)
+        gc.disable()  # the cache is large and free of cycles
         lib = library(path)
         end, size = end_of(lib), lib.kind.itemsize
         for pdf in batches:
@@ -171,6 +173,7 @@ def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) ->
     digest = hashlib.sha256(shared).hexdigest()
 
     def read(batches):
+        library.cache_clear()  # a worker that has encoded before needs its pieces no more
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdDecompressor()
         for pdf in batches:
             if (pdf["dictionary"] != digest).any():
@@ -178,11 +181,14 @@ def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) ->
             ids = [np.frombuffer(open_.decompress(f), dtype=f"<u{size}").astype("<u4") for f in pdf["frame"]]
             yield pdf[["doc_id", "start"]].assign(n_tokens=np.array([len(x) for x in ids], dtype=np.int64), ids_crc32=np.array([zlib.crc32(x) for x in ids], dtype=np.int64))
 
-    at = F.posexplode("doc_ids").alias("i", "doc_id")
-    rows = file.select("part", "starts", "frames", "payload", "dictionary", at).join(F.broadcast(bases), "part")
-    begin, end = F.get("frames", F.col("i")), F.get("frames", F.col("i") + 1)
-    frame = F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int")).alias("frame")
-    rows = rows.select("doc_id", (F.get("starts", F.col("i")) + F.col("base")).alias("start"), frame, "dictionary")
+    def document(doc_id, i):
+        begin, end = F.get("frames", i), F.get("frames", i + 1)
+        frame = F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int"))
+        return F.struct(doc_id.alias("doc_id"), (F.get("starts", i) + F.col("base")).alias("start"), frame.alias("frame"))
+
+    # frames are cut out before the rows multiply, so that no row carries its shard's payload
+    cut = file.join(F.broadcast(bases), "part").select("dictionary", F.transform("doc_ids", document).alias("d"))
+    rows = cut.select("dictionary", F.explode("d").alias("d")).select("d.doc_id", "d.start", "d.frame", "dictionary")
     return rows.mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -99,10 +99,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 def masked(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets (overlapping spans by the first's); ``n_chars`` follows."""
-    found = scan(docs, ledger, rules)[0].where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    rows = docs.withColumn("_key", F.sha2("text", 256)).join(found, F.col("_key") == F.col("_blob"), "left")
-    names = F.array(*[F.lit(f"<{r.kind}>") for r in rules])
-    text = F.col("text")
+    found = scan(docs, ledger, rules)[0].where(F.size("spans") > 0).select(F.col("blob").alias("found"), "spans").dropDuplicates(["found"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever names they have, columns can't clash
+    rows = rows.withColumn("blob", F.sha2("row.text", 256)).join(found, F.col("blob") == F.col("found"), "left")
+    names, text = F.array(*[F.lit(f"<{r.kind}>") for r in rules]), F.col("row.text")
 
     def step(acc, s):
         clear = s["start"] >= acc["at"]
@@ -110,11 +110,13 @@ def masked(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(clear, part).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    rows = rows.withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNull(), text).otherwise(clean))
+    row = F.col("row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType)))
-    return rows.withColumn("text", F.col("_clean")).drop("_key", "_blob", "_spans", "_clean")
+        n = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+        row = row.withField("n_chars", n)
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def op1_secrets(docs: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Texts with equal words in order are one class. Each segment value holds the members with the least and the greatest component,
     so a bucket of n classes gives at most 2n candidates, never all pairs. Classes that share a segment are linked first; then each
-    class probes the Hamming balls of one bit around its segments, and meets only classes that it is not linked with so far.
+    class probes the Hamming balls of one bit around its segments, and meets only classes of lesser components than its own.
     Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
@@ -163,8 +163,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         index = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
         probes = keyed.select("doc_id", "comp", "key", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
         probes = probes.select("doc_id", "comp", F.col("key").bitwiseXOR(F.col("flip")).alias("probe"))
-        other = (F.col("comp") != F.col("low.comp")) | (F.col("comp") != F.col("high.comp"))
-        met = probes.join(index.hint("shuffle_hash"), (F.col("probe") == F.col("key")) & other).select("doc_id", "comp", F.explode(F.array("low", "high")).alias("o")).where("comp <> o.comp")
+
+        def asks(member):  # of two components the greater asks: balls are symmetric, so the other need not
+            return F.col(f"{member}.comp") != F.col("comp") if comps is None else F.col(f"{member}.comp") < F.col("comp")
+
+        met = probes.join(index.hint("shuffle_hash"), (F.col("probe") == F.col("key")) & (asks("low") | asks("high")))
+        met = met.select("doc_id", "comp", F.explode(F.array("low", "high")).alias("o")).where(asks("o"))
         return written(met.select(F.least("doc_id", "o.doc_id").alias("u"), F.greatest("doc_id", "o.doc_id").alias("v")).distinct(), "candidates")
 
     def linked(pairs: DataFrame) -> DataFrame:

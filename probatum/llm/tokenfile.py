@@ -15,6 +15,7 @@ order among themselves. Special tokens' strings in a text are ordinary text. Oth
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import hashlib
@@ -76,13 +77,24 @@ class LibraryCache(dict):
                 self.clear()
             pieces, firsts = pieces_of(run)
             got = list(map(self.get, pieces))
-            if None in got:
-                self.learn(list({p for p, x in zip(pieces, got, strict=True) if x is None}))
-                got = list(map(self.__getitem__, pieces))
+            new = missing(got)
+            self.learn(list({pieces[i] for i in new}))
+            for i in new:
+                got[i] = self[pieces[i]]
             for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
                 yield b"".join(got[a:b])
 
 
+def missing(values: list) -> list[int]:
+    """The positions of None."""
+    out, i = [], -1
+    with contextlib.suppress(ValueError):
+        while True:
+            i = values.index(None, i + 1)
+            out.append(i)
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def library(path: str) -> LibraryCache:
     import os
@@ -135,6 +147,7 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     digest = hashlib.sha256(shared).hexdigest()
 
     def shards(batches):
+        library.cache_clear()  # a worker that has encoded before needs its pieces no more
         start, held, size = 0, [], 0
 
         def full():

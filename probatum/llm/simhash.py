@@ -141,8 +141,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of every document whose words, or five-word shingles to 0.8 or more, others share.
 
     Texts with equal words in order are one class. Each segment value holds the members with the least and the greatest component,
-    so a bucket of n classes gives at most 2n candidates, never all pairs. Classes that share a segment are linked first; then each
-    class probes the Hamming balls of one bit around its segments, and meets only classes of lesser components than its own.
+    so a bucket of n classes gives at most 2n candidates, never all pairs. Classes that share a segment with a lesser one are linked to it
+    first; then each class probes the Hamming balls of one bit around its segments, and meets only classes of lesser components.
     Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
@@ -165,7 +165,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         probes = probes.select("doc_id", "comp", F.col("key").bitwiseXOR(F.col("flip")).alias("probe"))
 
         def asks(member):  # of two components the greater asks: balls are symmetric, so the other need not
-            return F.col(f"{member}.comp") != F.col("comp") if comps is None else F.col(f"{member}.comp") < F.col("comp")
+            return F.col(f"{member}.comp") < F.col("comp")
 
         met = probes.join(index.hint("shuffle_hash"), (F.col("probe") == F.col("key")) & (asks("low") | asks("high")))
         met = met.select("doc_id", "comp", F.explode(F.array("low", "high")).alias("o")).where(asks("o"))
@@ -183,7 +183,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return links
 
     first = linked(candidates(None, [0]))
-    links = first.unionAll(linked(candidates(connected_components(first), [1 << b for b in range(BAND_BITS)])))
+    links = first.unionAll(linked(candidates(connected_components(first), [0, *(1 << b for b in range(BAND_BITS))])))
     copies = marked.join(classes, "same").where("doc_id <> rep").select(F.col("doc_id").alias("v"), F.col("rep").alias("u"))
     comps = connected_components(links)
     of_rep = copies.join(comps, copies.u == comps.node, "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("component_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probatum.llm.common import connected_components, release, written
+from probatum.llm.common import connected_components, forget, release, written
 
 WORDS, SEED, RADIUS, SEGMENTS = 3, 42, 3, 2
 
@@ -96,94 +96,132 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity. A 64-bit fingerprint of shingles is too coarse for a similarity of 0.8, where it differs
-# in about nine bits, so candidates come from PRINTS fingerprints of the set of distinct words, cut into BANDS segments of
-# BAND_BITS bits; one word changed moves one of many votes, so some segment of near copies is within one bit.
-SHINGLE, SIMILAR, PRINTS, BANDS, BAND_BITS, MOST_BITS = 5, 0.8, 5, 10, 28, 64
+# Near copies by shingle similarity. A 64-bit fingerprint of shingles is too coarse for a similarity of 0.8, so candidates come from
+# prefix filtering: sets of sizes m and n that are 0.8 alike share at least 4/9 (m + n) shingles, so in any common order of shingles
+# their first n - ceil(0.8 n) + 1 meet. The order puts shingles last that are frequent among about ``ORDER_SAMPLE`` documents.
+SHINGLE, SIMILAR, ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 5, 0.8, 4000, 4, 100_000
 
 
-def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
-    """``prints`` fingerprints of the set of a text's words, by as many seeds."""
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return [0] * prints
-    out = []
-    for seed in range(prints):
-        hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED + seed)
-        bits = np.unpackbits(np.array([hashed(w) for w in words], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words), bitorder="little").view("<i8")[0]))
-    return out
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct ``words``-word shingles (fewer words: the whole sequence)."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined)], dtype="<u8")
+    ends = [e - 1 for e in accumulate(len(p) + 1 for p in parts)]
+    starts = [0, *(e + 1 for e in ends[: len(parts) - words])]
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(joined[s:e]) for s, e in zip(starts, ends[words - 1 :], strict=True)], dtype="<u8"))
 
 
-def shingles(text: str | None, words: int = SHINGLE) -> set[int]:
-    """Hashes of the distinct ``words``-word shingles (fewer words: the whole sequence)."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))}
+def prefix_length(size: int) -> int:
+    """How many first shingles of a set of ``size`` meet those of every set that is 0.8 alike."""
+    return size - (4 * size + 4) // 5 + 1
 
 
-def _printed(batches):
+def _sampled(batches):
     for pdf in batches:
-        texts = pdf["text"].tolist()
-        same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": same, "prints": [word_prints(t) for t in texts]})
+        yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<i8"), *[shingle_hashes(t).view("<i8") for t in pdf["text"]]])})
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles of a sample; they decide an order only, never a result."""
+    total = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, ORDER_SAMPLE / max(1, total))))
+    counts = sample.select("text").mapInPandas(_sampled, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
+    tokens, n = np.array([r[0] for r in rows], dtype="<i8").view("<u8"), np.array([r[1] for r in rows], dtype="<i8")
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
+    """Per document its digest, the number of its shingles, and those of its prefix in order."""
+    tokens, counts = frequent
+
+    def prefix(text):
+        own = shingle_hashes(text)
+        count = np.zeros(len(own), dtype="<i8")
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+            count = np.where(tokens[at] == own, counts[at], 0)
+        return len(own), own[np.argsort(count, kind="stable")][: prefix_length(len(own))].view("<i8")
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+            made = [prefix(t) for t in texts]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": same, "size": [n for n, _ in made], "tokens": [t for _, t in made]})
+
+    return run
 
 
 def _verified(batches):
     for pdf in batches:
         got = []
         for x, y in zip(pdf["text_u"], pdf["text_v"], strict=True):
-            a, b = shingles(x), shingles(y)
-            got.append(len(a & b) >= SIMILAR * len(a | b))
+            a, b = shingle_hashes(x), shingle_hashes(y)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            got.append(both >= SIMILAR * (len(a) + len(b) - both))
         yield pdf.loc[got, ["u", "v"]]
 
 
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether two sets that meet first at places ``pos`` of their orders can be 0.8 alike."""
+    m, n = F.col(f"{a}.size"), F.col(f"{b}.size")
+    left = F.least(m - F.col(f"{a}.pos"), n - F.col(f"{b}.pos"))
+    return (5 * F.least(m, n) >= 4 * F.greatest(m, n)) & (9 * left >= 4 * (m + n))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of every document whose words, or five-word shingles to 0.8 or more, others share.
 
-    Texts with equal words in order are one class. Each segment value holds the members with the least and the greatest component,
-    so a bucket of n classes gives at most 2n candidates, never all pairs. Classes that share a segment with a lesser one are linked to it
-    first; then each class probes the Hamming balls of one bit around its segments, and meets only classes of lesser components.
-    Candidates within ``MOST_BITS`` of all ``64 * PRINTS`` bits are verified on whole texts. Null ids take no part.
+    Texts with equal words in order are one class. Classes that are 0.8 alike share a shingle of their prefixes, so all members of
+    a shingle meet: first each meets the least member, which is linear; then all members meet that are of different components still.
+    Only pairs that sizes and places in the prefix rule out, or that a component joins already, are passed over. Candidates are verified on
+    whole texts. Null ids take no part.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    marked = written(known.mapInPandas(_printed, "doc_id long, same binary, prints array<long>"), "prints")
+    prefixes = written(known.mapInPandas(_prefixes(frequent_shingles(known)), "doc_id long, same binary, size int, tokens array<long>"), "prefixes")
+    marked = written(prefixes.select("doc_id", "same"), "digests")
     classes = marked.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = written(marked.join(classes, (marked.same == classes.same) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "prints").dropDuplicates(["doc_id"]), "classes")
-    per, mask = 64 // BAND_BITS, (1 << BAND_BITS) - 1
-    bands = F.array(*[
-        F.shiftrightunsigned(F.get("prints", F.lit(i // per)), BAND_BITS * (i % per)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << BAND_BITS)) for i in range(BANDS)
-    ])
-
-    def candidates(comps: DataFrame | None, flips: list[int]) -> DataFrame:
-        own = reps.withColumn("comp", F.col("doc_id"))
-        if comps is not None:
-            own = reps.join(comps, reps.doc_id == comps.node, "left").withColumn("comp", F.coalesce("component", "doc_id"))
-        keyed = own.select("doc_id", "comp", F.explode(bands).alias("key"))
-        member = F.struct("comp", "doc_id")
-        index = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
-        probes = keyed.select("doc_id", "comp", "key", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
-        probes = probes.select("doc_id", "comp", F.col("key").bitwiseXOR(F.col("flip")).alias("probe"))
-
-        def asks(member):  # of two components the greater asks: balls are symmetric, so the other need not
-            return F.col(f"{member}.comp") < F.col("comp")
-
-        met = probes.join(index.hint("shuffle_hash"), (F.col("probe") == F.col("key")) & (asks("low") | asks("high")))
-        met = met.select("doc_id", "comp", F.explode(F.array("low", "high")).alias("o")).where(asks("o"))
-        return written(met.select(F.least("doc_id", "o.doc_id").alias("u"), F.greatest("doc_id", "o.doc_id").alias("v")).distinct(), "candidates")
+    reps = prefixes.join(classes, (prefixes.same == classes.same) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "size", "tokens").dropDuplicates(["doc_id"])
+    reps = written(reps, "classes")
+    forget(prefixes)
+    release(docs.sparkSession)
+    keyed = reps.select("doc_id", "size", F.posexplode("tokens").alias("pos", "token"))
+    met = keyed.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
+    shared = written(keyed.join(met, "token"), "shared")
+    forget(reps)
+    release(docs.sparkSession)
+    shared = shared.withColumn("own", F.struct("doc_id", "size", "pos"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(_may_be_alike("own", "other"))
+        return written(pairs.select(F.least("own.doc_id", "other.doc_id").alias("u"), F.greatest("own.doc_id", "other.doc_id").alias("v")).distinct(), "candidates")
+
+    def with_least() -> DataFrame:
+        least = shared.groupBy("token").agg(F.min("own").alias("other"))
+        return candidates(shared.select("token", "own").join(least, "token").where("own.doc_id > other.doc_id"))
+
+    def with_all(comps: DataFrame) -> DataFrame:
+        own = shared.join(comps, shared.doc_id == comps.node, "left").select("token", "own", F.coalesce("component", "doc_id").alias("comp"))
+        mixed = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        own = written(own.join(mixed, "token", "left_semi"), "mixed")
+        other = own.select("token", F.col("own").alias("other"), F.col("comp").alias("other_comp"))
+        return candidates(own.join(other, "token").where("comp > other_comp"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left, right = reps.select(F.col("doc_id").alias("u"), F.col("prints").alias("pu")), reps.select(F.col("doc_id").alias("v"), F.col("prints").alias("pv"))
-        apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, x: a + x)
-        close = written(pairs.join(left, "u").join(right, "v").where(apart <= MOST_BITS).select("u", "v"), "close")
-        needed = close.select(F.col("u").alias("doc_id")).unionAll(close.select(F.col("v").alias("doc_id"))).distinct()
-        texts = written(known.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
-        both = close.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+        needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        texts = written(known.join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+        both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
         links = written(both.mapInPandas(_verified, "u long, v long"), "links")
         release(docs.sparkSession)
         return links
 
-    first = linked(candidates(None, [0]))
-    links = first.unionAll(linked(candidates(connected_components(first), [0, *(1 << b for b in range(BAND_BITS))])))
+    first = linked(with_least())
+    links = first.unionAll(linked(with_all(connected_components(first))))
     copies = marked.join(classes, "same").where("doc_id <> rep").select(F.col("doc_id").alias("v"), F.col("rep").alias("u"))
     comps = connected_components(links)
     of_rep = copies.join(comps, copies.u == comps.node, "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("component_id"))

@@ -151,6 +151,29 @@ def test_near_copies_by_shingles(spark):
     assert all(got.get(i, i) in (i, truth[i]) or truth[got[i]] == truth[i] for i in range(len(texts)))
 
 
+def near_pairs(texts):
+    """Components of texts that are 0.8 alike, by all pairs of sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    return comp
+
+
+def test_near_copies_meet_every_member_of_a_bucket(spark):
+    rng = random.Random(16)
+    common, texts = [f"c{i}" for i in range(200)], []
+    for g in range(150):  # nearly the same words, but a word in forty changed: 0.6 alike, in the same buckets by words
+        own = [f"g{g}w{i}" if i % 40 == 20 else w for i, w in enumerate(common)]
+        texts += [" ".join(own), " ".join([f"x{g}", *own[1:]])]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == near_pairs(texts)
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 16))

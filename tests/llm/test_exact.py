@@ -174,6 +174,22 @@ def test_near_copies_meet_every_member_of_a_bucket(spark):
     assert [got.get(i, i) for i in range(len(texts))] == near_pairs(texts)
 
 
+def test_near_copies_of_block_edits_at_the_threshold(spark):
+    rng = random.Random(26)
+    texts = []
+    for g in range(30):
+        n = (100, 200, 400)[g % 3]
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0.805, 0.82, 0.85, 0.78):
+            k, at = int((n - 4) * (1 / share - 1)), rng.randrange(n)
+            block = [f"b{rng.randrange(10**6)}" for _ in range(k)]
+            kind = len(texts) % 3
+            texts.append(" ".join(w + block if kind == 0 else w[: n - int(n * (1 - share))] if kind == 1 else w[:at] + block[: k // 2] + w[at + k // 2 :]))
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == near_pairs(texts)
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 16))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import sys
 import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,18 +19,26 @@ UNDECOMPOSED = {
     "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE",
     "ŋ": "ng", "Ŋ": "NG", "ə": "e", "Ə": "E", "ʼ": "'", "’": "'",
 }
-_TO_ASCII = str.maketrans(UNDECOMPOSED)
+#: Marks that a decomposed letter carries go; letters without a decomposition get their form above.
+_STRIPPED = {ord(k): v for k, v in UNDECOMPOSED.items()} | {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 ASCII = r"^[\x00-\x7F]*$"
 
 
-def folded(text: str) -> str:
-    bare = (c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
-    return "".join(bare).translate(_TO_ASCII)
+def plain(values: pd.Series) -> pd.Series:
+    """A column's plain forms: folded to ASCII where that is possible, lower case, runs of anything but letters and digits one space."""
+    bare = values.fillna("").str.normalize("NFKD").str.translate(_STRIPPED)
+    return bare.str.lower().str.replace(r"[\W_]+", " ", regex=True).str.strip()
 
 
-def plain_title(text: str) -> str:
-    """Folded, lower case, runs of anything but letters and digits of any script as one space."""
-    return " ".join(re.sub(r"[\W_]", lambda m: m[0] if m[0].isalnum() else " ", folded(text).lower()).split())
+def plain_surnames(names: pd.Series) -> pd.Series:
+    """Of "Last, First" what stands before the comma, else the last word, in plain form."""
+    parts = names.fillna("").str.partition(",")
+    forms = plain(parts[0])
+    return forms.where(parts[1] != "", forms.str.rpartition(" ")[2])
+
+
+def plain_title(text: str | None) -> str:
+    return plain(pd.Series([text or ""]))[0]
 
 
 def similarity(cited: str, recorded: str) -> float:
@@ -39,8 +47,8 @@ def similarity(cited: str, recorded: str) -> float:
 
 
 @F.pandas_udf(T.StringType())
-def _plain_title_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else plain_title(t))
+def _plain_udf(texts: pd.Series) -> pd.Series:
+    return plain(texts)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -60,50 +68,90 @@ def ascii_title(raw: Column) -> Column:
 
 
 def title(raw: Column) -> Column:
-    """The plain title; only rows that are not ASCII reach the UDF."""
+    """The plain title; the UDF gets null for rows that are ASCII. ``with_plain`` keeps those away from Python altogether."""
     raw = F.coalesce(raw, F.lit(""))
-    other = _plain_title_udf(F.when(~raw.rlike(ASCII), raw))
-    return F.when(raw.rlike(ASCII), ascii_title(raw)).otherwise(other)
+    return F.when(raw.rlike(ASCII), ascii_title(raw)).otherwise(_plain_udf(F.when(~raw.rlike(ASCII), raw)))
 
 
-def title_ratio(cited: Column, recorded: Column) -> Column:
-    """Similarity of two plain titles; equal and empty ones are decided JVM-side."""
-    unequal = (cited != recorded) & (cited != "") & (recorded != "")
-    ratio = _similarity_udf(F.when(unequal, cited), F.when(unequal, recorded))
-    return F.when((cited == "") | (recorded == ""), F.lit(0.0)).when(cited == recorded, F.lit(1.0)).otherwise(ratio)
+def with_plain(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the plain form of a column. Only different values with other than ASCII letters reach Python, and are joined back."""
+    if rows.isStreaming:  # a stream can't be joined back to its own different values
+        return rows.withColumn(name, title(F.col(column)))
+    raw = F.coalesce(F.col(column), F.lit(""))
+    odd = rows.select(raw.alias("_raw")).where(~F.col("_raw").rlike(ASCII)).distinct().withColumn("_plain", _plain_udf("_raw"))
+    return rows.join(odd, raw == F.col("_raw"), "left").withColumn(name, F.coalesce("_plain", ascii_title(raw))).drop("_raw", "_plain")
 
 
-def surname(name: Column) -> Column:
-    """Of an ASCII "Last, First" what stands before the comma, else the last word."""
-    return F.when(F.contains(name, F.lit(",")), ascii_title(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(ascii_title(name), " "), -1))
+def known_ratio(cited: Column, recorded: Column) -> Column:
+    """The similarity of two plain titles where no search is needed: equal, empty, or one the beginning of the other; else null."""
+    a, b = F.length(cited), F.length(recorded)
+    begins = F.startswith(cited, recorded) | F.startswith(recorded, cited)
+    short = b < 200  # from there on the measure leaves out letters that are frequent in the recorded title
+    return F.when((cited == "") | (recorded == ""), F.lit(0.0)).when(cited == recorded, F.lit(1.0)).when(begins & short, 2.0 * F.least(a, b) / (a + b))
 
 
-def surname_of(name: str) -> str:
-    if "," in name:
-        return plain_title(name.split(",")[0])
-    return (plain_title(name).split() or [""])[-1]
+def title_ratio(cited: Column, recorded: Column) -> Column:
+    """Similarity of two plain titles; the UDF gets null for pairs that need no search."""
+    known = known_ratio(cited, recorded)
+    return F.coalesce(known, _similarity_udf(F.when(known.isNull(), cited), F.when(known.isNull(), recorded)))
 
 
-def overlap_of(cited: list[str], recorded: list[str]) -> float:
-    names, known = ([s for s in map(surname_of, x) if s] for x in (cited, recorded))
-    return sum(n in known for n in names) / len(names) if names else 0.0
+def with_ratio(rows: DataFrame, cited: str, recorded: str, name: str) -> DataFrame:
+    """Adds the similarity of two columns of plain titles. Only different pairs that need a search reach Python, and are joined back."""
+    if rows.isStreaming:  # a stream can't be joined back to its own different values
+        return rows.withColumn(name, title_ratio(F.col(cited), F.col(recorded)))
+    known = known_ratio(F.col(cited), F.col(recorded))
+    pairs = rows.where(known.isNull()).select(F.col(cited).alias("_cited"), F.col(recorded).alias("_recorded")).where("_cited is not null and _recorded is not null").distinct()
+    pairs = pairs.withColumn("_ratio", _similarity_udf("_cited", "_recorded"))
+    both = rows.join(pairs, (F.col(cited) == F.col("_cited")) & (F.col(recorded) == F.col("_recorded")), "left")
+    return both.withColumn(name, F.coalesce(known, "_ratio")).drop("_cited", "_recorded", "_ratio")
+
+
+def surname(name: Column) -> Column:
+    """Of an ASCII "Last, First" what stands before the comma, else the last word."""
+    return F.when(F.contains(name, F.lit(",")), ascii_title(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(ascii_title(name), " "), -1))
 
 
 @F.pandas_udf(T.DoubleType())
 def _overlap_udf(cited: pd.Series, recorded: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else overlap_of([n or "" for n in a], [n or "" for n in b]) for a, b in zip(cited, recorded, strict=True)], dtype="float64")
+    """All names of a batch are folded at once; rows without arrays give null."""
+    sides = []
+    for side in (cited, recorded):
+        flat = side.explode()
+        sides.append(plain_surnames(flat.astype("object").where(flat.notna(), "")).groupby(level=0).agg(list))
+    shares = []
+    for row, names, known in zip(cited, sides[0], sides[1], strict=True):
+        held = [n for n in names if n]
+        shares.append(None if row is None else sum(n in known for n in held) / len(held) if held else 0.0)
+    return pd.Series(shares, dtype="float64")
 
 
-def author_overlap(cited: Column, recorded: Column) -> Column:
-    """The share of cited surnames (repeats count) that are among the recorded ones; 0 if none is cited.
+def ascii_names(cited: Column, recorded: Column) -> Column:
+    return F.array_join(cited, "").rlike(ASCII) & F.array_join(recorded, "").rlike(ASCII)
 
-    Only rows with other than ASCII letters reach the UDF.
-    """
-    ascii_only = F.array_join(cited, "").rlike(ASCII) & F.array_join(recorded, "").rlike(ASCII)
+
+def ascii_overlap(cited: Column, recorded: Column) -> Column:
+    """The share of cited surnames (repeats count) that are among the recorded ones; 0 if none is cited. ASCII names only."""
     known = F.transform(recorded, surname)
     names = F.filter(F.transform(cited, surname), lambda s: s != "")
-    native = F.when(F.size(names) > 0, F.size(F.filter(names, lambda s: F.array_contains(known, s))) / F.size(names)).otherwise(F.lit(0.0))
-    return F.when(ascii_only, native).otherwise(_overlap_udf(F.when(~ascii_only, cited), F.when(~ascii_only, recorded)))
+    return F.when(F.size(names) > 0, F.size(F.filter(names, lambda s: F.array_contains(known, s))) / F.size(names)).otherwise(F.lit(0.0))
+
+
+def author_overlap(cited: Column, recorded: Column) -> Column:
+    """``ascii_overlap`` for names of any script; the UDF gets null for rows that are ASCII."""
+    native = ascii_names(cited, recorded)
+    return F.when(native, ascii_overlap(cited, recorded)).otherwise(_overlap_udf(F.when(~native, cited), F.when(~native, recorded)))
+
+
+def with_overlap(rows: DataFrame, cited: str, recorded: str, name: str) -> DataFrame:
+    """Adds the author overlap of two array columns. Only different pairs with other than ASCII letters reach Python, and are joined back."""
+    if rows.isStreaming:  # a stream can't be joined back to its own different values
+        return rows.withColumn(name, author_overlap(F.col(cited), F.col(recorded)))
+    a, b = F.col(cited), F.col(recorded)
+    pairs = rows.where(~ascii_names(a, b)).select(a.alias("_cited"), b.alias("_recorded")).distinct()
+    pairs = pairs.withColumn("_share", _overlap_udf("_cited", "_recorded"))
+    both = rows.join(pairs, (a == F.col("_cited")) & (b == F.col("_recorded")), "left")
+    return both.withColumn(name, F.coalesce("_share", ascii_overlap(a, b))).drop("_cited", "_recorded", "_share")
 
 
 def arxiv_pdf(bare_doi: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,35 @@ class NotComparable(Exception):
     """Raised by the scalar interface; in bulk a refusal is a row with its reasons."""
 
 
+def split_id(members: tuple[str, ...] | list[str]) -> str:
+    """12 hex digits of the SHA-256 of sorted members, one a line; repeats count, none is refused."""
+    if isinstance(members, str) or not members:
+        raise NotComparable("a split needs a list of members")
+    return hashlib.sha256("\n".join(sorted(members)).encode()).hexdigest()[:12]
+
+
 def split_ids(members: DataFrame) -> DataFrame:
-    """``split_id`` of each ``split``: 12 hex digits of the SHA-256 of its sorted members, one a line; repeats count."""
+    """``split_id`` of each ``split`` as ``split_id`` makes it, and its members.
+
+    The hash is over one text, so a split's members come together in one row: about 2 GB of names is the most that a split can hold.
+    """
     joined = F.array_join(F.array_sort(F.collect_list("item")), "\n")
-    return members.groupBy("split").agg(F.substring(F.sha2(joined, 256), 1, 12).alias("split_id"), F.count("item").alias("n_items"))
+    return members.groupBy("split").agg(F.substring(F.sha2(joined, 256), 1, 12).alias("split_id"), F.count("item").alias("n_items")).where("n_items > 0")
+
+
+def shown_difference(difference: DataFrame, most: int = 3) -> DataFrame:
+    """``side, shown``: the first members of each side of a ``split_difference`` and how many more there are."""
+    ranked = difference.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy("item")))
+    firsts = ranked.where(F.col("k") <= most).groupBy("side").agg(F.array_join(F.array_sort(F.collect_list("item")), ", ").alias("first"))
+    return firsts.join(difference.groupBy("side").agg(F.count("*").alias("n")), "side").select(
+        "side", F.concat("first", F.when(F.col("n") > most, F.format_string(" and %d more", F.col("n") - most)).otherwise("")).alias("shown")
+    )
+
+
+def units_of(block: dict, names: tuple[str, ...]) -> int | None:
+    """The number of units as a sum of counts of a metrics block, none if one is missing or not whole."""
+    held = [block.get(n) for n in names]
+    return sum(held) if all(isinstance(x, int) for x in held) else None
 
 
 def split_difference(members: DataFrame, a: str, b: str) -> DataFrame:
@@ -66,13 +92,23 @@ def pairs(arms: DataFrame) -> DataFrame:
 
 
 def deltas(arms: DataFrame, metrics: DataFrame, role: str, metric: str) -> DataFrame:
-    """``a - b`` of one metric for every pair without problems; a pair that lacks the metric under that role has no row."""
+    """``a - b`` of one metric for every pair without problems; a pair that lacks the metric under that role is a row of ``without_metric``."""
     values = metrics.where((F.col("role") == role) & (F.col("metric") == metric)).select("name", "value")
     good = pairs(arms).where(F.size("problems") == 0)
     left, right = values.select(F.col("name").alias("a"), F.col("value").alias("va")), values.select(F.col("name").alias("b"), F.col("value").alias("vb"))
     return good.join(left, "a").join(right, "b").select("task", "a", "b", "asserted", "va", "vb", (F.col("va") - F.col("vb")).alias("delta"))
 
 
+def without_metric(arms: DataFrame, metrics: DataFrame, role: str, metric: str) -> DataFrame:
+    """``task, a, b, problems`` of pairs that could be compared but for a metric that an arm lacks under that role."""
+    has = metrics.where((F.col("role") == role) & (F.col("metric") == metric)).select("name").distinct()
+    good = pairs(arms).where(F.size("problems") == 0).select("task", "a", "b")
+    for side in ("a", "b"):
+        good = good.join(has.select(F.col("name").alias(side), F.lit(True).alias(f"has_{side}")), side, "left")
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"has_{x}").isNull(), F.concat(F.lit("metric:"), F.col(x))) for x in ("a", "b")]))
+    return good.withColumn("problems", F.array_join(lacking, ",")).where("problems <> ''").select("task", "a", "b", "problems")
+
+
 def refused(arms: DataFrame) -> DataFrame:
     return pairs(arms).where(F.size("problems") > 0).select("task", "a", "b", F.array_join("problems", ",").alias("problems"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import copy
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions.detectors import DETECTORS, NEEDED, Detector, passes
@@ -53,6 +56,71 @@ def shown(match: Column) -> Column:
     return F.when(F.length(match) >= 12, F.concat(F.substring(match, 1, 6), F.lit("…"))).otherwise(match)
 
 
+#: What a gate without a configuration file uses.
+DEFAULTS = {
+    "sensitive_prefixes": ["docs/"],
+    "deterministic": {"enabled": True, "allow_substrings": [], "skip_paths": []},
+}
+
+
+def load_config(spark: SparkSession, root: str, name: str = "scan.config.json") -> dict:
+    """A gate's configuration from its file under ``root``, wherever Spark can read; the defaults where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return copy.deepcopy(DEFAULTS)
+    return json.loads(spark.read.text(path.toString(), wholetext=True).first()[0])
+
+
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, text`` of all files under ``root``, paths from there; what is not UTF-8 has a null text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    inside = F.element_at(F.split("path", "\\Q" + base + "\\E", 2), -1)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    return files.select(inside.alias("path"), text.alias("text"))
+
+
+def gate(files: DataFrame, config: dict | None = None, semantic: DataFrame | None = None, only: bool = False, required: bool = False) -> dict:
+    """What a gate over ``files (path, text)`` reports, and its exit code: 0 clean, 1 something found, 2 it could not be run as asked.
+
+    The deterministic layer reads every file but those under a skipped prefix. The semantic layer's verdicts, where it ran, are rows of ``semantic
+    (path, flagged)`` for the files that carry content; ``ran`` tells apart true, false and null (nothing to do), so that a layer that did
+    not run never reads as a pass. ``required`` makes that an error, ``only`` leaves the layer out.
+    """
+    config = DEFAULTS if config is None else config
+    if only and required:
+        return {"exit_code": 2, "error": "a layer can't be left out and required"}
+    rules = config.get("deterministic", {})
+    content = files.where(carries_content(F.col("path"), tuple(config.get("sensitive_prefixes", []))))
+    read = files.where(F.col("text").isNotNull())
+    for prefix in rules.get("skip_paths", []):
+        read = read.where(~F.startswith("path", F.lit(prefix)))
+    hits = scanned(read, allowed=tuple(rules.get("allow_substrings", []))).select("path", "label", shown(F.col("match")).alias("shown")) if rules.get("enabled", True) else None
+    found = [r.asDict() for r in hits.orderBy("path", "label").collect()] if hits is not None else []
+    flagged = [r["path"] for r in semantic.join(content.select("path"), "path").where("flagged").orderBy("path").collect()] if semantic is not None and not only else []
+    needed = not only and bool(content.take(1))
+    ran = semantic is not None if needed else None
+    code = 2 if required and ran is False else 1 if found or flagged else 0
+    return {"exit_code": code, "hits": found, "flagged": flagged, "ran": ran, "error": "the semantic layer did not run" if code == 2 else None}
+
+
+def verdict_in(reply: str, key: str = "flagged") -> dict:
+    """The first JSON object of a text that holds ``key``, whatever prose is around it."""
+    decoder, at = json.JSONDecoder(), reply.find("{")
+    while at >= 0:
+        try:
+            got, _ = decoder.raw_decode(reply, at)
+        except json.JSONDecodeError:
+            got = None
+        if isinstance(got, dict) and key in got:
+            return got
+        at = reply.find("{", at + 1)
+    raise ValueError(f"no object with {key}: {reply[:400]!r}")
+
+
+MARKDOWN = r"\[[^\]]*\]\(([^)\s]+)[^)]*\)"
+
+
 def links(pages: DataFrame, text: str = "html", pattern: str = r"href=[\"']([^\"']+)[\"']") -> DataFrame:
     """Link targets that stay inside: not http(s), mailto or a fragment."""
     keep = [c for c in pages.columns if c != text]
@@ -60,7 +128,36 @@ def links(pages: DataFrame, text: str = "html", pattern: str = r"href=[\"']([^\"
     return found.where(~F.col("target").rlike("^(https?:|mailto:|#)"))
 
 
-def archive(items: DataFrame, content: str) -> DataFrame:
-    """``sha256, path, copies``: one row per distinct content, named by the start of its hash."""
+def resolved(target: Column, path: Column) -> Column:
+    """A link's target as a path from the top: without its fragment, from the linking file's folder unless it starts at the top."""
+    bare = F.regexp_replace(target, "[#?].*$", "")
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    whole = F.when(F.startswith(bare, F.lit("/")), F.substring(bare, 2, 1 << 30)).otherwise(F.concat(folder, bare))
+    steps = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    return F.array_join(walked, "/")
+
+
+def broken_links(pages: DataFrame, files: DataFrame, text: str = "text", pattern: str = MARKDOWN) -> DataFrame:
+    """``path, target`` of links of ``pages (path, text)`` whose target is no file and no folder of ``files (path)``."""
+    found = links(pages.select("path", text), text, pattern).withColumn("to", resolved(F.col("target"), F.col("path")))
+    every = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))).alias("to")).distinct()
+    return found.where("to <> ''").join(every, "to", "left_anti").select("path", "target")
+
+
+def archive(items: DataFrame, content: str, existing: DataFrame | None = None) -> DataFrame:
+    """``sha256, path, copies``: one row per distinct content, named by the start of its hash; none that ``existing (path)`` holds."""
     digest = F.sha2(F.col(content), 256)
-    return items.where(F.col(content).isNotNull()).groupBy(digest.alias("sha256")).agg(F.count("*").alias("copies")).withColumn("path", F.concat(F.substring("sha256", 1, 16), F.lit(".bin")))
+    out = items.where(F.col(content).isNotNull()).groupBy(digest.alias("sha256")).agg(F.count("*").alias("copies")).withColumn("path", F.concat(F.substring("sha256", 1, 16), F.lit(".bin")))
+    return out if existing is None else out.join(existing.select("path").distinct(), "path", "left_anti").select("sha256", "copies", "path")
+
+
+def archived(items: DataFrame, content: str, folder: str) -> DataFrame:
+    """Writes what an archive does not hold yet and returns all it holds: ``sha256, path, content``."""
+    spark, schema = items.sparkSession, f"sha256 string, path string, content {items.schema[content].dataType.simpleString()}"
+    items.where("false").select(F.lit("").alias("sha256"), F.lit("").alias("path"), F.col(content).alias("content")).write.mode("ignore").parquet(folder)
+    held = spark.read.schema(schema).parquet(folder)
+    new = items.where(F.col(content).isNotNull()).select(F.sha2(F.col(content), 256).alias("sha256"), F.col(content).alias("content")).dropDuplicates(["sha256"])
+    new = new.join(held.select("sha256"), "sha256", "left_anti").select("sha256", F.concat(F.substring("sha256", 1, 16), F.lit(".bin")).alias("path"), "content")
+    new.write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)

@@ -34,7 +34,7 @@ def search_bounds(first: Column, last: Column, low: Column, high: Column) -> tup
 
 
 def finding(peaks: DataFrame) -> DataFrame:
-    """Adds ``zone, verdict, caveats, has_next_step`` to ``peaks (latency_ms, amplitude, n_epochs, search_lo_ms, search_hi_ms, window_lo, window_hi)``.
+    """Adds ``zone, verdict, caveats, next_step, has_next_step`` to ``peaks (latency_ms, amplitude, n_epochs, search_lo_ms, search_hi_ms, window_lo, window_hi)``.
 
     A peak within ``EDGE`` of the searched range cannot refute; a refutation from few epochs or without amplitude is inconclusive.
     """
@@ -49,10 +49,17 @@ def finding(peaks: DataFrame) -> DataFrame:
     weak = (F.col("verdict") == "refuted") & (few | F.col("amplitude").isNull())
     ambiguous = F.col("zone").isin("p50_ambiguous", "p200_ambiguous")
     caveats = F.array_compact(F.array(F.when(edge, "boundary_hit"), F.when(late, "unfalsifiable_late"), F.when(ambiguous, "component_ambiguous"), F.when(few, "low_evidence")))
-    rows = rows.withColumn("has_next_step", weak | (edge & (first != "supported")))
+    more = F.when(weak, "average more epochs, and record the amplitude, before refuting").when(edge & (first != "supported"), "widen the searched range: the peak lies at its edge")
+    rows = rows.withColumns({"next_step": more, "has_next_step": more.isNotNull()})
     return rows.withColumns({"caveats": caveats, "verdict": F.when(weak, "inconclusive").otherwise(F.col("verdict"))})
 
 
+def picked(samples: DataFrame, channels: DataFrame, kinds: tuple[str, ...] = ("grad", "stim")) -> DataFrame:
+    """Samples of good channels of some kinds; ``channels (recording, channel, kind, bad)``."""
+    good = channels.where(F.col("kind").isin(*kinds) & ~F.coalesce("bad", F.lit(False))).select("recording", "channel").distinct()
+    return samples.join(good, ["recording", "channel"], "left_semi")
+
+
 def cropped(samples: DataFrame, seconds: float = CROP_S, channels: int = CHANNELS) -> DataFrame:
     """The first ``seconds`` of each recording's first ``channels`` channels by name."""
     order = Window.partitionBy("recording").orderBy("channel")
@@ -82,15 +89,30 @@ def epochs(samples: DataFrame, triggers: DataFrame, tmin: float = TMIN_S, tmax:
     return near.withColumn("lag", F.col("t") - F.col("event_t")).where(F.col("lag").between(tmin, tmax)).select("recording", "event_t", "channel", "lag", "amp")
 
 
-def baseline_corrected(rows: DataFrame) -> DataFrame:
-    """Each epoch's amplitudes less their mean at lags up to 0."""
+#: Amplitudes are summed as whole multiples of this, so that a mean does not depend on the order of its rows.
+GRAIN = 1e-6
+
+
+def whole(amp: Column, grain: float = GRAIN) -> Column:
+    return F.round(amp * F.lit(float(round(1 / grain)))).cast("long")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    return F.floor(total.cast("double") / n).cast("long")
+
+
+def baseline_corrected(rows: DataFrame, grain: float = GRAIN) -> DataFrame:
+    """Each epoch's amplitudes less their mean at lags up to 0, in whole grains."""
     w = Window.partitionBy("recording", "event_t", "channel")
-    return rows.withColumn("amp", F.col("amp") - F.coalesce(F.avg(F.when(F.col("lag") <= 0, F.col("amp"))).over(w), F.lit(0.0)))
+    before = F.when(F.col("lag") <= 0, whole(F.col("amp"), grain))
+    mean = F.coalesce(_mean(F.sum(before).over(w), F.count(before).over(w)), F.lit(0))
+    return rows.withColumn("amp", (whole(F.col("amp"), grain) - mean) / F.lit(round(1 / grain)))
 
 
-def averaged(rows: DataFrame, step: float) -> DataFrame:
-    """``recording, channel, lag_step, amp, n``: the mean over epochs in lag steps."""
-    return rows.groupBy("recording", "channel", F.floor(F.col("lag") / step).cast("long").alias("lag_step")).agg(F.avg("amp").alias("amp"), F.count("*").alias("n"))
+def averaged(rows: DataFrame, step: float, grain: float = GRAIN) -> DataFrame:
+    """``recording, channel, lag_step, amp, n``: the mean over epochs in lag steps, in whole grains."""
+    out = rows.groupBy("recording", "channel", F.floor(F.col("lag") / step).cast("long").alias("lag_step")).agg(F.sum(whole(F.col("amp"), grain)).alias("total"), F.count("*").alias("n"))
+    return out.select("recording", "channel", "lag_step", (_mean(F.col("total"), F.col("n")) / F.lit(round(1 / grain))).alias("amp"), "n")
 
 
 def peak(evoked: DataFrame, low_step: int, high_step: int) -> DataFrame:

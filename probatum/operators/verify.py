@@ -20,7 +20,7 @@ TITLE_MATCH, TITLE_DISTINCT, VERIFIED, UNREACHED_URL_CAP = 0.85, 0.60, 0.8, 0.95
 WEIGHTS = {"existence": 0.5, "metadata": 0.3, "retraction": 0.1, "url": 0.1}
 QUALITY = {"pass": 1.0, "warn": 0.6, "fail": 0.0}
 CAPS = {"retracted": 0.1, "not_found": 0.1, "unverifiable": 0.4, "warnings": 0.79}
-PROVIDERS = ("crossref", "openalex", "datacite")
+PROVIDERS, CANDIDATES = ("crossref", "openalex", "datacite"), 5
 CONFIDENCE = {"crossref": 0.95, "openalex": 0.9, "datacite": 0.9}
 RETRACTION_SOURCES = ("crossref", "openalex")
 
@@ -108,14 +108,31 @@ def title_candidates(refs: DataFrame, records: DataFrame, words: int = 2) -> Dat
     return best.select("ref_id", (-F.col("b.r")).alias("rank"), F.col("b.similarity").alias("similarity"), F.col("b.doi").alias("doi"))
 
 
+def best_candidates(refs: DataFrame, search: DataFrame) -> DataFrame:
+    """The most similar of the first ``CANDIDATES`` search results of each reference; of equal similarities the first.
+
+    ``refs (ref_id, title)``; ``search (ref_id, rank, title, year, authors, retraction)``, ranks from 1.
+    """
+    cited = text.with_plain(refs.select("ref_id", "title"), "title", "cited").where("cited <> ''").select("ref_id", "cited")
+    found = text.with_plain(search.where(F.col("rank") <= CANDIDATES), "title", "known")
+    rows = text.with_ratio(found.join(cited, "ref_id"), "cited", "known", "similarity")
+    best = F.max_by(F.struct("similarity", "title", "year", "authors", "retraction"), F.struct("similarity", -F.col("rank"))).alias("b")
+    return rows.groupBy("ref_id").agg(best).select("ref_id", "b.*")
+
+
 def looked_up(refs: DataFrame, records: DataFrame) -> DataFrame:
-    """``refs (doi, ...)`` with each provider's outcome and record, one equi-join per provider."""
-    out = refs
-    fields = ("title", "year", "authors", "retraction")
+    """``refs (doi, ...)`` with each provider's outcome and record: one table with a column per provider, one equi-join.
+
+    Of several records of one provider and DOI one counts: an answer before an error, then the greatest by its fields.
+    """
+    fields = ("title", "plain", "year", "authors", "retraction")
+    records = text.with_plain(records.where("doi <> ''"), "title", "plain")
+    one = [F.max(F.when(F.col("provider") == p, F.struct("outcome", *fields))).alias(f"_{p}") for p in PROVIDERS]
+    known = records.groupBy(F.col("doi").alias("_doi")).agg(*one)
+    out = refs.join(known, F.col("doi") == F.col("_doi"), "left").drop("_doi")
     for p in PROVIDERS:
-        one = records.where(F.col("provider") == p).select(F.col("doi").alias("_doi"), F.col("outcome").alias(f"{p}_outcome"), F.struct(*fields).alias(p))
-        out = out.join(one, (F.col("doi") == F.col("_doi")) & (F.col("doi") != ""), "left").drop("_doi")
-        out = out.withColumn(f"{p}_outcome", F.when(F.col("doi") != "", F.coalesce(f"{p}_outcome", F.lit("absent"))))
+        out = out.withColumn(f"{p}_outcome", F.when(F.col("doi") != "", F.coalesce(F.col(f"_{p}.outcome"), F.lit("absent"))))
+        out = out.withColumn(p, F.when(F.col(f"_{p}").isNotNull(), F.struct(*[F.col(f"_{p}.{f}").alias(f) for f in fields]))).drop(f"_{p}")
     return out
 
 
@@ -136,13 +153,15 @@ def verified(refs: DataFrame, records: DataFrame, probes: DataFrame, candidates:
     references without a DOI. A lookup that fails makes the verdict ``error``.
     """
     rows = refs.withColumn("doi", text.doi(F.col("doi"))).withColumns({"title": F.trim(F.coalesce("title", F.lit(""))), "url_cited": F.coalesce("url", F.lit("")) != ""})
+    rows = text.with_plain(rows, "title", "plain")
     rows = looked_up(rows, records).withColumn("hit", _first_hit())
-    no_title = F.lit(None).cast("double")
+    fields = ("title", "plain", "year", "authors", "retraction")
     if candidates is not None:
-        fields = F.struct("title", "year", "authors", "retraction").alias("found")
-        rows = rows.join(candidates.select("ref_id", "similarity", fields), "ref_id", "left")
+        found = text.with_plain(candidates, "title", "plain").select("ref_id", "similarity", F.struct(*fields).alias("found"))
+        rows = rows.join(found, "ref_id", "left")
     else:
-        rows = rows.withColumns({"similarity": no_title, "found": F.lit(None).cast(records.select(F.struct("title", "year", "authors", "retraction")).schema[0].dataType)})
+        kind = "struct<title:string,plain:string,year:int,authors:array<string>,retraction:string>"
+        rows = rows.withColumns({"similarity": F.lit(None).cast("double"), "found": F.lit(None).cast(kind)})
     has_doi, has_title = F.col("doi") != "", F.col("title") != ""
     sim = F.col("similarity")
     by_doi = F.when(F.col("hit") == "error", "error").when(F.col("hit").isNull(), "fail").otherwise("pass")
@@ -168,17 +187,19 @@ def verified(refs: DataFrame, records: DataFrame, probes: DataFrame, candidates:
 
 def with_metadata(rows: DataFrame) -> DataFrame:
     """Adds the metadata axis. A title under the distinct threshold ends the comparison; null and 0 years are missing."""
-    cited, known = F.col("title"), F.trim(F.coalesce("record.title", F.lit("")))
-    both_titles = (cited != "") & (known != "")
-    rows = rows.withColumn("sim", F.when(both_titles, text.title_ratio(text.title(cited), text.title(known))))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "_plain": F.when((F.col("title") != "") & (F.trim(F.coalesce("record.title", F.lit(""))) != ""), F.col("plain")),
+        "_known": F.col("record.plain"), "_names": F.coalesce("authors", none), "_held": F.coalesce("record.authors", none),
+    })
+    rows = text.with_overlap(text.with_ratio(rows, "_plain", "_known", "sim"), "_names", "_held", "_overlap")
     sim = F.col("sim")
     year, known_year = F.nullif(F.col("year"), F.lit(0)), F.nullif(F.col("record.year"), F.lit(0))
-    names, known_names = F.coalesce("authors", F.array().cast("array<string>")), F.coalesce("record.authors", F.array().cast("array<string>"))
-    both_names = (F.size(names) > 0) & (F.size(known_names) > 0)
-    warned = F.coalesce(sim < TITLE_MATCH, F.lit(False)) | F.coalesce(year != known_year, F.lit(False)) | (both_names & (text.author_overlap(names, known_names) < 0.5))
+    both_names = (F.size("_names") > 0) & (F.size("_held") > 0)
+    warned = F.coalesce(sim < TITLE_MATCH, F.lit(False)) | F.coalesce(year != known_year, F.lit(False)) | (both_names & (F.col("_overlap") < 0.5))
     distinct = sim < TITLE_DISTINCT
     status = F.when(F.col("record").isNull(), "unknown").when(distinct, "fail").when(sim.isNull() & ~both_names, "unknown").when(warned, "warn").otherwise("pass")
-    rows = rows.withColumn("metadata", status)
+    rows = rows.withColumn("metadata", status).drop("_plain", "_known", "_names", "_held", "_overlap")
     sure = F.when(F.col("metadata") == "unknown", 0.0).when(F.col("metadata") == "fail", 1 - sim).when(F.col("metadata") == "warn", 0.6)
     return rows.withColumn("metadata_confidence", sure.otherwise(F.greatest(F.coalesce(sim, F.lit(0.8)), F.lit(0.8))))
 

@@ -5,14 +5,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions import detectors, text
-from probatum.operators import compare, fulltext, report, scan, signal, study, verify
-from probatum.plans.fixtures import derived, duck, table
+from probatum.operators import compare, fulltext, registry, report, scan, signal, study, verify
+from probatum.plans.fixtures import derived, duck, table, work_dir
 from probatum.sources import bibtex, catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,17 +49,13 @@ def _refs(spark, d):
 
 
 def _verified(spark, d):
-    refs, records = _refs(spark, d), _records(spark, d)
-    known = records.where("provider = 'crossref' and outcome = 'ok'").withColumn("plain", text.title(F.col("title")))
-    cited = refs.where(text.doi(F.col("doi")) == "").select("ref_id", text.title(F.col("title")).alias("plain")).where("plain <> ''")
-    exact = cited.join(known, "plain").select("ref_id", F.lit(1.0).alias("similarity"), "title", "year", "authors", "retraction")
-    return verify.verified(refs, records, derived(spark, d, "probes"), exact)
+    refs = _refs(spark, d)
+    search = derived(spark, d, "search").withColumn("authors", F.array("family"))
+    return verify.verified(refs, _records(spark, d), derived(spark, d, "probes"), verify.best_candidates(refs, search))
 
 
 _PLAIN = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _DOI = r"trim(regexp_replace(trim(regexp_replace(trim(coalesce(doi, '')), '(?i)^https?://(dx\.)?doi\.org/', '')), '(?i)^doi:\s*', ''))"
-_SCORE = """
-round(CASE WHEN w > 0 THEN s / w ELSE 0 END, 3)"""
 _JUDGE = """
 j AS (SELECT *,
   (CASE existence WHEN 'pass' THEN 0.5::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.5::DOUBLE ELSE 0 END) + (CASE metadata WHEN 'pass' THEN 0.3::DOUBLE WHEN 'warn' THEN 0.6::DOUBLE * 0.3::DOUBLE ELSE 0 END)
@@ -70,30 +67,34 @@ l AS (SELECT *, CASE WHEN existence = 'error' THEN 'error' WHEN retraction = 'fa
   WHEN metadata IN ('warn', 'fail') OR retraction IN ('warn', 'fail') OR url IN ('warn', 'fail') OR retraction = 'unknown' THEN 'warnings' WHEN mean >= 0.8 THEN 'verified' ELSE 'warnings' END AS verdict FROM k),
 m AS (SELECT *, CASE verdict WHEN 'error' THEN NULL WHEN 'retracted' THEN least(mean, 0.1) WHEN 'not_found' THEN least(mean, 0.1) WHEN 'unverifiable' THEN least(mean, 0.4) WHEN 'warnings' THEN least(mean, 0.79) ELSE mean END AS capped FROM l),
 v AS (SELECT *, CASE WHEN url_cited AND url = 'unknown' THEN least(capped, 0.95) ELSE capped END::DOUBLE AS score FROM m)"""
+_RATIO = "CASE WHEN {0} = '' OR {1} = '' THEN 0.0 ELSE 2.0::DOUBLE * least(length({0}), length({1})) / (length({0}) + length({1})) END"  # one is the beginning of the other
+_BEST = f"""
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY similarity DESC, rank) AS k FROM (
+  SELECT s.*, {_RATIO.format(_PLAIN.format("r.title"), _PLAIN.format("s.title"))}::DOUBLE AS similarity FROM {duck("search")} s JOIN {duck("refs")} r ON r.ref_id = s.ref_id) m) n WHERE k = 1)"""
 _VERIFY = f"""
-WITH rec AS (SELECT * FROM {duck("records")}),
+WITH rec AS (SELECT * FROM {duck("records")}),{_BEST},
 c AS (SELECT * FROM rec WHERE provider = 'crossref'), o AS (SELECT * FROM rec WHERE provider = 'openalex'), d AS (SELECT * FROM rec WHERE provider = 'datacite'),
 r AS (SELECT ref_id, {_DOI} AS doi, trim(title) AS title, year, author, url FROM {duck("refs")}),
 x AS (SELECT r.*, c.outcome AS co, o.outcome AS oo, d.outcome AS dox, c.retraction AS cr, o.retraction AS orr,
   CASE WHEN r.doi = '' THEN NULL WHEN c.outcome = 'ok' THEN 'crossref' WHEN c.outcome = 'error' THEN 'error' WHEN o.outcome = 'ok' THEN 'openalex' WHEN o.outcome = 'error' THEN 'error'
     WHEN d.outcome = 'ok' THEN 'datacite' WHEN d.outcome = 'error' THEN 'error' END AS hit,
-  coalesce(c.title, o.title, d.title, t.title) AS kt, coalesce(c.year, o.year, d.year, t.year) AS ky, coalesce(c.family, o.family, d.family, t.family) AS kf, t.title AS tt, t.retraction AS tr
+  coalesce(c.title, o.title, d.title, t.title) AS kt, coalesce(c.year, o.year, d.year, t.year) AS ky, coalesce(c.family, o.family, d.family, t.family) AS kf, t.title AS tt, t.retraction AS tr, b.similarity AS found
   FROM r LEFT JOIN c ON c.doi = r.doi LEFT JOIN o ON o.doi = r.doi LEFT JOIN d ON d.doi = r.doi
-  LEFT JOIN (SELECT * FROM rec WHERE provider = 'crossref' AND outcome = 'ok') t ON r.doi = '' AND {_PLAIN.format("r.title")} <> '' AND {_PLAIN.format("t.title")} = {_PLAIN.format("r.title")}),
+  LEFT JOIN best b ON b.ref_id = r.ref_id LEFT JOIN best t ON r.doi = '' AND t.ref_id = r.ref_id AND t.similarity >= 0.85),
 y AS (SELECT *, CASE WHEN doi <> '' THEN CASE WHEN hit = 'error' THEN 'error' WHEN hit IS NULL THEN 'fail' ELSE 'pass' END WHEN title <> '' AND tt IS NOT NULL THEN 'pass' ELSE 'unknown' END AS existence,
-  (hit IS NOT NULL AND hit <> 'error') OR tt IS NOT NULL AS has_record, CASE WHEN {_PLAIN.format("title")} = '' THEN 0.0 WHEN {_PLAIN.format("title")} = {_PLAIN.format("kt")} THEN 1.0 ELSE 0.0 END AS sim FROM x),
+  (hit IS NOT NULL AND hit <> 'error') OR tt IS NOT NULL AS has_record, {_RATIO.format(_PLAIN.format("title"), _PLAIN.format("kt"))}::DOUBLE AS sim FROM x),
 a AS (SELECT y.ref_id, y.doi, y.existence, y.url <> '' AS url_cited,
-  CASE WHEN doi <> '' THEN CASE hit WHEN 'crossref' THEN 0.95 ELSE 0.9 END WHEN title = '' THEN 0.0 WHEN tt IS NULL THEN 0.3 ELSE 1.0 END::DOUBLE AS existence_confidence,
+  CASE WHEN doi <> '' THEN CASE hit WHEN 'crossref' THEN 0.95 ELSE 0.9 END WHEN title = '' THEN 0.0 WHEN found IS NULL THEN 0.3 WHEN tt IS NULL THEN 0.4 ELSE found END::DOUBLE AS existence_confidence,
   CASE WHEN NOT has_record THEN 'unknown' WHEN title <> '' AND sim < 0.6 THEN 'fail' WHEN title = '' AND author = '' THEN 'unknown'
-    WHEN year <> ky OR (author <> '' AND lower(CASE WHEN author LIKE '%,%' THEN split_part(author, ',', 1) ELSE split_part(author, ' ', -1) END) <> lower(kf)) THEN 'warn' ELSE 'pass' END AS metadata,
+    WHEN (title <> '' AND sim < 0.85) OR year <> ky OR (author <> '' AND lower(CASE WHEN author LIKE '%,%' THEN split_part(author, ',', 1) ELSE split_part(author, ' ', -1) END) <> lower(kf)) THEN 'warn' ELSE 'pass' END AS metadata,
   CASE WHEN doi <> '' THEN CASE WHEN (co = 'ok' AND cr IS NOT NULL) OR (oo = 'ok' AND orr IS NOT NULL) THEN 'fail' WHEN coalesce(co, '') <> 'ok' AND coalesce(oo, '') <> 'ok' THEN 'unknown' ELSE 'pass' END
     WHEN tt IS NOT NULL THEN CASE WHEN tr IS NOT NULL THEN 'fail' ELSE 'pass' END ELSE 'unknown' END AS retraction,
   CASE WHEN y.url = '' OR p.http_status IS NULL THEN 'unknown' WHEN p.http_status BETWEEN 200 AND 399 THEN 'pass' WHEN p.archived THEN 'warn' ELSE 'fail' END AS url
   FROM y LEFT JOIN {duck("probes")} p ON p.url = y.url),
 {_JUDGE.strip()}
 """
-_META_CONF = "CASE metadata WHEN 'unknown' THEN 0.0 WHEN 'fail' THEN 1.0 WHEN 'warn' THEN 0.6 ELSE (CASE WHEN has_title THEN 1.0 ELSE 0.8 END) END::DOUBLE"
-_VERIFY = _VERIFY.replace("y.url <> '' AS url_cited,", "y.url <> '' AS url_cited, y.title <> '' AS has_title,")
+_META_CONF = "CASE metadata WHEN 'unknown' THEN 0.0 WHEN 'fail' THEN 1 - sim WHEN 'warn' THEN 0.6 ELSE (CASE WHEN has_title THEN greatest(sim, 0.8) ELSE 0.8 END) END::DOUBLE"
+_VERIFY = _VERIFY.replace("y.url <> '' AS url_cited,", "y.url <> '' AS url_cited, y.title <> '' AS has_title, y.sim,")
 
 
 @query(_VERIFY + f"SELECT ref_id, doi, existence, metadata, retraction, url, existence_confidence, {_META_CONF} AS metadata_confidence, score, verdict FROM v")
@@ -128,7 +129,7 @@ _FINDING = "CASE verdict WHEN 'verified' THEN 'supported' WHEN 'not_found' THEN
 
 @query(_VERIFY + f"SELECT count(*) AS total, count(*) FILTER ({_FINDING} = 'supported') AS supported, count(*) FILTER ({_FINDING} = 'refuted') AS refuted, count(*) FILTER ({_FINDING} = 'inconclusive') AS inconclusive FROM v")
 def bibliography_rollup(spark, d):
-    return report.rolled_up(_verified(spark, d))
+    return report.rolled_up(_verified(spark, d)).drop("by_verdict")
 
 
 @query(
@@ -172,6 +173,14 @@ def title_search_top1(spark, d):
     return verify.title_candidates(refs, works.select("doi", "title"), words=3)
 
 
+@query(f"WITH {_BEST.strip()} SELECT ref_id, rank, similarity, title FROM best")
+def title_search_ranked(spark, d):
+    refs = _refs(spark, d)
+    search = derived(spark, d, "search").withColumn("authors", F.array("family"))
+    best = verify.best_candidates(refs, search.withColumn("retraction", F.col("rank").cast("string")))  # carries the rank through
+    return best.select("ref_id", F.col("retraction").cast("int").alias("rank"), "similarity", "title")
+
+
 _RETRACT = f"""
 WITH rec AS (SELECT * FROM {duck("records")}), w AS (SELECT doi FROM {duck("works")})
 SELECT w.doi, (c.outcome = 'ok' AND c.outcome IS NOT NULL)::INT + (o.outcome = 'ok' AND o.outcome IS NOT NULL)::INT AS consulted,
@@ -255,6 +264,52 @@ def compare_refused(spark, d):
     return compare.refused(derived(spark, d, "arms"))
 
 
+@query("""WITH d AS (SELECT side, item, row_number() OVER (PARTITION BY side ORDER BY item) AS k, count(*) OVER (PARTITION BY side) AS n FROM (
+  SELECT 'a' AS side, item FROM (SELECT item FROM s WHERE split = 'test' EXCEPT SELECT item FROM s WHERE split = 'test2') UNION ALL
+  SELECT 'b', item FROM (SELECT item FROM s WHERE split = 'test2' EXCEPT SELECT item FROM s WHERE split = 'test')) e)
+SELECT side, string_agg(item, ', ' ORDER BY item) || CASE WHEN max(n) > 3 THEN ' and ' || (max(n) - 3) || ' more' ELSE '' END AS shown FROM d WHERE k <= 3 GROUP BY side""".replace("FROM s", f"FROM {duck('splits')} s"))
+def split_diff_shown(spark, d):
+    return compare.shown_difference(compare.split_difference(derived(spark, d, "splits"), "test", "test2"))
+
+
+@query(_PAIRS + """, lack AS (SELECT name FROM met WHERE ascii(substring(name, 4, 1)) % 2 = 0)
+SELECT task, a, b, concat_ws(',', CASE WHEN a IN (SELECT name FROM lack) THEN 'metric:a' END, CASE WHEN b IN (SELECT name FROM lack) THEN 'metric:b' END) AS problems
+FROM p WHERE NOT (s OR u OR c) AND (a IN (SELECT name FROM lack) OR b IN (SELECT name FROM lack))""")
+def compare_without_metric(spark, d):
+    metrics = derived(spark, d, "metrics").where("ascii(substring(name, 4, 1)) % 2 = 1")
+    return compare.without_metric(derived(spark, d, "arms"), metrics, "test", "f1")
+
+
+def _results(spark, d):
+    """Results files as JSON: of every language six, of which some lack a part."""
+    k, s = F.col("k"), lambda c: F.col(c).cast("string")
+    rows = derived(spark, d, "results")
+    block = lambda role: F.struct(F.struct(F.col("tp"), F.col("fn"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall")).alias(role))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    body = text(
+        '{"results_by_method":{"', F.when(k == 5, "other").otherwise("main"), '":{', F.when(k != 4, F.lit('"parameters":{"threshold":0.5},')).otherwise(""), '"aggregate":',
+        F.when(k == 3, F.to_json(block("train"))).otherwise(F.to_json(block("test"))), "}},", F.when(k != 2, text('"test_items":["', s("low"), '","', s("high"), '"],')).otherwise(""),
+        '"matching_criteria":{"iou":0.5', F.when(k != 1, F.lit(',"classes":"all"')).otherwise(""), "}}",
+    )
+    return registry.results(rows.select("path", body.alias("body")), ["iou", "classes"], "main")
+
+
+@query(f"""SELECT path AS name, CASE k WHEN 5 THEN 'method' WHEN 4 THEN 'params' WHEN 3 THEN 'metrics' WHEN 2 THEN 'split' ELSE 'criterion:classes' END AS problem FROM {duck("results")} WHERE k > 0""")
+def results_refused(spark, d):
+    return registry.refused(_results(spark, d))
+
+
+@query(f"""SELECT path AS name, substring(sha256(least(low::VARCHAR, high::VARCHAR) || chr(10) || greatest(low::VARCHAR, high::VARCHAR)), 1, 12) AS split_id, (tp + fn)::INT AS n_units,
+  '[["classes","all"],["iou","0.5"]]' AS criterion, 'file' AS provenance FROM {duck("results")} WHERE k = 0""")
+def results_arms(spark, d):
+    return registry.arms_of(_results(spark, d))
+
+
+@query(f"SELECT path AS name, 'test' AS role, unnest(['tp', 'fn']) AS metric, unnest([tp, fn])::DOUBLE AS value FROM {duck('results')} WHERE k = 0 UNION ALL SELECT path, 'test', 'recall', tp::DOUBLE / (tp + fn) FROM {duck('results')} WHERE k = 0 AND (tp = 0 OR fn = 0)")
+def results_counts(spark, d):
+    return registry.whole_metrics(registry.metrics_of(_results(spark, d)))
+
+
 _STEPS = [round(0.1 * i, 1) for i in range(1, 10)]
 _SWEEP = f"""
 WITH t AS (SELECT unnest([{", ".join(map(str, _STEPS))}]::DOUBLE[]) AS threshold),
@@ -273,10 +328,10 @@ def sweep_interior(spark, d):
     return compare.sweep_interior(compare.threshold_sweep(derived(spark, d, "scored"), _STEPS), "threshold", "f1")
 
 
-@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 1)")
+@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 10 <> 0)")
 def leakage_by_group(spark, d):
     rows = table(spark, d, "lineitem")
-    return compare.leaked_groups(rows.where("l_orderkey % 10 = 1"), rows.where("l_orderkey % 10 = 0"), "l_suppkey")
+    return compare.leaked_groups(rows.where("l_orderkey % 10 <> 0"), rows.where("l_orderkey % 10 = 0"), "l_suppkey")
 
 
 @query("""WITH x AS (SELECT count(DISTINCT doc_id) / count(*)::DOUBLE AS a, count(DISTINCT lang) / count(*)::DOUBLE AS b, count(DISTINCT source) / count(*)::DOUBLE AS c FROM documents)
@@ -369,6 +424,18 @@ def link_extract(spark, d):
     return scan.links(table(spark, d, "pages").select("page_id", "html"))
 
 
+@query("""WITH m AS (SELECT doc_id, 'd/' || source || '/' || doc_id || '.md' AS path, 'See [next](../' || source || '/' || (doc_id + 1) || '.md#top) and [web](https://example.org) and [top](/d/' || source || ') here' AS text FROM documents),
+t AS (SELECT path, '../' || split_part(path, '/', 2) || '/' || (doc_id + 1) || '.md#top' AS target, 'd/' || split_part(path, '/', 2) || '/' || (doc_id + 1) || '.md' AS goal FROM m)
+SELECT path, target FROM t WHERE goal NOT IN (SELECT path FROM m)""")
+def broken_links(spark, d):
+    """Documents stand for Markdown pages in folders of their sources."""
+    source, doc = F.col("source"), F.col("doc_id")
+    path = F.concat(F.lit("d/"), source, F.lit("/"), doc, F.lit(".md"))
+    text = F.concat(F.lit("See [next](../"), source, F.lit("/"), doc + 1, F.lit(".md#top) and [web](https://example.org) and [top](/d/"), source, F.lit(") here"))
+    pages = table(spark, d, "documents").where("source is not null").select(path.alias("path"), text.alias("text"))
+    return scan.broken_links(pages, pages)
+
+
 @query("SELECT sha256(text) AS sha256, count(*) AS copies, substring(sha256(text), 1, 16) || '.bin' AS path FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_archive(spark, d):
     return scan.archive(table(spark, d, "documents"), "text")
@@ -378,8 +445,9 @@ def content_archive(spark, d):
 
 _EPOCH = f"""
 WITH e AS (SELECT s.recording, t.t AS event_t, channel, s.t - t.t AS lag, amp FROM {duck("triggers")} t JOIN {duck("samples")} s ON s.t BETWEEN t.t - 5 AND t.t + 15),
-b AS (SELECT *, amp - coalesce(avg(CASE WHEN lag <= 0 THEN amp END) OVER (PARTITION BY recording, event_t, channel), 0) AS adj FROM e),
-v AS (SELECT recording, channel, floor(lag / 2)::BIGINT AS lag_step, avg(adj) AS amp, count(*) AS n FROM b GROUP BY 1, 2, 3)"""
+f AS (SELECT recording, event_t, channel, lag, round(amp * 1000000)::BIGINT AS amp FROM e),
+b AS (SELECT *, amp - coalesce(floor((sum(CASE WHEN lag <= 0 THEN amp END) OVER w)::DOUBLE / (count(CASE WHEN lag <= 0 THEN amp END) OVER w)), 0)::BIGINT AS adj FROM f WINDOW w AS (PARTITION BY recording, event_t, channel)),
+v AS (SELECT recording, channel, floor(lag / 2)::BIGINT AS lag_step, floor(sum(adj)::DOUBLE / count(*)) / 1000000 AS amp, count(*) AS n FROM b GROUP BY 1, 2, 3)"""
 
 
 def _evoked(spark, d):
@@ -387,14 +455,14 @@ def _evoked(spark, d):
     return signal.averaged(rows, 2.0)
 
 
-@query(_EPOCH + " SELECT recording, channel, lag_step, round(amp, 6) AS amp, n FROM v")
+@query(_EPOCH + " SELECT recording, channel, lag_step, amp, n FROM v")
 def epoch_average(spark, d):
-    return _evoked(spark, d).withColumn("amp", F.round("amp", 6))
+    return _evoked(spark, d)
 
 
-@query(_EPOCH + " SELECT recording, channel, lag_step, amp, n FROM (SELECT recording, channel, lag_step, round(amp, 6) AS amp, n, row_number() OVER (PARTITION BY recording ORDER BY abs(round(amp, 6)) DESC, lag_step, channel) AS k FROM v WHERE lag_step BETWEEN 0 AND 6) WHERE k = 1")
+@query(_EPOCH + " SELECT recording, channel, lag_step, amp, n FROM (SELECT recording, channel, lag_step, amp, n, row_number() OVER (PARTITION BY recording ORDER BY abs(amp) DESC, lag_step, channel) AS k FROM v WHERE lag_step BETWEEN 0 AND 6) WHERE k = 1")
 def epoch_peak(spark, d):
-    return signal.peak(_evoked(spark, d).withColumn("amp", F.round("amp", 6)), 0, 6)
+    return signal.peak(_evoked(spark, d), 0, 6)
 
 
 @query(f"SELECT recording, code, n FROM (SELECT recording, code, count(*) AS n, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, min(t), code) AS k FROM {duck('triggers')} GROUP BY 1, 2) WHERE k = 1")
@@ -476,14 +544,49 @@ def doi_list_parse(spark, d):
     return out.select(F.col("path").alias("ref_id"), "doi")
 
 
-@query("SELECT l_returnflag AS status, count(*) AS n FROM lineitem GROUP BY 1")
-def study_status(spark, d):
-    return report.tally(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "status"), "status")
+def _store(spark):
+    return study.StudyStore(spark, f"{work_dir(spark)}/studies-{uuid.uuid4().hex}")
 
 
-@query("SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 50")
+@query("""SELECT CASE WHEN l_linenumber <= 3 THEN 'done' WHEN l_linenumber = 4 THEN 'failed' WHEN l_returnflag = 'R' AND l_linenumber = 5 THEN 'skipped' ELSE 'pending' END AS status, count(*) AS n
+FROM (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem) x GROUP BY 1""")
+def study_status(spark, d):
+    """Return flags stand for studies, line numbers for steps."""
+    seen = sorted(map(tuple, table(spark, d, "lineitem").select("l_returnflag", "l_linenumber").distinct().collect()))
+    store = _store(spark)
+    slugs = sorted({s for s, _ in seen})
+    store.create_studies([{"slug": s, "plan": [str(n) for t, n in seen if t == s]} for s in slugs])
+    for s in slugs:
+        names = store.study(s)["plan"]
+        store.add_steps(s, names)
+        store.set_steps(s, {n: "done" if int(n) <= 3 else "failed" if n == "4" else "skipped" if (s, n) == ("R", "5") else "pending" for n in names})
+    return store.step_tally()
+
+
+@query("SELECT n_nationkey + 1 AS id, n_name AS slug, 'planned' AS status FROM nation ORDER BY n_nationkey DESC LIMIT 20")
 def study_recent(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).orderBy(F.desc("conv_id")).limit(50)
+    """Nations stand for studies, made in the order of their keys."""
+    store = _store(spark)
+    store.create_studies([{"slug": r["n_name"]} for r in table(spark, d, "nation").orderBy("n_nationkey").collect()])
+    return store.recent(20).select("id", "slug", "status")
+
+
+@query(_VERIFY + f"SELECT {_FINDING} AS verdict, count(*) AS n FROM v WHERE ref_id % 10 = 6 GROUP BY 1")
+def study_bibliography(spark, d):
+    """A study of the references without a DOI that stops after its first batch and is resumed."""
+    refs = _refs(spark, d).where("ref_id % 10 = 6")
+    search, calls = derived(spark, d, "search").withColumn("authors", F.array("family")), []
+
+    def verifier(some):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        return verify.verified(some, _records(spark, d), derived(spark, d, "probes"), verify.best_candidates(some, search))
+
+    store, steps = _store(spark), study.bibliography_steps(refs, verifier, batches=2)
+    study.run(store, "refs", steps)
+    study.resume(store, "refs", steps)
+    return report.tally(store.outputs("refs", "findings"))
 
 
 @query("""SELECT event_id, '{"success":true,"event_id":' || event_id || ',"level":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 10)::VARCHAR || '.5' END || '}' AS json FROM events""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from probatum.sources.shipping import ship
@@ -23,11 +25,26 @@ SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_partkey AS work,
   CASE WHEN l_linenumber = 6 THEN '' ELSE concat(
     CASE l_linenumber WHEN 1 THEN 'https://doi.org/' WHEN 2 THEN ' doi: ' WHEN 4 THEN 'HTTP://dx.doi.org/' ELSE '' END, '10.5555/',
     CASE WHEN l_orderkey % 11 = 0 THEN l_partkey + 10000000 ELSE l_partkey END) END AS doi,
-  CASE WHEN l_orderkey % 5 = 1 AND l_linenumber <> 6 THEN '' WHEN l_orderkey % 13 = 2 THEN '####' ELSE concat('Trials of ', p_name, ' by ', p_brand, ' ', p_partkey) END AS title,
+  CASE WHEN l_orderkey % 5 = 1 AND l_linenumber <> 6 THEN '' WHEN l_orderkey % 13 = 2 THEN '####'
+    WHEN l_orderkey % 13 IN (4, 6) AND l_linenumber <> 6 THEN substring(concat('Trials of ', p_name, ' by ', p_brand, ' ', p_partkey), 1,
+      CAST(floor(length(concat('Trials of ', p_name, ' by ', p_brand, ' ', p_partkey)) * CASE WHEN l_orderkey % 13 = 4 THEN 70 ELSE 40 END / 100) AS INT))
+    ELSE concat('Trials of ', p_name, ' by ', p_brand, ' ', p_partkey) END AS title,
   CAST(CASE WHEN l_orderkey % 7 = 3 THEN 1981 + p_size WHEN l_orderkey % 7 = 5 THEN NULL ELSE 1980 + p_size END AS INT) AS year,
   CASE WHEN l_orderkey % 9 = 4 THEN 'Somebody, Else' WHEN l_orderkey % 9 = 5 THEN '' ELSE concat('Given ', 'Author', p_partkey % 50) END AS author,
   CASE WHEN l_orderkey % 4 = 1 THEN concat('https://example.org/', l_orderkey % 8) ELSE '' END AS url
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM {lineitem} WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, l_linenumber) li JOIN {part} ON p_partkey = l_partkey
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) li JOIN {part} ON p_partkey = l_partkey
+"""
+#: What a provider's title search returns for references without a DOI: a bad first result, then a better one, then that again from another year.
+SEARCH = """
+SELECT r.ref_id, k.n AS rank, substring(w.title, 1, CAST(floor(length(w.title) * CASE WHEN k.n = 1 THEN 55 WHEN w.work % 3 = 0 THEN 100 WHEN w.work % 3 = 1 THEN 90 ELSE 70 END / 100) AS INT)) AS title,
+  CAST(w.year + CASE WHEN k.n = 3 THEN 7 ELSE 0 END AS INT) AS year, w.family, CASE WHEN w.work % 19 = 5 THEN 'retraction' END AS retraction
+FROM ({refs}) r JOIN ({works}) w ON w.work = r.work CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) k
+WHERE r.doi = '' AND r.title NOT IN ('', '####') AND w.slot <= 5 AND w.work % 17 <> 0
+"""
+#: Files with the results of one evaluation each; some lack what an arm needs.
+RESULTS = """
+SELECT concat('results-', lang, '-', k) AS path, lang, k, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS fn,
+  min(d.doc_id) AS low, max(d.doc_id) AS high FROM (SELECT *, doc_id % 6 AS k FROM {documents}) d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang, k
 """
 PROBES = """
 SELECT concat('https://example.org/', k) AS url, CAST(CASE WHEN k = 1 THEN 200 WHEN k = 5 THEN 404 END AS INT) AS http_status, k = 5 AND k % 2 = 0 AS archived
@@ -60,12 +77,18 @@ FROM ({works}) w WHERE slot < 8
 UNION ALL SELECT 'unpaywall', doi, CASE WHEN work % 13 = 1 THEN 'error' ELSE 'ok' END, work % 4 = 1, 'green', concat('https://example.org/un/', work), '' FROM ({works}) w WHERE slot BETWEEN 2 AND 9
 """
 SQL = {
-    "works": WORKS, "records": RECORDS, "refs": REFS, "probes": PROBES, "findings": FINDINGS, "splits": SPLITS, "scored": SCORED, "arms": ARMS,
+    "works": WORKS, "records": RECORDS, "refs": REFS, "search": SEARCH.replace("{refs}", REFS).replace("{works}", WORKS), "results": RESULTS, "probes": PROBES, "findings": FINDINGS, "splits": SPLITS, "scored": SCORED, "arms": ARMS,
     "metrics": METRICS.replace("{arms}", ARMS), "samples": SAMPLES, "triggers": TRIGGERS, "locations": LOCATIONS.replace("{works}", WORKS),
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is named, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,65 +25,105 @@ LETTERS = {
 #: Entry types without references.
 OTHER = ("comment", "string", "preamble")
 SCHEMA = "raw string, title string, authors array<string>, year int, doi string, venue string, url string"
-_LETTER = re.compile(r"\\(ss|[aA][eE]|[oO][eE]|aa|AA|dh|DH|th|TH|dj|DJ|ng|NG|[oOlLij])(?![A-Za-z])\s*(?:\{\})?")
-_ACCENT = re.compile(r"""\\(["'`^~=.]|[uvHrckdb](?=[\s{]))\s*(\{\s*)?\\?([A-Za-z])(?(2)\s*\})""")
-_OPEN, _BRACE, _KEY, _YEAR = re.compile(r"@([^{]*)\{"), re.compile(r"[{}]"), re.compile(r"([A-Za-z][\w-]*)\s*=\s*", re.ASCII), re.compile(r"\d{4}")
+_TOKEN = re.compile(r"""\\[A-Za-z]+|\\[^A-Za-z{}]|[{}",=]|[^\\{}",=]+|\\""", re.S)
+_ENTRY, _NAME, _YEAR = re.compile(r"@([^{]*)\{"), re.compile(r"([A-Za-z][\w-]*)\s*$", re.ASCII), re.compile(r"\d{4}")
 
 
-def _past_brace(text: str, at: int) -> int:
-    """The position after the brace that closes the one at ``at``; beyond the end if none does."""
+def _close(tokens: list[str], at: int) -> int:
+    """The place of the token that closes the brace at ``at``; the number of tokens if none does."""
     depth = 0
-    for m in _BRACE.finditer(text, at):
-        depth += 1 if m[0] == "{" else -1
+    for i in range(at, len(tokens)):
+        depth += (tokens[i] == "{") - (tokens[i] == "}")
         if not depth:
-            return m.end()
-    return len(text) + 1
-
-
-def decoded(value: str) -> str:
-    """LaTeX letters and accents as composed Unicode."""
-    if "\\" not in value:
-        return value
-    value = _LETTER.sub(lambda m: LETTERS.get(m[1], m[0]), value)
-    return unicodedata.normalize("NFC", _ACCENT.sub(lambda m: m[3] + ACCENTS[m[1]], value))
-
-
-def bare(value: str) -> str:
-    """A field's value without delimiters and braces, spaces squeezed."""
-    value = value.strip().rstrip(",").strip()
-    if value[:1] == '"' and value[-1:] == '"':
-        value = value[1:-1]
-    return " ".join(decoded(value).replace("{", "").replace("}", "").split())
+            return i
+    return len(tokens)
+
+
+def _accented(tokens: list[str], at: int, mark: str) -> tuple[str, int] | None:
+    """The letter that an accent before ``at`` falls on, with its mark, and the place after it."""
+    braced = False
+    while at < len(tokens) and (tokens[at].isspace() or (tokens[at] == "{" and not braced)):
+        braced |= tokens[at] == "{"
+        at += 1
+    if at == len(tokens):
+        return None
+    t = tokens[at]
+    letter, rest = (t[1], "") if t in ("\\i", "\\j") else (t.lstrip()[:1], t.lstrip()[1:])
+    if not (letter.isascii() and letter.isalpha()):
+        return None
+    tokens[at] = rest
+    if braced and not rest and tokens[at + 1 : at + 2] == ["}"]:
+        at += 2
+    elif not rest:
+        at += 1
+    return letter + mark, at
+
+
+def plain_value(raw: str) -> str:
+    """A field's value as text: commands of letters and accents as the letters they stand for, no braces, spaces squeezed."""
+    tokens, out, at = _TOKEN.findall(raw), [], 0
+    while at < len(tokens):
+        t, name = tokens[at], tokens[at][1:] if tokens[at][0:1] == "\\" else None
+        at += 1
+        if name in LETTERS:
+            out.append(LETTERS[name])
+            if at < len(tokens):
+                tokens[at] = tokens[at].lstrip()
+            at += 2 * (tokens[at : at + 2] == ["{", "}"])
+        elif name in ACCENTS and (not name.isalpha() or tokens[at : at + 1] == ["{"] or tokens[at : at + 1] and tokens[at][:1].isspace()) and (got := _accented(tokens, at, ACCENTS[name])):
+            out.append(got[0])
+            at = got[1]
+        elif t not in ("{", "}"):
+            out.append(t)
+    text = "".join(out)
+    return " ".join((unicodedata.normalize("NFC", text) if "\\" in raw else text).split())
 
 
 def fields(body: str) -> dict[str, str]:
-    """The fields of an entry; names in lower case, of repeated ones the last."""
-    found, at = {}, body.find(",") + 1
-    while m := _KEY.search(body, at):
-        start = m.end()
-        if start >= len(body):
+    """The fields of an entry's body, its key first; names in lower case, of repeated ones the last."""
+    tokens = _TOKEN.findall(body)
+    at = tokens.index(",") + 1 if "," in tokens else len(tokens)
+    found, before = {}, ""
+    while at < len(tokens):
+        t = tokens[at]
+        at += 1
+        if t != "=" or not (name := _NAME.search(before)):
+            before = t if t in ("{", "}", ",", '"', "=") else before + t
+            continue
+        while at < len(tokens) and tokens[at].isspace():
+            at += 1
+        if at == len(tokens):
             break
-        if body[start] == "{":
-            end = _past_brace(body, start)
+        first = tokens[at]
+        if first == "{":
+            end = _close(tokens, at)
+            value = tokens[at + 1 : end]
+        elif first == '"':
+            end = next((i for i in range(at + 1, len(tokens)) if tokens[i] == '"'), len(tokens))
+            value = tokens[at + 1 : end]
         else:
-            quote = body[start] == '"'
-            end = body.find('"' if quote else ",", start + quote)
-            end = len(body) + 1 if end < 0 else end + quote
-        found[m[1].lower()] = bare(body[start:end])
-        at = end if body[start] in '{"' else end + 1
+            end = next((i for i in range(at, len(tokens)) if tokens[i] == ","), len(tokens))
+            value = tokens[at:end]
+        found[name[1].lower()] = plain_value("".join(value))
+        at, before = end + 1, ""
     return found
 
 
 def references(text: str | None) -> list[tuple]:
     """``raw, title, authors, year, doi, venue, url`` of every entry that has fields."""
     out, at, text = [], 0, text or ""
-    while m := _OPEN.search(text, at):
-        at = _past_brace(text, m.end() - 1)
+    while m := _ENTRY.search(text, at):
+        depth, at = 0, len(text) + 1
+        for t in _TOKEN.finditer(text, m.end() - 1):
+            depth += (t[0] == "{") - (t[0] == "}")
+            if not depth:
+                at = t.end()
+                break
         body = text[m.end() : at - 1]
         f = {} if m[1].strip().lower() in OTHER else fields(body)
         if f:
             year = _YEAR.search(f.get("year", ""))
-            authors = [a.strip() for a in re.split(r"\s+and\s+", f.get("author", "").strip()) if a.strip()]
+            authors = [a for a in map(str.strip, re.split(r"\s+and\s+", f.get("author", ""))) if a]
             out.append((body.strip(), f.get("title", ""), authors, int(year[0]) if year else None, f.get("doi", ""), f.get("journal") or f.get("booktitle") or "", f.get("url", "")))
     return out
 

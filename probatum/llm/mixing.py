@@ -10,12 +10,15 @@ holds its budget of tokens. The stream is never sorted as a whole: token sums of
 wholly inside the prefix, and only the bucket at its end is ordered.
 
 Tokens are maximal runs other than ASCII white space; null texts have none. A null language or source counts as an
-empty string; null ids order first. Repeated rows are separate documents. A document without tokens is taken if the
+empty string; null ids order first. A node of weight 0 or less takes nothing; a node that no weights name has weight 1.
+Repeated rows are separate documents. A document without tokens is taken if the
 prefix is not yet full where it stands. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,20 +60,23 @@ def divide(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
     return out.withColumn("given", given).drop("ratio", "cum_cap", "rest_w", "full", "cap_full", "w_open")
 
 
-def leaf_budgets(leaves: DataFrame, fraction: float, epochs: int, domain_weights: dict[str, int], lang_weights: dict[str, int]) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, fraction: float, epochs: int, domain_weights: dict, lang_weights: dict, source_weights: dict) -> DataFrame:
     """``domain, lang, source, budget`` from ``leaves (domain, lang, source, tokens)``, one row per leaf."""
-    weigh = {"domain": lambda c: weight_of(c, domain_weights), "lang": lambda c: weight_of(c, lang_weights), "source": lambda c: F.lit(1.0)}
+    weights = {"domain": domain_weights, "lang": lang_weights, "source": source_weights}
     level = leaves.agg(F.floor(F.sum("tokens") * fraction).cast("double").alias("budget"))
     for i, name in enumerate(LEVELS):
         own, parent = list(LEVELS[: i + 1]), list(LEVELS[:i])
         nodes = leaves.groupBy(*own).agg((F.sum("tokens") * epochs).alias("capacity"))
         nodes = nodes.join(level, parent) if parent else nodes.crossJoin(F.broadcast(level))  # the root's budget is one row
-        nodes = nodes.withColumns({"weight": weigh[name](F.col(name)), "node": F.col(name)})
+        nodes = nodes.withColumns({"weight": weight_of(F.col(name), weights[name]), "node": F.col(name)}).where("weight > 0")
         level = divide(nodes, parent, "budget").select(*own, F.col("given").alias("budget"))
     return level.withColumn("budget", F.floor("budget"))
 
 
-def mixed(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, domain_weights: dict[str, int] | None = None, lang_weights: dict[str, int] | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED,
+    domain_weights: dict | None = None, lang_weights: dict | None = None, source_weights: dict | None = None,
+) -> DataFrame:
     """``doc_id, domain, lang, source, epoch, tokens, taken``: a row for each epoch in which a document is taken."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     base = docs.select(
@@ -79,10 +85,13 @@ def mixed(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, see
     )
     base = written(base, "mixing")
     leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    budgets = written(leaf_budgets(leaves, fraction, epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS), "budgets")
+    given = (DOMAIN_WEIGHTS if domain_weights is None else domain_weights, LANG_WEIGHTS if lang_weights is None else lang_weights, source_weights or {})
+    budgets = written(leaf_budgets(leaves, fraction, epochs, *given), "budgets")
+    # a leaf has about as many buckets as a bucket has rows, whatever the size, so neither the sums nor the last bucket is a large group
+    digits = max(BUCKET_DIGITS, math.ceil(math.log(max(1, base.count())) / math.log(16) / 2))
     stream = base.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
     name = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    stream = stream.withColumn("key", F.md5(name)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    stream = stream.withColumn("key", F.md5(name)).withColumn("bucket", F.substring("key", 1, digits))
     leaf = list(LEVELS)
     sums = stream.groupBy(*leaf, "epoch", "bucket").agg(F.sum("tokens").alias("held")).join(budgets, leaf)
     before = Window.partitionBy(*leaf).orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, 0)

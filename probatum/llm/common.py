@@ -13,9 +13,12 @@ from probatum.sources.shipping import ship
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set and driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 

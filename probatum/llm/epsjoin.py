@@ -39,9 +39,10 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def principal_axes(vectors: DataFrame, dims: int, k: int = AXES) -> np.ndarray:
-    """Leading axes of a bounded sample: ``AXES_SAMPLE`` vectors of length ``dims`` with the lowest hashes of their id."""
-    got = vectors.where(F.size("embedding") == dims).orderBy(F.xxhash64("rep")).limit(AXES_SAMPLE).select("embedding").toPandas()
+def principal_axes(vectors: DataFrame, dims: int, total: int, k: int = AXES) -> np.ndarray:
+    """Leading axes of a bounded sample: about ``AXES_SAMPLE`` of the ``total`` vectors, chosen by a hash of their id, of length ``dims``."""
+    share = F.pmod(F.xxhash64("rep", F.lit("axes")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, AXES_SAMPLE / max(1, total)))
+    got = vectors.where(share & (F.size("embedding") == dims)).limit(2 * AXES_SAMPLE).select("embedding").toPandas()
     if got.empty:
         return np.zeros((dims, 0))
     rows = unit(np.stack(got["embedding"].to_numpy()).astype(float))
@@ -142,11 +143,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, interval:
     able = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     reps = written(rows.where(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     sizes = [r[0] for r in reps.select(F.size("embedding").alias("d")).groupBy("d").count().orderBy(F.desc("count")).limit(16).collect()]
-    axes = {d: principal_axes(reps, d) for d in sizes}
+    total, label = reps.count(), reps.schema["label"].dataType.simpleString()
+    axes = {d: principal_axes(reps, d, total) for d in sizes}
     cs = [f"c{i}" for i in range(k)]
-    schema = "label int, embedding array<double>, rep long, n long, dims int, " + ", ".join(f"{c} long" for c in cs)
-    reps = reps.withColumn("label", F.col("label").cast("int"))
-    parts = max(1, -(-reps.count() // interval))
+    schema = f"label {label}, embedding array<double>, rep long, n long, dims int, " + ", ".join(f"{c} long" for c in cs)
+    parts = max(1, -(-total // interval))
     cut = written(
         reps.select("label", "embedding", "rep", "n").mapInPandas(_cells_of(axes, eps, k), schema).repartitionByRange(parts, "label", "dims", *cs, "rep").withColumn("iv", F.spark_partition_id()),
         "intervals",
@@ -173,7 +174,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, interval:
         reps.join(counts, reps.rep == counts.u, "left").join(comps, F.col("rep") == F.col("node"), "left")
         .select("label", "embedding", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("comp"))
     )
-    keyed = rows.withColumn("able", able).select("vec_id", F.when(F.col("able"), F.col("label").cast("int")).alias("label"), F.when(F.col("able"), F.col("embedding")).alias("embedding"))
+    keyed = rows.withColumn("able", able).select("vec_id", F.when(F.col("able"), F.col("label")).alias("label"), F.when(F.col("able"), F.col("embedding")).alias("embedding"))
     out = keyed.join(of_rep, ["label", "embedding"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Every component becomes floor(256 x). Candidates are sorted by length (largest first) and cut into buckets. A first
-pass scores every query against the longest bucket, which gives each query a threshold: its k-th best score so far.
-A query then visits only buckets whose greatest length can still reach the threshold. Inside a bucket the local
+pass scores every query, in blocks, against the longest bucket, which gives each query a threshold: its k-th best score so
+far. A query then visits only buckets whose greatest length can still reach the threshold: a range join of queries with
+the table of buckets, by levels of a quarter of a binary order of length. Inside a bucket the local
 cosine threshold decides between length pruning (a prefix of the bucket's candidates, which are in order of length)
 and coordinate pruning (the interval that a unit vector's coordinate must lie in); survivors' products are computed
 exactly. Ties go to the smaller id, so nothing that can tie is pruned.
@@ -105,35 +106,41 @@ def top_products(embeddings: DataFrame, every: int = EVERY, k: int = K, bucket:
     rows = embeddings.where(fine).select("vec_id", scaled.alias("v")).distinct()
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     rows = written(rows, "scaled")
-    parts = max(1, -(-rows.count() // bucket))
+    total = rows.count()
+    parts, blocks = max(1, -(-total // bucket)), max(1, -(-total // (every * QUERY_BLOCK)))
     cands = written(rows.repartitionByRange(parts, F.desc("norm"), "vec_id").withColumn("bucket", F.spark_partition_id()), "buckets")
-    longest = cands.groupBy("bucket").agg(F.max("norm").alias("top")).orderBy("bucket").collect()
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-rows.count() // (every * QUERY_BLOCK))))).cast("int"))
+    tops = cands.groupBy("bucket").agg(F.max("norm").alias("top")).withColumn("level", _level(F.col("top")))
+    first, longest = tops.agg(F.min("bucket"), F.max("level")).first()
+    if first is None:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))  # no row
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    none = F.lit(None).cast("double").alias("theta")
 
     def passed(asked: DataFrame, over: DataFrame) -> DataFrame:
-        """Each query of ``asked (bucket, block, ...)`` against its bucket; a group is one bucket and one block of queries."""
-        wanted = asked.select("bucket", "block").distinct()
-        both = asked.select("bucket", "block", "vec_id", "v", "theta", F.lit(True).alias("query")).unionAll(
-            over.join(wanted, "bucket").select("bucket", "block", "vec_id", "v", F.lit(None).cast("double").alias("theta"), F.lit(False).alias("query"))
-        )
+        """Queries ``asked (bucket, block, ...)`` against candidates ``over (bucket, block, ...)``; a group is one bucket and one block of queries."""
+        both = asked.select("bucket", "block", "vec_id", "v", "theta", F.lit(True).alias("query")).unionAll(over.select("bucket", "block", "vec_id", "v", none, F.lit(False).alias("query")))
         return both.groupBy("bucket", "block").applyInPandas(_retrieve(k), "query_id long, vec_id long, score long")
 
-    if not longest:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = longest[0]["bucket"]
-    seeds = written(passed(queries.select(F.lit(first).alias("bucket"), "block", "vec_id", "v", F.lit(float("-inf")).alias("theta")), cands.where(F.col("bucket") == first)), "seeds")
+    of_first = cands.where(F.col("bucket") == first).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    seeds = written(passed(queries.select(F.lit(first).alias("bucket"), "block", "vec_id", "v", F.lit(float("-inf")).alias("theta")), of_first), "seeds")
     theta = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("theta"))
-    tops = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["top"]).alias("top")) for r in longest[1:]]) if longest[1:] else None
-    every_best = seeds
-    if tops is not None:
-        held = queries.join(theta, queries.vec_id == theta.query_id, "left").select("block", "vec_id", "v", "norm", F.coalesce("theta", F.lit(float("-inf"))).alias("theta"))
-        reach = F.filter(tops, lambda b: (F.col("theta") == float("-inf")) | (b["top"] * F.col("norm") * (1 + 1e-9) >= F.col("theta")))
-        asked = held.withColumn("b", F.explode(reach)).select(F.col("b.bucket").alias("bucket"), "block", "vec_id", "v", "theta")
-        every_best = seeds.unionAll(passed(asked, cands.where(F.col("bucket") != first)))
+    held = queries.join(theta, queries.vec_id == theta.query_id, "left").select("block", "vec_id", "v", "norm", F.coalesce("theta", F.lit(float("-inf"))).alias("theta"))
+    least = F.when(F.col("theta") <= 0, F.lit(0.0)).when(F.col("norm") > 0, F.col("theta") / F.col("norm") * (1 - 1e-9)).otherwise(F.lit(float("inf")))
+    held = held.withColumn("least", least).where(F.col("least") < float("inf"))
+    held = held.withColumn("level", F.explode(F.sequence(_level(F.col("least")), F.greatest(F.lit(longest), _level(F.col("least"))))))
+    others = tops.where(F.col("bucket") != first)
+    asked = written(held.join(others, "level").where("top >= least").select("bucket", "block", "vec_id", "v", "theta"), "asked")
+    wanted = asked.select("bucket", "block").distinct()
+    every_best = seeds.unionAll(passed(asked, cands.where(F.col("bucket") != first).join(wanted, "bucket")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every_best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _level(length):
+    """A quarter of a binary order of a length; lengths of integer vectors are 0 or at least 1."""
+    return F.floor(4 * F.log2(F.greatest(length, F.lit(1.0)))).cast("int")
+
+
 def _floor(x):
     """floor() that stays a double, whatever the size."""
     return F.when(F.abs(x) < EXACT, F.floor(F.when(F.abs(x) < EXACT, x)).cast("double")).otherwise(x)

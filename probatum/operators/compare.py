@@ -105,7 +105,7 @@ def without_metric(arms: DataFrame, metrics: DataFrame, role: str, metric: str)
     good = pairs(arms).where(F.size("problems") == 0).select("task", "a", "b")
     for side in ("a", "b"):
         good = good.join(has.select(F.col("name").alias(side), F.lit(True).alias(f"has_{side}")), side, "left")
-    lacking = F.array_compact(F.array(*[F.when(F.col(f"has_{x}").isNull(), F.concat(F.lit("metric:"), F.col(x))) for x in ("a", "b")]))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"has_{x}").isNull(), f"metric:{x}") for x in ("a", "b")]))
     return good.withColumn("problems", F.array_join(lacking, ",")).where("problems <> ''").select("task", "a", "b", "problems")
 
 

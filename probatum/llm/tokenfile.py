@@ -5,17 +5,18 @@ the document within its partition), ``frames`` (byte offsets into ``payload``, o
 (one zstandard frame per document) and the SHA-256 of the dictionary. A short document is read by decompressing its own
 frame. The dictionary is trained on serialized id arrays of at most about ``SAMPLES`` documents chosen by a hash of the id.
 
-Ids come from the tokenizers library; each distinct piece of text is encoded once and cached, since the library's model
-works on pieces. Partitions are ranges of ids; tokens before a partition are summed over partitions, of which the driver
-sees only the totals.
+Ids come from the tokenizers library as it is loaded: each distinct piece of text is encoded once and cached, since the
+library's model works on pieces, and a text that holds the string of an added token goes to the library whole. Partitions
+are ranges of id; the tokens before a partition are summed in two levels of windows, and the sums join the shards.
 
-Null and empty texts have the end id only. Null ids sort first. Repeated ids are separate documents, in no particular
-order among themselves. Special tokens' strings in a text are ordinary text. Other columns are ignored.
+Null and empty texts have the end id only. Null ids sort first. Repeated ids are separate documents, in the order of a
+hash of their ids. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import gc
 import hashlib
@@ -23,22 +24,25 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probatum.llm.bpe import vocabulary_path
 from probatum.llm.common import written
 from probatum.llm.pretoken import in_chunks, pieces_of
 
-VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 1_500_000
+VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000
+PART_BYTES, PARTS_A_BLOCK = 32 << 20, 4096
 
 
 class LibraryCache(dict):
     """The serialized ids of pieces, encoded by the library in batches.
 
-    A space and letters are always a piece of their own, so such pieces are given to the library many to a text and its word
-    numbers tell their ids apart.
+    A space and letters are always a piece of their own, so such pieces are given to the library many to a text, and the
+    bytes that each token stands for tell their ids apart. A full cache is kept until as many pieces were missing again.
     """
 
     TOGETHER = 512
@@ -46,43 +50,69 @@ class LibraryCache(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.missed = Tokenizer.from_file(path), 0
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)  # in a byte-level vocabulary each character of a token is one byte
 
-    def learn(self, pieces: list[str]) -> None:
-        plain, other = [], []
+    def library_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learned(self, pieces: list[str]) -> dict[str, bytes]:
+        plain, other, out = [], [], {}
         for p in pieces:
-            (plain if p[0] == " " and p[1:2].isalpha() else other).append(p)
+            (plain if p[0] == " " and p[1:].isalpha() else other).append(p)
         size = self.kind.itemsize
         groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
         for at in range(0, len(groups), 64):
             part = groups[at : at + 64]
-            for group, e in zip(part, self.tokenizer.encode_batch(["".join(g) for g in part], add_special_tokens=False), strict=True):
-                word = np.array(e.word_ids, dtype=np.int64)
-                starts = np.flatnonzero(np.diff(word, prepend=-1))
-                if len(starts) != len(group):
+            for group, ids in zip(part, self.library_ids(["".join(g) for g in part]), strict=True):
+                ends = np.cumsum([len(p.encode()) for p in group])
+                token_ends = np.cumsum(self.width[ids])
+                last = np.searchsorted(token_ends, ends)
+                if not len(ids) or token_ends[-1] != ends[-1] or not np.array_equal(token_ends[last], ends):
                     other += group
                     continue
-                raw, cuts = np.array(e.ids, dtype=self.kind).tobytes(), (starts * size).tolist()
-                self.update(zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+                raw, cuts = ids.tobytes(), ((last + 1) * size).tolist()
+                out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            self.update(zip(part, (np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            out.update(zip(part, (ids.tobytes() for ids in self.library_ids(part)), strict=True))
+        return out
 
     def encode_batch(self, texts: list):
         """The serialized ids of each text, one text after another."""
         for run in in_chunks(texts):
-            if len(self) > CACHE:
-                self.clear()
-            pieces, firsts = pieces_of(run)
+            whole = {i: self.library_ids([t])[0].tobytes() for i, t in enumerate(run) if any(x in t for x in self.added)}
+            pieces, firsts = pieces_of(["" if i in whole else t for i, t in enumerate(run)] if whole else run)
             got = list(map(self.get, pieces))
             new = missing(got)
-            self.learn(list({pieces[i] for i in new}))
+            learned = self.learned(list({pieces[i] for i in new}))
             for i in new:
-                got[i] = self[pieces[i]]
-            for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-                yield b"".join(got[a:b])
+                got[i] = learned[pieces[i]]
+            self.keep(learned)
+            for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
+                yield whole[i] if i in whole else b"".join(got[a:b])
+
+    def keep(self, learned: dict[str, bytes]) -> None:
+        if len(self) >= CACHE:
+            self.missed += len(learned)
+            if self.missed < CACHE:
+                return
+            self.clear()
+            self.missed = 0
+        self.update(learned)
+
+
+def rest() -> None:
+    """Drops the cache of a worker that is not about to encode, and gives its memory back."""
+    library.cache_clear()
+    gc.enable()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def missing(values: list) -> list[int]:
@@ -109,7 +139,8 @@ def end_of(lib: LibraryCache) -> bytes:
 
 def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> bytes:
     n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("zstd")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, samples / max(1, n)))).limit(2 * samples)
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("zstd")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, samples / max(1, n)))
+    some = docs.where(share).dropDuplicates(["doc_id", "text"]).limit(2 * samples)
 
     def serialize(batches):
         lib = library(path)
@@ -124,7 +155,10 @@ def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> by
 
 
 def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, bytes, int]:
-    """The shards, written in order of id; ``part, base``: the tokens before each partition; the dictionary; the bytes of an id."""
+    """The shards, written in order of id; ``part, base``: the tokens before each partition; the dictionary; the bytes of an id.
+
+    Only the numbers of documents and bytes come to the driver, to choose how many partitions there are.
+    """
     path = path or vocabulary_path(VOCABULARY)
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     shared = trained_dictionary(docs, path)
@@ -136,18 +170,20 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
         lib = library(path)
         end, size = end_of(lib), lib.kind.itemsize
         for pdf in batches:
-            n, packed = [], []
+            n, tie, packed = [], [], []
             for ids in lib.encode_batch(pdf["text"].tolist()):
                 n.append(len(ids) // size + 1)
+                tie.append(xxhash.xxh3_64_intdigest(ids) >> 1)
                 packed.append(press.compress(ids + end))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pd.Series(n, dtype="int64"), "frame": packed})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pd.Series(tie, dtype="int64"), "n": pd.Series(n, dtype="int64"), "frame": packed})
 
-    packed = written(docs.mapInPandas(frames, f"doc_id {id_type}, n long, frame binary"), "frames")
-    parts = max(1, -(-packed.count() // PART_DOCS))
+    packed = written(docs.mapInPandas(frames, f"doc_id {id_type}, tie long, n long, frame binary"), "frames")
+    held = packed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-held["docs"] // PART_DOCS), -(-held["bytes"] // PART_BYTES))  # a partition is read in one batch
     digest = hashlib.sha256(shared).hexdigest()
 
     def shards(batches):
-        library.cache_clear()  # a worker that has encoded before needs its pieces no more
+        rest()
         start, held, size = 0, [], 0
 
         def full():
@@ -167,17 +203,17 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
         if held:
             yield full()
 
-    laid = packed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    laid = packed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     file = written(
         laid.mapInPandas(shards, f"first long, doc_ids array<{id_type}>, starts array<long>, frames array<long>, payload binary, dictionary string, tokens long").withColumn("part", F.spark_partition_id()),
         "tokens",
     )
-    totals = sorted((r["part"], r["n"]) for r in file.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
-    base, rows = 0, []
-    for part, n in totals:
-        rows.append((part, base))
-        base += n
-    return file, spark.createDataFrame(rows, "part int, base long"), shared, library(path).kind.itemsize
+    totals = file.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("block", F.floor(F.col("part") / PARTS_A_BLOCK))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("held"))  # one row for PARTS_A_BLOCK * PART_DOCS documents
+    blocks = blocks.select("block", F.coalesce(F.sum("held").over(before().orderBy("block")), F.lit(0)).alias("ahead"))
+    bases = totals.join(blocks, "block").select("part", (F.col("ahead") + F.coalesce(F.sum("n").over(before("block").orderBy("part")), F.lit(0))).alias("base"))
+    return file, written(bases, "bases"), shared, library(path).kind.itemsize
 
 
 def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) -> DataFrame:
@@ -186,23 +222,20 @@ def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) ->
     digest = hashlib.sha256(shared).hexdigest()
 
     def read(batches):
-        library.cache_clear()  # a worker that has encoded before needs its pieces no more
+        rest()
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdDecompressor()
         for pdf in batches:
             if (pdf["dictionary"] != digest).any():
                 raise ValueError(f"the file needs another dictionary than {digest}")
-            ids = [np.frombuffer(open_.decompress(f), dtype=f"<u{size}").astype("<u4") for f in pdf["frame"]]
-            yield pdf[["doc_id", "start"]].assign(n_tokens=np.array([len(x) for x in ids], dtype=np.int64), ids_crc32=np.array([zlib.crc32(x) for x in ids], dtype=np.int64))
-
-    def document(doc_id, i):
-        begin, end = F.get("frames", i), F.get("frames", i + 1)
-        frame = F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int"))
-        return F.struct(doc_id.alias("doc_id"), (F.get("starts", i) + F.col("base")).alias("start"), frame.alias("frame"))
-
-    # frames are cut out before the rows multiply, so that no row carries its shard's payload
-    cut = file.join(F.broadcast(bases), "part").select("dictionary", F.transform("doc_ids", document).alias("d"))
-    rows = cut.select("dictionary", F.explode("d").alias("d")).select("d.doc_id", "d.start", "d.frame", "dictionary")
-    return rows.mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+            for ids_of, starts, frames, payload, base in zip(pdf["doc_ids"], pdf["starts"], pdf["frames"], pdf["payload"], pdf["base"], strict=True):
+                view = memoryview(payload)
+                ids = [np.frombuffer(open_.decompress(view[a:b]), dtype=f"<u{size}").astype("<u4") for a, b in zip(frames[:-1], frames[1:], strict=True)]
+                n, crc = np.array([len(x) for x in ids], dtype=np.int64), np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
+                yield pd.DataFrame({"doc_id": ids_of, "start": np.asarray(starts, dtype=np.int64) + base, "n_tokens": n, "ids_crc32": crc})
+
+    # the written sums are broadcast where Spark finds their files small
+    shards = file.join(bases, "part").select("doc_ids", "starts", "frames", "payload", "dictionary", "base")
+    return shards.mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_file(docs: DataFrame) -> DataFrame:

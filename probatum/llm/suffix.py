@@ -13,8 +13,10 @@ than the least of those between the two tuples' sources, or zero where the bytes
 neighbour at its step shares ``LENGTH`` bytes or its context has copies.
 
 A hash with more than ``HOT`` different contexts is dealt anew by blocks of ``BLOCK`` windows, keyed by the bytes that
-all windows of the block share; the same sort then works on groups that differ in at most ``BLOCK - 1`` bytes on each side.
+all windows of the block share. With blocks of one window a group holds equal windows only, which are counted with partial sums:
+no group of a hot hash is sorted or held, however many contexts it has.
 
+Texts longer than ``SLICE`` bytes are cut into slices that overlap by a window less one byte, so positions fit their 28 bits.
 Texts are UTF-8 bytes; null texts are empty; matches never cross documents; repeats are judged on the input. Repeated
 rows and equal texts are repeats of each other. Null ids are returned as they are; other columns are ignored.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from probatum.llm.common import forget, release, written
 
-LENGTH, GRAM, HOT, BLOCK, BATCH = 400, 128, 20_000, 16, 8192
+LENGTH, GRAM, HOT, BLOCK, BATCH, SLICE = 400, 128, 20_000, 1, 8192, 1 << 27
 _POSITION_BITS = np.uint64(28)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -82,23 +84,34 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     return hashes[at[new]], at[new], starts[new], starts[last]
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, most: int = SLICE):
+    def sliced(pdf):
+        for blob, text in zip(pdf["blob"], pdf["text"], strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            for base in range(0, max(1, len(raw) - length + 1), most):
+                yield blob, raw[base : base + most + length - 1], base
+
+    def runs(pdf):
+        held, size = [], 0
+        for part in sliced(pdf):
+            if held and size + len(part[1]) > 1 << 20:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += len(part[1])
+        if held:
+            yield held
+
     def rows(batches):
         for pdf in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            blobs, at = pdf["blob"].tolist(), 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
-                    size += len(texts[to])
-                    to += 1
-                raw, ends = np.frombuffer(b"".join(texts[at:to]), dtype=np.uint8), np.cumsum([len(t) for t in texts[at:to]])
+            for run in runs(pdf):
+                blobs, raws, bases = zip(*run, strict=True)
+                raw, ends = np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum([len(t) for t in raws])
                 h, p, lo, hi = anchors(raw, ends, length, gram)
                 doc = np.searchsorted(ends, lo, side="right")
-                base = np.concatenate([[0], ends])[doc]
+                base = np.concatenate([[0], ends])[doc] - np.array(bases)[doc]
                 if len(doc):  # Spark 4.1 can't take a frame of binaries without rows
-                    yield pd.DataFrame({"blob": [blobs[at + d] for d in doc], "hash": h.view(np.int64), "p": p - base, "lo": lo - base, "hi": hi - base})
-                at = to
+                    yield pd.DataFrame({"blob": [blobs[d] for d in doc], "hash": h.view(np.int64), "p": p - base, "lo": lo - base, "hi": hi - base})
 
     return rows
 
@@ -257,13 +270,13 @@ def _cut(pdf_batches):
         yield pd.DataFrame(out, columns=["blob", "n_removed", "n_spans", "kept"])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, most: int = SLICE) -> DataFrame:
     """``blob, n_removed, n_spans, kept`` (bytes) of each text with repeats; ``blob`` is 16 bytes of the text's SHA-256."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("blob", blob_of(F.col("text")))
     long_ = rows.where(F.octet_length("text") >= length)
-    marks = written(long_.select("blob", "text").mapInPandas(_anchor_rows(length, gram), "blob binary, hash long, p int, lo int, hi int"), "anchors")
+    marks = written(long_.select("blob", "text").mapInPandas(_anchor_rows(length, gram, most), "blob binary, hash long, p int, lo int, hi int"), "anchors")
     often = marks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
     shared = marks.join(often, "hash").groupBy("blob").agg(F.collect_set(F.struct("hash", "p", "lo", "hi")).alias("marks")).withColumnRenamed("blob", "b")
     reps = long_.groupBy("blob").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from probatum.llm import bpe, epsjoin, licenses, mixing, secrets, simhash, suffix, tokenfile, topk, toxicity
+from probatum.llm import bpe, epsjoin, licenses, mixing, secrets, shingles, simhash, suffix, tokenfile, topk, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, blob string, key string, hash long, score double, row string, component_id long, part int"
 VEC = "vec_id long, embedding array<float>, label int, norm double, rep long, iv int"
@@ -91,4 +91,4 @@ def test_hot_groups_of_equal_rows(spark):
     assert gone[1000] == 0 and all(gone[i] == len(rows[0][1]) for i in range(300))
     comps = {r["doc_id"]: r["component_id"] for r in simhash.op10_simhash(docs).collect()}
     assert comps[1000] == 1000 and all(comps[i] == 0 for i in range(300))
-    assert simhash.near_copies(docs).where(F.col("doc_id") != F.col("component_id")).count() == 299
+    assert shingles.near_copies(docs).where(F.col("doc_id") != F.col("component_id")).count() == 299

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, common, epsjoin, licenses, mixing, pretoken, queries, secrets, simhash, suffix, tokenfile, topk, toxicity
+from probatum.llm import bpe, common, epsjoin, licenses, mixing, pretoken, queries, secrets, shingles, simhash, suffix, tokenfile, topk, toxicity
 
 DOC = "doc_id long, text string"
 
@@ -55,9 +55,8 @@ def test_token_file_is_the_librarys(spark):
 
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcdé'") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(40))) for _ in range(300)]
-    texts += ["<|endoftext|> is text", "", "a  b\n c"]
+    texts += ["<|endoftext|> is text", "", "a  b\n c", "a<|endoftext|>b", "Größe中 x² <|endoftext|>", "é" * 5000]
     library = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    library.encode_special_tokens = True
     start, expected = 0, []
     for i, t in enumerate(texts):
         ids = [*library.encode(t, add_special_tokens=False).ids, 0]
@@ -66,6 +65,25 @@ def test_token_file_is_the_librarys(spark):
     assert [tuple(r) for r in tokenfile.op7_token_file(docs_of(spark, texts).repartition(5)).orderBy("doc_id").collect()] == expected
 
 
+def test_token_file_orders_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "PART_DOCS", 7)
+    monkeypatch.setattr(tokenfile, "PARTS_A_BLOCK", 3)
+    docs = spark.createDataFrame([(i % 3, f"text number {i}") for i in range(60)], DOC)
+    runs = [sorted(map(tuple, tokenfile.op7_token_file(docs.repartition(n)).collect()), key=lambda r: r[1]) for n in (1, 4)]
+    assert runs[0] == runs[1]
+    ends = [s + n for _, s, n, _ in runs[0]]
+    assert [s for _, s, _, _ in runs[0]] == [0, *ends[:-1]]
+    assert [d for d, *_ in runs[0]] == sorted(i % 3 for i in range(60))
+
+
+def test_a_full_cache_still_encodes(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE", 10)
+    lib = tokenfile.LibraryCache(bpe.vocabulary_path(tokenfile.VOCABULARY))
+    texts = [f"word{i} other words here {i % 7}" for i in range(40)]
+    got = [ids for t in texts for ids in lib.encode_batch([t])]
+    assert got == [np.array(lib.tokenizer.encode(t, add_special_tokens=False).ids, dtype=lib.kind).tobytes() for t in texts]
+
+
 def secret_spans(text):
     words = "|".join(secrets.any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     assign = re.compile(f"({words})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -100,8 +118,8 @@ def test_suffix_dedup_is_brute_force(spark):
         texts.append(t[:k] + "x" + t[k + 1 :] if rng.random() < 0.7 else t)
     raws, n = [t.encode() for t in texts], 24
     seen = collections.Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1))
-    for hot in (20_000, 1):
-        got = {bytes(r["blob"]): r for r in suffix.removed(docs_of(spark, texts), length=n, gram=8, hot=hot).collect()}
+    for hot, most in ((20_000, 1 << 27), (1, 1 << 27), (20_000, 50)):
+        got = {bytes(r["blob"]): r for r in suffix.removed(docs_of(spark, texts), length=n, gram=8, hot=hot, most=most).collect()}
         for r in raws:
             gone = np.zeros(len(r), dtype=bool)
             for i in range(len(r) - n + 1):
@@ -145,7 +163,7 @@ def test_near_copies_by_shingles(spark):
             k = rng.randrange(200)
             texts.append(" ".join(w if c == 0 else w[:k] + ["new"] + w[k + 1 :]))
             truth.append(4 * g)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs_of(spark, texts)).collect()}
     found = sum(got.get(i, i) == truth[i] for i in range(len(texts)))
     assert found >= 0.97 * len(texts)
     assert all(got.get(i, i) in (i, truth[i]) or truth[got[i]] == truth[i] for i in range(len(texts)))
@@ -170,7 +188,7 @@ def test_near_copies_meet_every_member_of_a_bucket(spark):
         own = [f"g{g}w{i}" if i % 40 == 20 else w for i, w in enumerate(common)]
         texts += [" ".join(own), " ".join([f"x{g}", *own[1:]])]
     rng.shuffle(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs_of(spark, texts)).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == near_pairs(texts)
 
 
@@ -186,7 +204,7 @@ def test_near_copies_of_block_edits_at_the_threshold(spark):
             kind = len(texts) % 3
             texts.append(" ".join(w + block if kind == 0 else w[: n - int(n * (1 - share))] if kind == 1 else w[:at] + block[: k // 2] + w[at + k // 2 :]))
         texts.append(" ".join(w))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs_of(spark, texts)).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == near_pairs(texts)
 
 
@@ -283,3 +301,103 @@ def test_queries_equal_their_sql(spark, name):
     got = queries.queries()[name](spark, sf)
     assert sorted(got.columns) == sorted(expected.columns)
     assert sorted(map(tuple, got.select(*expected.columns).collect()), key=repr) == sorted(expected.fetchall(), key=repr)
+
+
+def test_near_copies_of_one_vocabulary(spark):
+    rng, vocabulary, texts = random.Random(36), [f"v{i}" for i in range(120)], []
+    for _ in range(50):  # the same words in other orders, and each once more with one word changed
+        w = rng.sample(vocabulary, 120)
+        texts += [" ".join(w), " ".join([*w[:-1], "new"])]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == near_pairs(texts)
+
+
+def test_near_copies_at_sf001_are_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    texts = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split(" ") for t in texts)]
+    where, comp = collections.defaultdict(list), list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].append(i)
+    near = {(a, b) for i, s in enumerate(sets) for a, n in collections.Counter(j for x in s for j in where[x] if j < i).items() for b in [i] if 5 * n >= 4 * (len(sets[a]) + len(s) - n)}
+    for _ in range(len(texts)):
+        before = comp[:]
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if before == comp:
+            break
+    least = collections.defaultdict(list)
+    for (i, _), c in zip(rows, comp, strict=True):
+        least[c].append(i)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == {i: min(least[c]) for (i, _), c in zip(rows, comp, strict=True)}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one text of several words here", "quite another text with other words", "a third text that stands alone too")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (5, c), (5, c), (None, a), (None, "no id but a text of its own")], DOC)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == [(0, "no id but a text of its own"), (1, a), (2, b), (5, c)]
+
+
+def test_mixing_takes_zero_and_empty_weights(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "en", f"src{i % 3}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    by = lambda **w: {r["source"]: r["n"] for r in mixing.mixed(docs, epochs=1, **w).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert by(domain_weights={}, lang_weights={}) == {"src0": 100, "src1": 100, "src2": 100}
+    assert by(domain_weights={"domain0": 0}, lang_weights={}) == {"src1": 150, "src2": 150}
+    assert by(domain_weights={}, lang_weights={}, source_weights={"src2": 0}) == {"src0": 100, "src1": 100}
+    one = {"domain0": 1, "domain1": 1, "domain2": 1}
+    merged = docs.withColumn("source", F.concat("source", F.lit("-x0")))  # one domain
+    got = {r["source"]: r["n"] for r in mixing.mixed(merged, epochs=1, domain_weights=one, source_weights={"src0-x0": 4, "src1-x0": 1}).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert got == {"src0-x0": 200, "src1-x0": 50, "src2-x0": 50}
+
+
+def test_secret_spans_of_many_matches_cost_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"{i:040x} é😀" for i in range(n))
+        begin = time.time()
+        (row,) = secrets.op1_secrets(docs_of(spark, [text])).collect()
+        assert row["n_hex"] == n and row["spans"] == secret_spans(text)
+        (clean,) = secrets.masked(docs_of(spark, [text])).collect()
+        assert clean["text"] == re.sub("[0-9a-f]{40}", "<hex>", text)
+        return time.time() - begin
+
+    seconds(100)
+    few, many = seconds(10_000), seconds(20_000)
+    assert many < 3 * few
+
+
+def test_secret_ledger_holds_versions(spark, tmp_path):
+    docs = docs_of(spark, ["token = abcdefgh12", "ghp_" + "a1" * 15, "nothing", "nothing", "xoxb-1234567890ab token=xoxb-1234567890ab"])
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    first = {r["doc_id"]: r["spans"] for r in ledger.scan(docs.where("doc_id < 3"), (secrets.BASE,)).collect()}
+    assert [len(first[i]) for i in range(3)] == [1, 0, 0]
+    assert {(r["version"], r["n"]) for r in ledger.read().groupBy("version").agg(F.count("*").alias("n")).collect()} == {("base-1", 3)}
+    both = {r["doc_id"]: r["spans"] for r in ledger.scan(docs, (secrets.BASE, secrets.MORE)).collect()}
+    assert [len(both[i]) for i in range(5)] == [1, 1, 0, 0, 3]
+    assert {(r["version"], r["n"]) for r in ledger.read().groupBy("version").agg(F.count("*").alias("n")).collect()} == {("base-1", 4), ("more-1", 4)}
+    assert secrets.scan(docs, ledger.read(), (secrets.BASE, secrets.MORE))[1].count() == 0
+    out = {r["doc_id"]: r for r in secrets.op1_secrets(docs).collect()}
+    assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[1]["spans"] == "github:0:34"
+    assert out[4]["base_sha256"] == hashlib.sha256(b"assign:18:41").hexdigest()
+    assert secrets.masked(docs).where("doc_id = 4").first()["text"] == "<slack> <assign>"
+
+
+def test_near_copies_of_crowded_shingles(spark):
+    rng, texts = random.Random(46), []
+    for g in range(3):  # texts of one base, most of them under 0.8 alike, some pairs over it
+        base = [f"g{g}w{i}" for i in range(150)]
+        for c in range(60):
+            w = list(base)
+            for k in rng.sample(range(150), 4 + c % 5):
+                w[k] = f"e{rng.randrange(10**6)}"
+            texts += [" ".join(w)] + ([" ".join([*w[:-1], "last"])] if c % 10 == 0 else [])
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs_of(spark, texts)).collect()}
+    truth = near_pairs(texts)
+    assert 20 < len(set(truth)) < len(texts)
+    assert [got[i] for i in range(len(texts))] == truth

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probatum.llm import bpe, common, epsjoin, licenses, lines, mixing, secrets, simhash, suffix, tokenfile, topk, toxicity
+from probatum.llm import bpe, common, epsjoin, licenses, lines, mixing, negatives, secrets, simhash, suffix, tokenfile, topk, toxicity
 
 
 def _over(*names):
@@ -27,8 +27,9 @@ def queries() -> dict:
         "op9_topk": _over("embeddings")(topk.op9_top_products),
         "op10_simhash": _over("documents")(simhash.op10_simhash),
         "op11_line_dedup": _over("documents")(lines.op11_line_dedup),
+        "op12_hard_negatives": _over("embeddings")(negatives.op12_hard_negatives),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.OP1_SQL, "op2_source_mixing": mixing.OP2_SQL, "op9_topk": topk.OP9_SQL, "op5_embedding_dedup": epsjoin.OP5_SQL, "op11_line_dedup": lines.OP11_SQL}
+    return {"op1_secret_scan": secrets.OP1_SQL, "op2_source_mixing": mixing.OP2_SQL, "op9_topk": topk.OP9_SQL, "op5_embedding_dedup": epsjoin.OP5_SQL, "op11_line_dedup": lines.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}

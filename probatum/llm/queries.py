@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probatum.llm import bpe, common, epsjoin, licenses, lines, mixing, negatives, secrets, simhash, suffix, tokenfile, topk, toxicity
+from probatum.llm import align, bpe, common, epsjoin, licenses, lines, mixing, negatives, secrets, simhash, suffix, tokenfile, topk, toxicity
 
 
 def _over(*names):
@@ -28,6 +28,7 @@ def queries() -> dict:
         "op10_simhash": _over("documents")(simhash.op10_simhash),
         "op11_line_dedup": _over("documents")(lines.op11_line_dedup),
         "op12_hard_negatives": _over("embeddings")(negatives.op12_hard_negatives),
+        "op13_alignment": _over("documents")(align.op13_alignment),
     }
 
 

@@ -117,7 +117,7 @@ def test_hard_negatives_are_brute_force(spark, monkeypatch, rounds):
     for i in range(700):
         v = centres[i % 9] * rng.choice([0.0, 0.2, 1.0, 1.5]) + rng.normal(size=6) * 0.2
         rows.append((i, [float(x) for x in v], int(rng.integers(0, 4)) if i % 3 else 0))
-    rows += [(1000 + i, [1.0, 1.0, 0, 0, 0, 0], i % 2) for i in range(120)]  # one common vector
+    rows += [(1000 + i, [1.0, 1.0, 0.0, 0.0, 0.0, 0.0], i % 2) for i in range(120)]  # one common vector
     vecs = vecs_of(spark, rows).repartition(3)
     got = negatives.hard_negatives(vecs, list_rows=16, block_rows=4, rounds=rounds)
     assert sorted(map(tuple, got.collect())) == brute_negatives(rows)

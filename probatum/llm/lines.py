@@ -38,12 +38,12 @@ SLOT_BITS, SLOT_KEYS = 1 << 22, 1 << 18
 #: Hashes that a task holds before it lays them down as partial filters; the largest filter that every task gets whole.
 FLUSH, FILTER_BYTES, SALTS = 2_000_000, 64 << 20, 16
 WHITE = " \t\n\x0b\f\r"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def key_of(line: str) -> str:
+def key_of(line: str, least: int) -> bytes | None:
+    """The key of a line in UTF-8, if it is long enough to count; bytes are put in lower case where they are A-Z."""
     key = line.strip(WHITE)
-    return key.lower() if key.isascii() else key.translate(_LOWER)
+    return key.encode("utf-8", "surrogatepass").lower() if len(key) >= least else None
 
 
 def lines_of(text) -> list[str]:
@@ -52,7 +52,7 @@ def lines_of(text) -> list[str]:
 
 def long_keys(text, least: int) -> list[bytes]:
     """The distinct keys of a text that are long enough to count."""
-    return [k.encode("utf-8", "surrogatepass") for k in {key_of(x) for x in lines_of(text) if len(x) >= least} if len(k) >= least]
+    return list({k for x in lines_of(text) if (k := key_of(x, least)) is not None})
 
 
 def hashes_of(keys: list[bytes]) -> np.ndarray:
@@ -195,7 +195,7 @@ def _by_slot(docs: DataFrame, filters: DataFrame, slots: int, least: int, id_typ
                 yield lines.select(["doc_id", "digest"]).filter(pa.array(hit))
 
     lines = docs.mapInPandas(dealt, f"slot long, salt long, doc_id {id_type}, first long, second long, digest binary").withColumn("bits", F.lit(None).cast("binary"))
-    heads = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    heads = filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     for c in ("doc_id", "first", "second", "digest"):
         heads = heads.withColumn(c, F.lit(None).cast(lines.schema[c].dataType))
     both = lines.unionByName(heads).repartition("slot", "salt").sortWithinPartitions("slot", F.col("bits").isNull())
@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
             for text, whole, lost in zip(pdf["text"], pdf["whole"], pdf["gone"], strict=True):
                 lines = lines_of(text) if lost is not None else []
                 lost = set(lost) if lost is not None else ()
-                stay = [x for x in lines if len(x) < least_chars or len(k := key_of(x)) < least_chars or hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() not in lost]
+                stay = [x for x in lines if (k := key_of(x, least_chars)) is None or hashlib.sha256(k).digest() not in lost]
                 n.append(len(lines) - len(stay))
                 kept.append("\n".join(stay) if n[-1] else None)
                 sha.append(_digest(kept[-1]) if n[-1] else whole)

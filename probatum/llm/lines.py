@@ -220,7 +220,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     suspects = written(suspects, "suspects")
     held = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
     known = suspects.groupBy("digest").agg(held.alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= least_docs)
-    gone = suspects.join(known.select("digest", "keeper"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # a key that very many documents hold is split by their ids; the confirmed keys are few and go to all splits
+    known = known.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    split = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    gone = split.join(known, ["digest", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return marked, gone.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
 
 

@@ -64,11 +64,13 @@ def leaf_budgets(leaves: DataFrame, fraction: float, epochs: int, domain_weights
     """``domain, lang, source, budget`` from ``leaves (domain, lang, source, tokens)``, one row per leaf."""
     weights = {"domain": domain_weights, "lang": lang_weights, "source": source_weights}
     level = leaves.agg(F.floor(F.sum("tokens") * fraction).cast("double").alias("budget"))
+    for name in LEVELS:  # what nothing can be taken from has no capacity at any level above it
+        leaves = leaves.where(weight_of(F.col(name), weights[name]) > 0)
     for i, name in enumerate(LEVELS):
         own, parent = list(LEVELS[: i + 1]), list(LEVELS[:i])
         nodes = leaves.groupBy(*own).agg((F.sum("tokens") * epochs).alias("capacity"))
         nodes = nodes.join(level, parent) if parent else nodes.crossJoin(F.broadcast(level))  # the root's budget is one row
-        nodes = nodes.withColumns({"weight": weight_of(F.col(name), weights[name]), "node": F.col(name)}).where("weight > 0")
+        nodes = nodes.withColumns({"weight": weight_of(F.col(name), weights[name]), "node": F.col(name)})
         level = divide(nodes, parent, "budget").select(*own, F.col("given").alias("budget"))
     return level.withColumn("budget", F.floor("budget"))
 
@@ -107,31 +109,37 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
     return mixed(docs)
 
 
-_CASES = {"domain": " ".join(f"WHEN '{k}' THEN {v}" for k, v in DOMAIN_WEIGHTS.items()), "lang": " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_WEIGHTS.items())}
+def _weight_sql(name: str, weights: dict[str, int]) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
+    return f"CASE {name} {cases} ELSE 1 END" if cases else "1"
 
 
-def _level_sql(i: int) -> str:
+def _level_sql(i: int, weights: dict[str, int]) -> str:
     own, parent = LEVELS[: i + 1], LEVELS[:i]
     part = "PARTITION BY " + ", ".join(parent) if parent else ""
     run = f"OVER ({part} ORDER BY ratio, {LEVELS[i]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    weight = f"CASE {LEVELS[i]} {_CASES[LEVELS[i]]} ELSE 1 END" if LEVELS[i] in _CASES else "1"
     join = f"JOIN b{i} USING ({', '.join(parent)})" if parent else "CROSS JOIN b0"
     return f"""
-n{i} AS (SELECT {", ".join(own)}, sum(tokens)::BIGINT * {EPOCHS} AS capacity, ({weight})::DOUBLE AS weight FROM base GROUP BY {", ".join(own)}),
+n{i} AS (SELECT {", ".join(own)}, sum(tokens)::BIGINT * {EPOCHS} AS capacity, ({_weight_sql(LEVELS[i], weights)})::DOUBLE AS weight FROM alive GROUP BY {", ".join(own)}),
 r{i} AS (SELECT n{i}.*, budget, capacity / weight AS ratio FROM n{i} {join}),
 c{i} AS (SELECT *, sum(capacity) {run} + ratio * (sum(weight) OVER ({part}) - sum(weight) {run}) <= budget AS is_full FROM r{i}),
 d{i} AS (SELECT *, sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part}) AS cap_full, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}) AS w_open FROM c{i}),
 b{i + 1} AS (SELECT {", ".join(own)}, CASE WHEN is_full THEN capacity::DOUBLE ELSE weight * ((budget - cap_full) / w_open) END AS budget FROM d{i})"""
 
 
-OP2_SQL = f"""
+def mixed_sql(domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, source_weights: dict[str, int] | None = None) -> str:
+    weights = (domain_weights, lang_weights, source_weights or {})
+    alive = " AND ".join(f"({_weight_sql(name, w)}) > 0" for name, w in zip(LEVELS, weights, strict=True))
+    levels = ",".join(_level_sql(i, w) for i, w in enumerate(weights))
+    return f"""
 WITH base AS (
   SELECT doc_id, coalesce('domain' || (try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INT) % 4)::VARCHAR, 'other') AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS tokens
   FROM documents),
+alive AS (SELECT * FROM base WHERE {alive}),
 b0 AS (SELECT floor(sum(tokens)::BIGINT * {FRACTION}::DOUBLE)::DOUBLE AS budget FROM base),
-{",".join(_level_sql(i) for i in range(3))},
+{levels},
 stream AS (
   SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens, floor(budget)::BIGINT AS budget,
     (sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, md5('{SEED}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, tokens
@@ -139,3 +147,6 @@ stream AS (
   FROM base JOIN b3 USING (domain, lang, source), range({EPOCHS}) t(epoch))
 SELECT doc_id, domain, lang, source, epoch, tokens, least(tokens, budget - start) AS taken FROM stream WHERE start < budget
 """
+
+
+OP2_SQL = mixed_sql()

@@ -348,7 +348,7 @@ def test_mixing_takes_zero_and_empty_weights(spark):
     by = lambda **w: {r["source"]: r["n"] for r in mixing.mixed(docs, epochs=1, **w).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     assert by(domain_weights={}, lang_weights={}) == {"src0": 100, "src1": 100, "src2": 100}
     assert by(domain_weights={"domain0": 0}, lang_weights={}) == {"src1": 150, "src2": 150}
-    assert by(domain_weights={}, lang_weights={}, source_weights={"src2": 0}) == {"src0": 100, "src1": 100}
+    assert by(domain_weights={}, lang_weights={}, source_weights={"src2": 0}) == {"src0": 150, "src1": 150}
     one = {"domain0": 1, "domain1": 1, "domain2": 1}
     merged = docs.withColumn("source", F.concat("source", F.lit("-x0")))  # one domain
     got = {r["source"]: r["n"] for r in mixing.mixed(merged, epochs=1, domain_weights=one, source_weights={"src0-x0": 4, "src1-x0": 1}).groupBy("source").agg(F.sum("taken").alias("n")).collect()}

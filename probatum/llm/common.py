@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.sources.shipping import ship
@@ -44,6 +44,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def hash_bound(wanted: int, rows: int, lowest: int) -> int:
+    """The greatest 64-bit hash of a sample of about ``wanted`` of ``rows``; the row of the ``lowest`` hash is always in it."""
+    return (1 << 63) - 1 if rows <= wanted else max(lowest, (wanted << 64) // rows - (1 << 63))
+
+
+def sampled(rows: DataFrame, key: Column, wanted: int) -> DataFrame:
+    """About ``wanted`` rows, whatever the size of the table: those with the least hashes ``key``. Equal rows come together."""
+    about = rows.agg(F.count("*"), F.min(key)).first()
+    return rows.where(key <= F.lit(hash_bound(wanted, about[0], about[1] if about[0] else 0)))
+
+
+def some(chosen: list, of: DataFrame) -> list:
+    """``chosen``, which must not be empty where the table it was sampled from has rows."""
+    if not chosen and of.take(1):
+        raise ValueError("the sample is empty though the table has rows")
+    return chosen
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.common import connected_components, written
+from probatum.llm.common import connected_components, sampled, written
 
 THRESHOLD, AXES, AXES_SAMPLE, INTERVAL, LEAF = 0.93, 6, 4096, 4096, 256
 
@@ -39,10 +39,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def principal_axes(vectors: DataFrame, dims: int, total: int, k: int = AXES) -> np.ndarray:
-    """Leading axes of a bounded sample: about ``AXES_SAMPLE`` of the ``total`` vectors, chosen by a hash of their id, of length ``dims``."""
-    share = F.pmod(F.xxhash64("rep", F.lit("axes")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, AXES_SAMPLE / max(1, total)))
-    got = vectors.where(share & (F.size("embedding") == dims)).limit(2 * AXES_SAMPLE).select("embedding").toPandas()
+def principal_axes(vectors: DataFrame, dims: int, k: int = AXES) -> np.ndarray:
+    """Leading axes of a bounded sample: about ``AXES_SAMPLE`` vectors of length ``dims``, chosen by a hash of their id."""
+    got = sampled(vectors.where(F.size("embedding") == dims), F.xxhash64("rep", F.lit("axes")), AXES_SAMPLE).limit(2 * AXES_SAMPLE).select("embedding").toPandas()
     if got.empty:
         return np.zeros((dims, 0))
     rows = unit(np.stack(got["embedding"].to_numpy()).astype(float))
@@ -144,7 +143,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, interval:
     reps = written(rows.where(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     sizes = [r[0] for r in reps.select(F.size("embedding").alias("d")).groupBy("d").count().orderBy(F.desc("count")).limit(16).collect()]
     total, label = reps.count(), reps.schema["label"].dataType.simpleString()
-    axes = {d: principal_axes(reps, d, total) for d in sizes}
+    axes = {d: principal_axes(reps, d) for d in sizes}
     cs = [f"c{i}" for i in range(k)]
     schema = f"label {label}, embedding array<double>, rep long, n long, dims int, " + ", ".join(f"{c} long" for c in cs)
     parts = max(1, -(-total // interval))

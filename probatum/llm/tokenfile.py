@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probatum.llm.bpe import vocabulary_path
-from probatum.llm.common import written
+from probatum.llm.common import sampled, some, written
 from probatum.llm.pretoken import in_chunks, pieces_of
 
 VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000
@@ -138,16 +138,14 @@ def end_of(lib: LibraryCache) -> bytes:
 
 
 def trained_dictionary(docs: DataFrame, path: str, samples: int = SAMPLES) -> bytes:
-    n = docs.count()
-    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("zstd")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, samples / max(1, n)))
-    some = docs.where(share).dropDuplicates(["doc_id", "text"]).limit(2 * samples)
+    chosen = sampled(docs, F.xxhash64("doc_id", "text", F.lit("zstd")), samples).dropDuplicates(["doc_id", "text"]).limit(2 * samples)
 
     def serialize(batches):
         lib = library(path)
         for pdf in batches:
             yield pd.DataFrame({"raw": [ids + end_of(lib) for ids in lib.encode_batch(pdf["text"].tolist())]})
 
-    raw = [bytes(r["raw"]) for r in some.select("text").mapInPandas(serialize, "raw binary").collect()]
+    raw = some([bytes(r["raw"]) for r in chosen.select("text").mapInPandas(serialize, "raw binary").collect()], docs)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their bytes are the dictionary

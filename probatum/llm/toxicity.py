@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probatum.llm.common import written
+from probatum.llm.common import sampled, written
 
 SAMPLE, SUPPORT, SUPPORT_SHARE, LEAST_WEIGHT, LEAST_Z, CUT, FOLDS = 20_000, 4, 0.01, 2.5, 7.0, 0.7, 4
 PREFIXES = range(4, 9)
@@ -134,9 +134,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = sample / max(1, marks.count())
     h = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    rows = marks.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))).withColumn("fold", F.pmod(F.shiftright(h, 32), F.lit(FOLDS)).cast("int"))
+    rows = sampled(marks, h, sample).withColumn("fold", F.pmod(F.shiftright(h, 32), F.lit(FOLDS)).cast("int"))
     rows = written(docs.select("doc_id", "text").join(rows, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "fold"), "labelled")
     n = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     n_pos, n_neg = (sum(n.get((fold, kind), 0) for fold in range(FOLDS)) for kind in (1, 0))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probatum.operators import filters
+
 #: Fixed values, in milliseconds unless named otherwise.
 WINDOW = (80.0, 120.0)
 TMIN_S, TMAX_S, CROP_S, CHANNELS, RATE_HZ, BAND_HZ = -0.1, 0.3, 90.0, 60, 200.0, (1.0, 40.0)
@@ -123,22 +123,12 @@ def peak(evoked: DataFrame, low_step: int, high_step: int) -> DataFrame:
 
 def band_passed(samples: DataFrame, low: float = BAND_HZ[0], high: float = BAND_HZ[1], rate: float = RATE_HZ) -> DataFrame:
     """Windowed-sinc band-pass per recording and channel; samples must be evenly spaced at ``rate``."""
-    taps = int(3.3 * rate / low) | 1
-    n = np.arange(taps) - taps // 2
-    kernel = (2 * high / rate * np.sinc(2 * high / rate * n) - 2 * low / rate * np.sinc(2 * low / rate * n)) * np.hamming(taps)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        full = np.convolve(pdf["amp"].to_numpy(), kernel)
-        return pdf.assign(amp=full[taps // 2 : taps // 2 + len(pdf)])
-
-    return samples.select("recording", "channel", "t", "amp").groupBy("recording", "channel").applyInPandas(one, "recording string, channel string, t double, amp double")
+    return filters.filtered(samples, filters.band_kernel(low, high, float(rate)), rate)
 
 
-def resampled(samples: DataFrame, rate: float = RATE_HZ) -> DataFrame:
-    """Bucket means at ``rate`` (an approximation of band-limited resampling)."""
-    step = F.floor(F.col("t") * rate)
-    return samples.groupBy("recording", "channel", (step / rate).alias("t")).agg(F.avg("amp").alias("amp"))
+def resampled(samples: DataFrame, sampling, rate=RATE_HZ) -> DataFrame:
+    """Samples at ``rate`` from samples evenly spaced at ``sampling``, band-limited."""
+    return filters.resampled(samples, sampling, rate)
 
 
 def synthetic(spark: SparkSession, peak_ms: float = 100.0, n_epochs: int = 40, channels: int = 4, rate: int = 1000) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,6 @@ not made, or failed, into agreement: such an axis is ``unknown`` and leaves the
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,53 +57,6 @@ def judged(rows: DataFrame, url_cited: Column) -> DataFrame:
     return rows.withColumn("score", capped(F.col("mean"), F.col("verdict"), url_cited, F.col("url"))).drop("mean")
 
 
-def _best_titles(cited: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """The most similar record of one block for each cited title.
-
-    Two titles match in no more letters than both hold, so a record is compared only while that bound may still beat the best.
-    """
-    refs, texts, dois = cited["cited"].tolist(), known["known"].tolist(), known["doi"].tolist()
-    if not refs or not texts:
-        return pd.DataFrame()
-    place = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
-    held = np.zeros((len(texts), len(place)), dtype=np.int32)
-    for i, t in enumerate(texts):
-        for c, n in Counter(t).items():
-            held[i, place[c]] = n
-    lengths = np.array([len(t) for t in texts])
-    by_doi = np.empty(len(texts), dtype=np.int64)
-    by_doi[sorted(range(len(texts)), key=lambda i: dois[i] or "")] = np.arange(len(texts))
-    found = []
-    for ref in refs:
-        own = Counter(ref)
-        most = sum(np.minimum(held[:, place[c]], n) for c, n in own.items() if c in place) + np.zeros(len(texts))
-        bound = 2.0 * most / (lengths + len(ref))
-        rank = np.empty(len(texts), dtype=np.int64)
-        rank[np.lexsort((by_doi, np.abs(lengths - len(ref))))] = np.arange(1, len(texts) + 1)
-        best = (-1.0, 0, 0)
-        for i in np.lexsort((rank, -bound)):
-            if bound[i] < best[0]:
-                break
-            best = max(best, (1.0 if ref == texts[i] else text.similarity(ref, texts[i]), -int(rank[i]), int(i)))
-        found.append(best)
-    return pd.DataFrame({"ref_id": cited["ref_id"], "rank": [-r for _, r, _ in found], "similarity": [s for s, _, _ in found], "doi": [dois[i] for _, _, i in found]})
-
-
-def title_candidates(refs: DataFrame, records: DataFrame, words: int = 2) -> DataFrame:
-    """``ref_id, rank, similarity, doi``: the best of all records that share the first words of a cited title.
-
-    ``refs (ref_id, title)``, ``records (doi, title)``. Blocking makes it an equi-join; equal similarities go to the lower rank, the place by
-    nearest length and then by doi in the block.
-    """
-    block = lambda c: F.array_join(F.slice(F.split(c, " "), 1, words), " ")
-    cited = refs.select("ref_id", text.title(F.col("title")).alias("cited")).where("cited <> ''").withColumn("block", block(F.col("cited")))
-    known = records.select("doi", text.title(F.col("title")).alias("known")).where("known <> ''").withColumn("block", block(F.col("known")))
-    kind = refs.schema["ref_id"].dataType.simpleString()
-    near = cited.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_best_titles, f"ref_id {kind}, rank int, similarity double, doi string")
-    best = near.groupBy("ref_id").agg(F.max(F.struct("similarity", (-F.col("rank")).alias("r"), "doi")).alias("b"))
-    return best.select("ref_id", (-F.col("b.r")).alias("rank"), F.col("b.similarity").alias("similarity"), F.col("b.doi").alias("doi"))
-
-
 def best_candidates(refs: DataFrame, search: DataFrame) -> DataFrame:
     """The most similar of the first ``CANDIDATES`` search results of each reference; of equal similarities the first.
 

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.functions import detectors, text
-from probatum.operators import compare, fulltext, registry, report, scan, signal, study, verify
-from probatum.plans.fixtures import derived, duck, table, work_dir
+from probatum.operators import compare, filters, fulltext, registry, report, scan, signal, study, titles, verify
+from probatum.plans.fixtures import derived, duck, table
 from probatum.sources import bibtex, catalog
+from probatum.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,10 +169,25 @@ def surname_overlap(spark, d):
 
 @query()
 def title_search_top1(spark, d):
-    """The best title of a block (no Ratcliff-Obershelp in SQL; tested against difflib)."""
+    """The best of all titles for citations that lack a title's middle (no Ratcliff-Obershelp in SQL; tested against difflib)."""
     works = derived(spark, d, "works")
     refs = works.select(F.col("work").alias("ref_id"), F.concat_ws(" ", F.expr("substring_index(title, ' ', 3)"), F.lit("bt"), F.expr("substring_index(title, ' ', -2)")).alias("title"))
-    return verify.title_candidates(refs, works.select("doi", "title"), words=3)
+    return titles.best_titles(refs, works.select("doi", "title"), 0.0)
+
+
+#: One letter of the first word is missing, doubled by another, or wrong; a title of n letters is then so similar to its work.
+_TYPO = {0: "concat(substring(title, 1, {at}), substring(title, {at} + 2))", 1: "concat(substring(title, 1, {at}), 'q', substring(title, {at} + 1))", 2: "concat(substring(title, 1, {at}), 'q', substring(title, {at} + 2))"}
+_TYPOS = "SELECT work AS ref_id, doi, title AS whole, CASE work % 3 " + " ".join(f"WHEN {k} THEN {v.format(at='(1 + CAST(work % 4 AS INT))')}" for k, v in _TYPO.items()) + " END AS title FROM ({works}) w"
+
+
+@query(f"""
+WITH t AS ({_TYPOS.replace("({works})", duck("works"))}), n AS (SELECT *, length(trim(regexp_replace(lower(whole), '[^a-z0-9]+', ' ', 'g'))) AS n FROM t)
+SELECT ref_id, CASE ref_id % 3 WHEN 0 THEN 2.0 * (n - 1) / (2 * n - 1) WHEN 1 THEN 2.0 * n / (2 * n + 1) ELSE 2.0 * (n - 1) / (2 * n) END::DOUBLE AS similarity, doi FROM n""")
+def title_search_typos(spark, d):
+    """Every work, cited with a typo in the first word of its title: the work itself must be the best of all."""
+    works = derived(spark, d, "works")
+    refs = spark.sql(_TYPOS.replace("({works})", "{works}"), works=works)
+    return titles.best_titles(refs.select("ref_id", "title"), works.select("doi", "title"))
 
 
 @query(f"WITH {_BEST.strip()} SELECT ref_id, rank, similarity, title FROM best")
@@ -475,6 +492,61 @@ def trigger_edges(spark, d):
     return signal.rising_edges(table(spark, d, "events").select(F.col("user_id").alias("recording"), F.col("event_id").cast("double").alias("t"), (F.col("value") > 50).cast("int").alias("code")))
 
 
+def _series(spark, d):
+    """All events as one channel, a sample a second."""
+    return table(spark, d, "events").select(F.lit("events").alias("recording"), F.lit("value").alias("channel"), F.col("event_id").cast("double").alias("t"), F.col("value").alias("amp"))
+
+
+#: Resampling from 1 Hz to 2/5 Hz, and a band of 0.05 to 0.2 Hz.
+_UP, _DOWN, _BAND = 2, 5, (0.05, 0.2)
+_HALF, _TAPS = filters.CROSSINGS * max(_UP, _DOWN), len(filters.band_kernel(*_BAND, 1.0))
+
+
+@query(f"""
+WITH x AS (SELECT event_id AS n, value AS amp FROM events), m AS (SELECT unnest(range((SELECT ceil(min(n) * {_UP} / {_DOWN}.0)::BIGINT FROM x), (SELECT floor(max(n) * {_UP} / {_DOWN}.0)::BIGINT + 1 FROM x))) AS m),
+j AS (SELECT m, amp, (m * {_DOWN} - n * {_UP})::DOUBLE AS s FROM m JOIN x ON n BETWEEN ceil((m * {_DOWN} - {_HALF}) / {_UP}.0) AND floor((m * {_DOWN} + {_HALF}) / {_UP}.0)),
+h AS (SELECT m, amp, {_UP} * {filters.ROLLOFF} / {_DOWN} * CASE WHEN s = 0 THEN 1 ELSE sin(pi() * {filters.ROLLOFF} * s / {_DOWN}) / (pi() * {filters.ROLLOFF} * s / {_DOWN}) END
+  * (0.42 + 0.5 * cos(pi() * s / {_HALF}) + 0.08 * cos(2 * pi() * s / {_HALF})) AS tap FROM j)
+SELECT 'events' AS recording, 'value' AS channel, m * {_DOWN}::DOUBLE / {_UP} AS t, round(sum(amp * tap), 4) AS amp FROM h GROUP BY m""")
+def signal_resampled(spark, d):
+    return filters.resampled(_series(spark, d), 1, Fraction(_UP, _DOWN)).withColumn("amp", F.round("amp", 4))
+
+
+def _low_pass_sql(high: float) -> str:
+    return f"CASE WHEN k = 0 THEN {2 * high} ELSE sin(pi() * {2 * high} * k) / (pi() * k) END"
+
+
+@query(f"""
+WITH x AS (SELECT event_id AS n, value AS amp FROM events), j AS (SELECT a.n, b.amp, (a.n - b.n)::DOUBLE AS k FROM x a JOIN x b ON b.n BETWEEN a.n - {_TAPS // 2} AND a.n + {_TAPS // 2})
+SELECT 'events' AS recording, 'value' AS channel, n::DOUBLE AS t, round(sum(amp * ({_low_pass_sql(_BAND[1])} - {_low_pass_sql(_BAND[0])}) * (0.54 + 0.46 * cos(2 * pi() * k / {_TAPS - 1}))), 4) + 0.0 AS amp FROM j GROUP BY n""")
+def signal_band(spark, d):
+    return filters.filtered(_series(spark, d), filters.band_kernel(*_BAND, 1.0), 1).withColumn("amp", F.round("amp", 4) + 0.0)
+
+
+@query(f"""
+WITH s AS (SELECT event_type AS channel, event_id / 1000::DOUBLE AS t, value AS amp, event_id % 400 = 150 AS fires FROM events),
+e AS (SELECT g.t AS event_t, s.channel, s.t - g.t AS lag, round(s.amp * 1000000)::BIGINT AS amp FROM s g JOIN s ON s.t BETWEEN g.t - 0.5 AND g.t + 0.5 AND s.t - g.t BETWEEN -0.1 AND 0.3 WHERE g.fires),
+b AS (SELECT *, amp - coalesce(floor((sum(CASE WHEN lag <= 0 THEN amp END) OVER w)::DOUBLE / (count(CASE WHEN lag <= 0 THEN amp END) OVER w)), 0)::BIGINT AS adj FROM e WINDOW w AS (PARTITION BY event_t, channel)),
+v AS (SELECT channel, floor(round(lag, 6) / 0.001)::BIGINT AS step, floor(sum(adj)::DOUBLE / count(*)) / 1000000 AS amp FROM b GROUP BY 1, 2),
+p AS (SELECT channel, step::DOUBLE AS latency, amp, (SELECT count(DISTINCT event_t) FROM b) AS n FROM v WHERE step BETWEEN 30 AND 235 ORDER BY abs(amp) DESC, step, channel LIMIT 1),
+z AS (SELECT *, CASE WHEN latency BETWEEN 80 AND 120 THEN 'supported' WHEN latency <= 70 THEN 'p50_ambiguous' WHEN latency BETWEEN 170 AND 215 THEN 'p200_ambiguous' WHEN latency > 215 THEN 'refutable' WHEN latency < 80 THEN 'off_window_early' ELSE 'off_window_late' END AS zone,
+  least(abs(latency - 30), abs(latency - 235)) <= 1 AS edge FROM p)
+SELECT 'events' AS recording, channel, latency AS latency_ms, amp AS amplitude, n AS n_epochs, zone,
+  CASE WHEN zone = 'supported' THEN 'supported' WHEN zone = 'refutable' AND NOT edge AND n >= 8 THEN 'refuted' ELSE 'inconclusive' END AS verdict FROM z""")
+def signal_study(spark, d):
+    """A whole study over the events, run through the store: kinds are channels, a sample a millisecond."""
+    rows = table(spark, d, "events").withColumn("t", F.col("event_id") / 1000)
+    samples = rows.select(F.lit("events").alias("recording"), F.col("event_type").alias("channel"), "t", F.col("value").alias("amp"))
+    triggers = rows.where("event_id % 400 = 150").select(F.lit("events").alias("recording"), "t", F.lit(1).alias("code"))
+    store = study.StudyStore(spark, f"{shared_dir(spark)}/studies-{uuid.uuid4().hex}")
+    ran = study.run(store, "events", study.signal_steps(samples, triggers, f"{store.root}/work", event="all", crop_s=float(1 << 50)))
+    if ran["error"]:
+        raise RuntimeError(ran["error"])
+    told = {"channel": "string", "latency_ms": "double", "amplitude": "double", "n_epochs": "bigint", "zone": "string"}
+    fields = [F.get_json_object("evidence", f"$.{k}").cast(t).alias(k) for k, t in told.items()]
+    return store.outputs("events", "findings").select(F.col("ref_key").alias("recording"), *fields, "verdict")
+
+
 _LATENCIES = "(SELECT i, CASE WHEN i % 41 = 0 THEN NULL ELSE i * 2.5 END::DOUBLE AS latency_ms, CASE WHEN i % 7 = 0 THEN NULL ELSE 1.0 END::DOUBLE AS amplitude, (i % 20)::INT AS n_epochs FROM range(121) t(i))"
 
 
@@ -545,7 +617,7 @@ def doi_list_parse(spark, d):
 
 
 def _store(spark):
-    return study.StudyStore(spark, f"{work_dir(spark)}/studies-{uuid.uuid4().hex}")
+    return study.StudyStore(spark, f"{shared_dir(spark)}/studies-{uuid.uuid4().hex}")
 
 
 @query("""SELECT CASE WHEN l_linenumber <= 3 THEN 'done' WHEN l_linenumber = 4 THEN 'failed' WHEN l_returnflag = 'R' AND l_linenumber = 5 THEN 'skipped' ELSE 'pending' END AS status, count(*) AS n

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 from probatum.sources.shipping import ship
@@ -83,12 +81,6 @@ SQL = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,7 +4,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from probatum.operators import compare, provenance, registry, report, scan, study, verify
+from probatum.operators import compare, provenance, recordings, registry, report, scan, study, verify
 from probatum.operators.compare import NotComparable
 from probatum.sources import collectors, live
 
@@ -164,4 +164,4 @@ def test_a_stopped_bibliography_keeps_what_it_verified(spark, tmp_path):
     assert seen[2] == [] and sorted(x for s in (seen[0], seen[3], seen[4]) for x in s) == list(range(40))
     assert store.outputs("s", "findings").select("ref_key").distinct().count() == 40
     assert store.study(1)["slug"] == "s" and store.study("none") is None and store.step("s", "summarize")["result"]["total"] == 40
-    assert study.missing_stages(object()) == list(study.STAGES)
+    assert recordings.missing_stages(object()) == list(recordings.STAGES)

@@ -69,27 +69,6 @@ def test_similarity_is_difflibs_and_asymmetric(spark):
     assert [r[0] for r in got] == [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in rows]
 
 
-def test_title_search_takes_the_first_best(spark):
-    refs = spark.createDataFrame([(1, "deep sleep and memory in mice")], "ref_id long, title string")
-    works = spark.createDataFrame([(f"10.1/{i}", t) for i, t in enumerate(["Deep sleep and memory", "Deep sleep and memory in mice", "Other work"])], "doi string, title string")
-    got = verify.title_candidates(refs, works).first()
-    assert (got["doi"], got["similarity"]) == ("10.1/1", 1.0)
-
-
-def test_title_search_compares_the_whole_block(spark):
-    works = [(f"10.1/{i:03}", "deep sleep " + " ".join(("mice", "men", "owls", "eels", "apes", "bats")[(i // 6**k) % 6] for k in range(3))) for i in range(216)]
-    cited = [(i, works[i][1].replace("e", "ea", 3) if i % 2 else works[i][1][:-1]) for i in range(0, 216, 5)]
-    got = verify.title_candidates(spark.createDataFrame(cited, "ref_id long, title string"), spark.createDataFrame(works, "doi string, title string")).collect()
-    want = {}
-    for ref, title in cited:
-        block = [w for w in works if w[1].split()[:2] == title.split()[:2]]
-        order = sorted(block, key=lambda w: (abs(len(w[1]) - len(title)), w[0]))
-        best = max(((SequenceMatcher(None, title, t).ratio(), -rank, doi) for rank, (doi, t) in enumerate(order, 1)), default=None)
-        if best:
-            want[ref] = best
-    assert len(want) > 20 and {r["ref_id"]: (r["similarity"], -r["rank"], r["doi"]) for r in got} == want
-
-
 def test_title_search_query_cites_every_work(spark):
     got = catalog.QUERIES["title_search_top1"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()

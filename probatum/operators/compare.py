@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,12 +24,34 @@ def split_id(members: tuple[str, ...] | list[str]) -> str:
 
 
 def split_ids(members: DataFrame) -> DataFrame:
-    """``split_id`` of each ``split`` as ``split_id`` makes it, and its members.
+    """``split_id`` of each ``split`` as ``split_id`` makes it, and the number of its members; splits without members have none.
 
-    The hash is over one text, so a split's members come together in one row: about 2 GB of names is the most that a split can hold.
+    A split's members reach one task, since the hash is a chain, but as a sorted stream: Spark's sort keeps them on disk, and the task holds a batch and the state of the hash.
     """
-    joined = F.array_join(F.array_sort(F.collect_list("item")), "\n")
-    return members.groupBy("split").agg(F.substring(F.sha2(joined, 256), 1, 12).alias("split_id"), F.count("item").alias("n_items")).where("n_items > 0")
+    kind = members.schema["split"].dataType.simpleString()
+
+    def hashed(batches):
+        open_, chain, n = [], None, 0
+        for batch in batches:
+            splits, items = batch.column("split"), batch.column("item").to_pylist()
+            at = 0
+            for run in pc.run_end_encode(splits).run_ends.to_pylist() if len(splits) else []:
+                if open_ != [splits[at].as_py()]:
+                    if open_:
+                        yield _told(open_[0], chain, n, batch.schema.field("split").type)
+                    open_, chain, n = [splits[at].as_py()], hashlib.sha256(), 0
+                chain.update((("\n" if n else "") + "\n".join(items[at:run])).encode("utf-8", "surrogatepass"))
+                n, at = n + run - at, run
+            last = batch.schema.field("split").type
+        if open_:
+            yield _told(open_[0], chain, n, last)
+
+    rows = members.where(F.col("item").isNotNull()).select("split", F.col("item").cast("string").alias("item"))
+    return rows.repartition("split").sortWithinPartitions("split", "item").mapInArrow(hashed, f"split {kind}, split_id string, n_items long")
+
+
+def _told(split, chain, n: int, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"split": pa.array([split], type=kind), "split_id": [chain.hexdigest()[:12]], "n_items": pa.array([n], type=pa.int64())})
 
 
 def shown_difference(difference: DataFrame, most: int = 3) -> DataFrame:

@@ -322,7 +322,7 @@ def results_arms(spark, d):
     return registry.arms_of(_results(spark, d))
 
 
-@query(f"SELECT path AS name, 'test' AS role, unnest(['tp', 'fn']) AS metric, unnest([tp, fn])::DOUBLE AS value FROM {duck('results')} WHERE k = 0 UNION ALL SELECT path, 'test', 'recall', tp::DOUBLE / (tp + fn) FROM {duck('results')} WHERE k = 0 AND (tp = 0 OR fn = 0)")
+@query(f"SELECT path AS name, 'test' AS role, unnest(['tp', 'fn']) AS metric, unnest([tp, fn])::DOUBLE AS value FROM {duck('results')} WHERE k = 0")
 def results_counts(spark, d):
     return registry.whole_metrics(registry.metrics_of(_results(spark, d)))
 

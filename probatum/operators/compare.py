@@ -162,6 +162,13 @@ def sweep_interior(sweep: DataFrame, parameter: str, metric: str) -> DataFrame:
     return out.select("run", at.alias("best_at"), F.col(f"best.{metric}").alias("best_value"), ((F.col("n") < 2) | ((at > F.col("low")) & (at < F.col("high")))).alias("interior"))
 
 
+def constant_units(points: DataFrame) -> DataFrame:
+    """``run, points, least, most, constant``: whether ``tp + fn`` is the same at every point of a sweep ``(run, tp, fn)``; a point without one of them is not."""
+    units = F.col("tp") + F.col("fn")
+    out = points.groupBy("run").agg(F.count("*").alias("points"), F.count(units).alias("known"), F.min(units).alias("least"), F.max(units).alias("most"))
+    return out.select("run", "points", "least", "most", ((F.col("known") == F.col("points")) & (F.col("least") == F.col("most"))).alias("constant"))
+
+
 def ground_truth(*counts: Column) -> Column:
     """The number of units as a sum of counts, null if one is missing."""
     out = counts[0]

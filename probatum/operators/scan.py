@@ -41,6 +41,28 @@ def scanned(docs: DataFrame, text: str = "text", labels: tuple[str, ...] | None
     return docs.select(*keep, F.explode(every).alias("h")).select(*keep, "h.label", "h.match")
 
 
+#: Shapes that tell of one machine, person or place, and what they tell.
+LINE_SHAPES = {
+    "operator-host-path": (r"(?<![\w`/])/(?:home|Users|Volumes)/[\w.\-]+", "a path that names a machine's account or volume"),
+    "raw-data-filename": (r"\b[\w\-]*\d{4}[_\-]\d{2}[_\-]\d{2}[\w\-]*\.(?:wav|mp3|flac|edf|fif|nii|csv)\b", "a recording's file name with its date"),
+    "chat-platform-snowflake": (r"(?<!\d)\d{17,19}(?!\d)", "the number of an account or channel"),
+}
+
+
+def line_hits(docs: DataFrame, text: str = "text", shapes: dict[str, tuple[str, str]] | None = None, marker: str | None = None) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with a row ``line, label`` for each line that holds a shape; lines from 1.
+
+    A line that holds ``marker`` is exempt, as a whole and from every shape; unlike an allowed substring the marker need not stand in the match. Lines end as
+    ``\n``, ``\r\n`` or ``\r``; a null text has none.
+    """
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    lines = docs.select(*keep, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("_at", "_line"))
+    if marker:
+        lines = lines.where(~F.contains("_line", F.lit(marker)))
+    held = F.array_compact(F.array(*[F.when(F.col("_line").rlike(p), F.lit(label)) for label, (p, _) in (shapes or LINE_SHAPES).items()]))
+    return lines.select(*keep, (F.col("_at") + 1).alias("line"), F.explode(held).alias("label"))
+
+
 def carries_content(path: Column, prefixes: tuple[str, ...], skipped: tuple[str, ...] = ()) -> Column:
     """Paths to scan: under a prefix, or Markdown at the top; none that starts like a skipped one."""
     out = F.endswith(path, F.lit(".md")) & ~F.contains(path, F.lit("/"))
@@ -56,6 +78,8 @@ def shown(match: Column) -> Column:
     return F.when(F.length(match) >= 12, F.concat(F.substring(match, 1, 6), F.lit("…"))).otherwise(match)
 
 
+#: The most hits that a gate lists.
+MOST = 10_000
 #: What a gate without a configuration file uses.
 DEFAULTS = {
     "sensitive_prefixes": ["docs/"],
@@ -85,7 +109,8 @@ def gate(files: DataFrame, config: dict | None = None, semantic: DataFrame | Non
 
     The deterministic layer reads every file but those under a skipped prefix. The semantic layer's verdicts, where it ran, are rows of ``semantic
     (path, flagged)`` for the files that carry content; ``ran`` tells apart true, false and null (nothing to do), so that a layer that did
-    not run never reads as a pass. ``required`` makes that an error, ``only`` leaves the layer out.
+    not run never reads as a pass. ``required`` makes that an error, ``only`` leaves the layer out. At most ``MOST`` hits and flagged files are listed; the
+    exit code counts all.
     """
     config = DEFAULTS if config is None else config
     if only and required:
@@ -96,8 +121,8 @@ def gate(files: DataFrame, config: dict | None = None, semantic: DataFrame | Non
     for prefix in rules.get("skip_paths", []):
         read = read.where(~F.startswith("path", F.lit(prefix)))
     hits = scanned(read, allowed=tuple(rules.get("allow_substrings", []))).select("path", "label", shown(F.col("match")).alias("shown")) if rules.get("enabled", True) else None
-    found = [r.asDict() for r in hits.orderBy("path", "label").collect()] if hits is not None else []
-    flagged = [r["path"] for r in semantic.join(content.select("path"), "path").where("flagged").orderBy("path").collect()] if semantic is not None and not only else []
+    found = [r.asDict() for r in hits.orderBy("path", "label", "shown").limit(MOST).collect()] if hits is not None else []
+    flagged = [r["path"] for r in semantic.join(content.select("path"), "path").where("flagged").orderBy("path").limit(MOST).collect()] if semantic is not None and not only else []
     needed = not only and bool(content.take(1))
     ran = semantic is not None if needed else None
     code = 2 if required and ran is False else 1 if found or flagged else 0

@@ -375,6 +375,19 @@ def free_assertions(spark, d):
     return total.crossJoin(whole).select("sum_of_parts", "whole", (F.col("sum_of_parts") == F.col("whole")).alias("holds"), F.round(F.col("en") / F.col("whole"), 6).alias("dropped_share"))
 
 
+_POINTS = f"""SELECT run, threshold, count(*) FILTER (score >= threshold AND truth = 1) AS tp, count(*) FILTER (score < threshold AND truth = 1) AS fn
+  FROM {duck("scored")} x, (SELECT unnest([{", ".join(map(str, _STEPS))}]::DOUBLE[]) AS threshold) t WHERE run <> 'de' OR score >= threshold / 10 GROUP BY run, threshold"""
+
+
+@query(f"SELECT run, count(*) AS points, min(tp + fn) AS least, max(tp + fn) AS most, min(tp + fn) = max(tp + fn) AS constant FROM ({_POINTS}) GROUP BY run")
+def sweep_units(spark, d):
+    """Units of every sweep; one of them drops documents as its threshold rises, as a faulty script would."""
+    rows = derived(spark, d, "scored").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in _STEPS]))).where("run <> 'de' OR score >= threshold / 10")
+    hit = F.col("score") >= F.col("threshold")
+    points = rows.groupBy("run", "threshold").agg(F.count_if(hit & (F.col("truth") == 1)).alias("tp"), F.count_if(~hit & (F.col("truth") == 1)).alias("fn"))
+    return compare.constant_units(points)
+
+
 # --- scanner
 
 _NO_LOOK = ("email", "ssn", "hardcoded-credential", "jwt", "aws-access-key", "github-token", "private-key-block")
@@ -458,6 +471,23 @@ def content_archive(spark, d):
     return scan.archive(table(spark, d, "documents"), "text")
 
 
+#: Every page with a line of where it was kept, which one in four marks as meant, and the name and number of a file.
+_KEPT = """SELECT page_id, html || chr(10) || 'kept in /Users/u' || page_id || '/x of ' || url || CASE WHEN page_id % 4 = 1 THEN ' <!-- shown -->' ELSE '' END || chr(10)
+  || 'site' || page_id || '_2024-0' || (page_id % 9 + 1) || '-17.' || CASE WHEN page_id % 3 = 0 THEN 'wav' ELSE 'txt' END || chr(10) || 'no ' || (page_id + 1) || repeat('7', CAST(12 + page_id % 9 AS INT)) AS text FROM {pages}"""
+_LINES = {
+    "operator-host-path": "(^|[^0-9A-Za-z_`/])/(home|Users|Volumes)/[0-9A-Za-z_.\\-]+", "raw-data-filename": "\\b[0-9A-Za-z_\\-]*[0-9]{4}[_\\-][0-9]{2}[_\\-][0-9]{2}[0-9A-Za-z_\\-]*\\.(wav|mp3|flac|edf|fif|nii|csv)\\b",
+    "chat-platform-snowflake": "(^|[^0-9])[0-9]{17,19}([^0-9]|$)",
+}
+
+
+@query(f"""WITH f AS ({_KEPT.replace("{pages}", "pages")}), p AS (SELECT page_id, regexp_split_to_array(text, '\r\n|\n|\r') AS parts FROM f),
+l AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS line FROM p)
+""" + " UNION ALL ".join(f"SELECT page_id, line::INT AS line, '{k}' AS label FROM l WHERE NOT contains(part, '<!-- shown -->') AND regexp_matches(part, '{v}')" for k, v in _LINES.items()))
+def line_shapes(spark, d):
+    """Lines that tell of a machine, a recording or an account, but for those marked as meant."""
+    return scan.line_hits(spark.sql(_KEPT, pages=table(spark, d, "pages")), marker="<!-- shown -->")
+
+
 # --- signal
 
 _EPOCH = f"""

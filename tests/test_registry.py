@@ -94,6 +94,22 @@ def test_collectors(spark):
         collectors.register("bad", object)
 
 
+def test_lines_with_the_marker_are_exempt(spark):
+    text = "in /home/me/x\r\nin /Users/me <!-- ok -->\nno/home/me and `/home/you`\rsite7_2024-01-02.wav\n" + "7" * 18 + "\n" + "7" * 20 + "\n/opt/data/x"
+    docs = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c")], "doc_id long, text string, label_of string")
+    hits = lambda **kw: sorted((r["doc_id"], r["line"], r["label"]) for r in scan.line_hits(docs, **kw).collect())
+    kept = [(1, 1, "operator-host-path"), (1, 4, "raw-data-filename"), (1, 5, "chat-platform-snowflake")]
+    assert hits(marker="<!-- ok -->") == kept
+    assert hits() == sorted([*kept, (1, 2, "operator-host-path")])
+    assert hits(shapes={"own": ("opt/data", "w")}) == [(1, 7, "own")]
+
+
+def test_units_of_a_sweep_are_constant_or_not(spark):
+    rows = [("a", 1, 2), ("a", 2, 1), ("b", 1, 2), ("b", 1, 1), ("c", 1, None)]
+    got = {r["run"]: (r["points"], r["least"], r["most"], r["constant"]) for r in compare.constant_units(spark.createDataFrame(rows, "run string, tp int, fn int")).collect()}
+    assert got == {"a": (2, 3, 3, True), "b": (2, 2, 3, False), "c": (1, None, None, False)}
+
+
 def test_gate(spark, tmp_path):
     key = "AK" + "IA" + "A1B2C3D4E5F6G7H8"
     (tmp_path / "docs").mkdir()

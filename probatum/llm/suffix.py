@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from probatum.llm.common import forget, release, written
 
-LENGTH, GRAM, HOT, BLOCK, BATCH, SLICE = 400, 128, 20_000, 1, 8192, 1 << 27
+LENGTH, GRAM, HOT, BLOCK, BATCH, SLICE = 400, 128, 20_000, 1, 8192, 1 << 22
 _POSITION_BITS = np.uint64(28)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15

@@ -638,6 +638,19 @@ def bibtex_parse(spark, d):
     return bibtex.parse_bibtex(files).select("path", "title", F.array_join("authors", "|").alias("authors"), "year", "doi")
 
 
+@query(f"""SELECT 'Trials of ' || work AS title, 'Author' || (work % 50) || ', Given|Other Person' AS authors, year, '10.5555/' || work AS doi FROM {duck("works")}""")
+def bibtex_files(spark, d):
+    """The works as files of BibTeX, written and read again as lines, whose entries go over lines and splits."""
+    w = F.col("work").cast("string")
+    lines = [
+        F.concat(F.lit("@article{key"), w, F.lit(",")), F.concat(F.lit("  title = {{Trials} of "), w, F.lit("},")), F.concat(F.lit('  author = "Author'), F.col("work") % 50, F.lit(', Given and Other Person",')),
+        F.concat(F.lit("  year = "), F.col("year"), F.lit(",")), F.concat(F.lit(" doi={https://doi.org/10.5555/"), w, F.lit("}")), F.lit("}"), F.lit("@comment{none}"),
+    ]
+    folder = f"{shared_dir(spark)}/bibtex-{uuid.uuid4().hex}"
+    derived(spark, d, "works").select(F.array_join(F.array(*lines), "\n").alias("value")).write.text(folder)
+    return bibtex.read_references(spark, folder).select("title", F.array_join("authors", "|").alias("authors"), "year", "doi")
+
+
 @query(f"SELECT ref_id, '10.5555/' || work AS doi FROM {duck('refs')} WHERE ref_id % 4 <> 0")
 def doi_list_parse(spark, d):
     rows = derived(spark, d, "refs")

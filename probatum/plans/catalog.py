@@ -134,20 +134,15 @@ def bibliography_rollup(spark, d):
     return report.rolled_up(_verified(spark, d)).drop("by_verdict")
 
 
-@query(
-    """WITH a AS (SELECT existence, metadata, retraction, url, url_cited FROM (VALUES ('pass'), ('fail'), ('unknown')) e(existence), (VALUES ('pass'), ('warn'), ('fail'), ('unknown')) m(metadata),
-  (VALUES ('pass'), ('fail'), ('unknown')) r(retraction), (VALUES ('pass'), ('warn'), ('fail'), ('unknown')) u(url), (VALUES (true), (false)) c(url_cited)),"""
-    + _JUDGE
-    + " SELECT existence, metadata, retraction, url, url_cited, score, verdict FROM v"
-)
-def score_grid(spark, d):
-    def axis(name, values):
-        return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+_AXES = {"existence": ("o_orderkey", 1, ("pass", "fail", "unknown")), "metadata": ("o_custkey", 1, ("pass", "warn", "fail", "unknown")), "retraction": ("o_orderkey", 3, ("pass", "fail", "unknown")), "url": ("o_custkey", 4, ("pass", "warn", "fail", "unknown"))}
+_GRID = "SELECT " + ", ".join(f"CASE CAST(floor({k} / {n}) AS BIGINT) % {len(v)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(v)) + f" END AS {name}" for name, (k, n, v) in _AXES.items()) + ", CAST(floor(o_orderkey / 9) AS BIGINT) % 2 = 0 AS url_cited FROM {orders}"
 
-    rows = spark.range(1).select(axis("existence", ("pass", "fail", "unknown")))
-    for name, values in (("metadata", ("pass", "warn", "fail", "unknown")), ("retraction", ("pass", "fail", "unknown")), ("url", ("pass", "warn", "fail", "unknown")), ("url_cited", (True, False))):
-        rows = rows.select("*", axis(name, values))
-    return verify.judged(rows, F.col("url_cited"))
+
+@query(f"WITH a AS (SELECT *, count(*) AS n FROM ({_GRID.replace('{orders}', 'orders')}) GROUP BY ALL)," + _JUDGE + " SELECT existence, metadata, retraction, url, url_cited, score, verdict, n FROM v")
+def score_grid(spark, d):
+    """Score and verdict of every combination of statuses that the orders imply."""
+    rows = spark.sql(_GRID, orders=table(spark, d, "orders"))
+    return verify.judged(rows.groupBy(*_AXES, "url_cited").agg(F.count("*").alias("n")), F.col("url_cited"))
 
 
 @query(f"SELECT ref_id, {_DOI} AS doi FROM {duck('refs')}")
@@ -259,10 +254,15 @@ def split_diff(spark, d):
     return compare.split_difference(derived(spark, d, "splits"), "test", "test2")
 
 
-@query("""SELECT * FROM (VALUES ('iou', '0.5', '0.3'), ('note', 'null', '(absent)'), ('unit', '(absent)', '"s"')) t(k, a_value, b_value)""")
+#: Criteria from the parts: a field per brand, not all of them in both, some null.
+_FIELDS = """SELECT CASE p_partkey % 2 WHEN 0 THEN 'strict' ELSE 'loose' END AS criterion, p_brand AS k, CASE WHEN count(*) % 4 = 0 THEN NULL ELSE CAST(max(p_size) AS VARCHAR(9)) END AS v FROM {part}
+WHERE NOT (p_partkey % 2 = 0 AND p_brand LIKE '%1') AND NOT (p_partkey % 2 = 1 AND p_brand LIKE '%2') GROUP BY p_partkey % 2, p_brand"""
+
+
+@query(f"""WITH f AS ({_FIELDS.replace("{part}", "part")}), a AS (SELECT k, coalesce(v, 'null') AS v FROM f WHERE criterion = 'strict'), b AS (SELECT k, coalesce(v, 'null') AS v FROM f WHERE criterion = 'loose')
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, '(absent)') AS a_value, coalesce(b.v, '(absent)') AS b_value FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.v, '(absent)') <> coalesce(b.v, '(absent)')""")
 def criterion_diff(spark, d):
-    rows = [("strict", "iou", "0.5"), ("strict", "class", '"x"'), ("strict", "note", None), ("loose", "iou", "0.3"), ("loose", "class", '"x"'), ("loose", "unit", '"s"')]
-    return compare.criterion_difference(spark.createDataFrame(rows, "criterion string, k string, v string"), "strict", "loose")
+    return compare.criterion_difference(spark.sql(_FIELDS, part=table(spark, d, "part")), "strict", "loose")
 
 
 _PAIRS = f"""
@@ -577,7 +577,8 @@ def signal_study(spark, d):
     return store.outputs("events", "findings").select(F.col("ref_key").alias("recording"), *fields, "verdict")
 
 
-_LATENCIES = "(SELECT i, CASE WHEN i % 41 = 0 THEN NULL ELSE i * 2.5 END::DOUBLE AS latency_ms, CASE WHEN i % 7 = 0 THEN NULL ELSE 1.0 END::DOUBLE AS amplitude, (i % 20)::INT AS n_epochs FROM range(121) t(i))"
+#: Every event as a peak: its value is the latency, its user's number the epochs.
+_LATENCIES = "(SELECT event_id AS i, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value END AS latency_ms, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 1.0 END::DOUBLE AS amplitude, (user_id % 20)::INT AS n_epochs FROM events)"
 
 
 @query(f"""
@@ -587,20 +588,30 @@ y AS (SELECT *, CASE WHEN edge AND zone <> 'supported' THEN 'inconclusive' WHEN
 SELECT i, zone, CASE WHEN first = 'refuted' AND (n_epochs < 8 OR amplitude IS NULL) THEN 'inconclusive' ELSE first END AS verdict,
   concat_ws(',', CASE WHEN edge THEN 'boundary_hit' END, CASE WHEN zone LIKE '%ambiguous' THEN 'component_ambiguous' END, CASE WHEN n_epochs < 8 THEN 'low_evidence' END) AS caveats FROM y""")
 def latency_zones(spark, d):
-    i = F.col("id")
-    rows = spark.range(121).select(
-        i.alias("i"), F.when(i % 41 != 0, i * 2.5).alias("latency_ms"), F.when(i % 7 != 0, F.lit(1.0)).alias("amplitude"), (i % 20).cast("int").alias("n_epochs"),
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        i.alias("i"), F.when(i % 41 != 0, F.col("value")).alias("latency_ms"), F.when(i % 7 != 0, F.lit(1.0)).alias("amplitude"), (F.col("user_id") % 20).cast("int").alias("n_epochs"),
         F.lit(30.0).alias("search_lo_ms"), F.lit(235.0).alias("search_hi_ms"), F.lit(80.0).alias("window_lo"), F.lit(120.0).alias("window_hi"),
     )
     return signal.finding(rows).select("i", "zone", "verdict", F.array_join("caveats", ",").alias("caveats"))
 
 
-@query()
+_PLANTED = "CASE WHEN event_id % 500 = 200 THEN 3.0 ELSE 0.0 END"
+
+
+@query(f"""
+WITH s AS (SELECT event_id / 1000::DOUBLE AS t, round(({_PLANTED} + value / 1000) * 1000000)::BIGINT AS amp, event_id % 500 = 100 AS fires FROM events),
+e AS (SELECT g.t AS event_t, s.t - g.t AS lag, s.amp FROM s g JOIN s ON s.t BETWEEN g.t - 0.5 AND g.t + 0.5 AND s.t - g.t BETWEEN -0.1 AND 0.3 WHERE g.fires),
+b AS (SELECT *, amp - coalesce(floor((sum(CASE WHEN lag <= 0 THEN amp END) OVER w)::DOUBLE / (count(CASE WHEN lag <= 0 THEN amp END) OVER w)), 0)::BIGINT AS adj FROM e WINDOW w AS (PARTITION BY event_t)),
+v AS (SELECT floor(round(lag, 6) / 0.001)::BIGINT AS step, floor(sum(adj)::DOUBLE / count(*)) / 1000000 AS amp, count(*) AS n FROM b GROUP BY 1)
+SELECT 'MEG1' AS channel, step AS latency_ms, round(amp, 3) AS amp, n FROM v WHERE step BETWEEN 30 AND 235 ORDER BY abs(amp) DESC, step LIMIT 1""")
 def golden_signal(spark, d):
-    """A planted peak at 100 ms, found and judged (the generator has no SQL form; tested against its plan)."""
-    samples, triggers = signal.synthetic(spark)
-    rows = signal.baseline_corrected(signal.epochs(samples, triggers))
-    evoked = signal.averaged(rows.withColumn("lag", F.round("lag", 6)), 0.001)
+    """A peak planted at 100 ms after every trigger, in the events' values as noise, found again."""
+    rows = table(spark, d, "events").withColumn("t", F.col("event_id") / 1000)
+    planted = F.expr(_PLANTED.replace("3.0", "3.0D").replace("0.0", "0.0D")) + F.col("value") / 1000
+    samples = rows.select(F.lit("events").alias("recording"), F.lit("MEG1").alias("channel"), "t", planted.alias("amp"))
+    triggers = rows.where("event_id % 500 = 100").select(F.lit("events").alias("recording"), "t", F.lit(1).alias("code"))
+    evoked = signal.averaged(signal.baseline_corrected(signal.epochs(samples, triggers)).withColumn("lag", F.round("lag", 6)), 0.001)
     return signal.peak(evoked, 30, 235).select("channel", F.col("lag_step").alias("latency_ms"), F.round("amp", 3).alias("amp"), "n")
 
 
@@ -624,10 +635,12 @@ def dataset_files(spark, d):
     return catalog.files(rows.select(F.to_json(F.struct(F.struct("id", "files").alias("snapshot"))).alias("body")), latest)
 
 
-@query("SELECT (i - 1)::INT AS position, 'ds' || i AS id FROM range(1, 21) t(i) WHERE i % 4 <> 0")
+@query("SELECT (i - 1)::INT AS position, 'ds' || (page_id * 100 + i) AS id FROM pages, range(1, 21) t(i) WHERE (page_id + i) % 4 <> 0")
 def dataset_listing(spark, d):
-    edges = F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.struct(F.struct(F.when(i % 4 != 0, F.concat(F.lit("ds"), i)).alias("id")).alias("node")))
-    return catalog.listed(spark.range(1).select(F.to_json(F.struct(F.struct(edges.alias("edges")).alias("datasets"))).alias("body")))
+    """A listing for every page, with more datasets than it shows, of which one in four has no id."""
+    page, name = F.col("page_id"), lambda i: F.concat(F.lit("ds"), (F.col("page_id") * 100 + i).cast("string"))
+    edges = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.struct(F.struct(F.when((page + i) % 4 != 0, name(i)).alias("id")).alias("node")))
+    return catalog.listed(table(spark, d, "pages").select(F.to_json(F.struct(F.struct(edges.alias("edges")).alias("datasets"))).alias("body")))
 
 
 @query(f"""SELECT 'p' || work AS path, 'Trials of ' || work AS title, 'Author' || (work % 50) || ', Given|Other Person' AS authors, year, '10.5555/' || work AS doi FROM {duck("works")}""")

@@ -246,7 +246,7 @@ def _gather(key, state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     goal, k = Goal.of(row), int(row.wanted)
     for at, held in zip(found["at"], found["found"], strict=True):
         for (i, s), best in zip(np.frombuffer(at, dtype="<i4").reshape(-1, 2), np.frombuffer(held, dtype=np.int64).reshape(-1, k, 2), strict=True):
-            known = set(map(tuple, goal.best[i, s]))
+            known = {(NONE, NONE), *map(tuple, goal.best[i, s])}  # an empty place is no result, also where the goal has none left
             new = np.array([b for b in best if tuple(b) not in known], dtype=np.int64).reshape(-1, 2)
             goal.merge(i, s, new[:, 0], new[:, 1])
     return _state(row.block, Packed.of(row.ids, row.labels, row.vectors), goal)

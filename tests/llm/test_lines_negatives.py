@@ -123,6 +123,16 @@ def test_hard_negatives_are_brute_force(spark, monkeypatch, rounds):
     assert sorted(map(tuple, got.collect())) == brute_negatives(rows)
 
 
+def test_a_full_goal_takes_no_empty_places():
+    import pandas as pd
+
+    queries, goal = negatives.Packed(np.array([50]), np.array([1]), np.ones((1, 2))), negatives.Goal.positives(1, 2)
+    lists = [[(9, 1), (8, 2)], [(10, 3), (negatives.NONE, negatives.NONE)]]
+    found = pd.DataFrame([{"block": 0, "at": np.array([[0, 0]], dtype="<i4").tobytes(), "found": np.array([b], dtype=np.int64).tobytes()} for b in lists])
+    out = negatives._gather((0,), negatives._state(0, queries, goal), found)
+    assert negatives.Goal.of(next(out.itertuples())).best[0, 0].tolist() == [[10, 3], [9, 1]]
+
+
 def test_hard_negatives_take_odd_rows(spark):
     nan = float("nan")
     rows = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,14 +47,26 @@ def similarity(cited: str, recorded: str) -> float:
     return SequenceMatcher(None, cited, recorded).ratio() if cited and recorded else 0.0
 
 
+@lru_cache(maxsize=1 << 14)
+def _remembered(cited: str, recorded: str) -> float:
+    """Many references cite one record in one way; a worker computes that once."""
+    return similarity(cited, recorded)
+
+
 @F.pandas_udf(T.StringType())
 def _plain_udf(texts: pd.Series) -> pd.Series:
-    return plain(texts)
+    """Plain forms of a batch's different values; nulls, which need none, stay null."""
+    values = texts.dropna().drop_duplicates()
+    return texts.map(dict(zip(values, plain(values), strict=True))) if len(values) else texts
 
 
 @F.pandas_udf(T.DoubleType())
 def _similarity_udf(cited: pd.Series, recorded: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else similarity(a, b) for a, b in zip(cited, recorded, strict=True)], dtype="float64")
+    both = cited.notna() & recorded.notna()
+    out = pd.Series(float("nan"), index=cited.index, dtype="float64").astype(object).where(both, None)
+    for i in both.index[both]:
+        out[i] = _remembered(cited[i], recorded[i])
+    return out
 
 
 def doi(raw: Column) -> Column:
@@ -68,18 +81,14 @@ def ascii_title(raw: Column) -> Column:
 
 
 def title(raw: Column) -> Column:
-    """The plain title; the UDF gets null for rows that are ASCII. ``with_plain`` keeps those away from Python altogether."""
+    """The plain title; the UDF gets null for rows that are ASCII."""
     raw = F.coalesce(raw, F.lit(""))
     return F.when(raw.rlike(ASCII), ascii_title(raw)).otherwise(_plain_udf(F.when(~raw.rlike(ASCII), raw)))
 
 
 def with_plain(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the plain form of a column. Only different values with other than ASCII letters reach Python, and are joined back."""
-    if rows.isStreaming:  # a stream can't be joined back to its own different values
-        return rows.withColumn(name, title(F.col(column)))
-    raw = F.coalesce(F.col(column), F.lit(""))
-    odd = rows.select(raw.alias("_raw")).where(~F.col("_raw").rlike(ASCII)).distinct().withColumn("_plain", _plain_udf("_raw"))
-    return rows.join(odd, raw == F.col("_raw"), "left").withColumn(name, F.coalesce("_plain", ascii_title(raw))).drop("_raw", "_plain")
+    """Adds the plain form of a column, in place: to join different values back would shuffle the whole rows once for each column."""
+    return rows.withColumn(name, title(F.col(column)))
 
 
 def known_ratio(cited: Column, recorded: Column) -> Column:
@@ -97,14 +106,8 @@ def title_ratio(cited: Column, recorded: Column) -> Column:
 
 
 def with_ratio(rows: DataFrame, cited: str, recorded: str, name: str) -> DataFrame:
-    """Adds the similarity of two columns of plain titles. Only different pairs that need a search reach Python, and are joined back."""
-    if rows.isStreaming:  # a stream can't be joined back to its own different values
-        return rows.withColumn(name, title_ratio(F.col(cited), F.col(recorded)))
-    known = known_ratio(F.col(cited), F.col(recorded))
-    pairs = rows.where(known.isNull()).select(F.col(cited).alias("_cited"), F.col(recorded).alias("_recorded")).where("_cited is not null and _recorded is not null").distinct()
-    pairs = pairs.withColumn("_ratio", _similarity_udf("_cited", "_recorded"))
-    both = rows.join(pairs, (F.col(cited) == F.col("_cited")) & (F.col(recorded) == F.col("_recorded")), "left")
-    return both.withColumn(name, F.coalesce(known, "_ratio")).drop("_cited", "_recorded", "_ratio")
+    """Adds the similarity of two columns of plain titles, in place."""
+    return rows.withColumn(name, title_ratio(F.col(cited), F.col(recorded)))
 
 
 def surname(name: Column) -> Column:
@@ -115,6 +118,8 @@ def surname(name: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def _overlap_udf(cited: pd.Series, recorded: pd.Series) -> pd.Series:
     """All names of a batch are folded at once; rows without arrays give null."""
+    if not cited.notna().any():
+        return pd.Series([None] * len(cited), dtype="float64")
     sides = []
     for side in (cited, recorded):
         flat = side.explode()
@@ -144,14 +149,8 @@ def author_overlap(cited: Column, recorded: Column) -> Column:
 
 
 def with_overlap(rows: DataFrame, cited: str, recorded: str, name: str) -> DataFrame:
-    """Adds the author overlap of two array columns. Only different pairs with other than ASCII letters reach Python, and are joined back."""
-    if rows.isStreaming:  # a stream can't be joined back to its own different values
-        return rows.withColumn(name, author_overlap(F.col(cited), F.col(recorded)))
-    a, b = F.col(cited), F.col(recorded)
-    pairs = rows.where(~ascii_names(a, b)).select(a.alias("_cited"), b.alias("_recorded")).distinct()
-    pairs = pairs.withColumn("_share", _overlap_udf("_cited", "_recorded"))
-    both = rows.join(pairs, (a == F.col("_cited")) & (b == F.col("_recorded")), "left")
-    return both.withColumn(name, F.coalesce("_share", ascii_overlap(a, b))).drop("_cited", "_recorded", "_share")
+    """Adds the author overlap of two array columns, in place."""
+    return rows.withColumn(name, author_overlap(F.col(cited), F.col(recorded)))
 
 
 def arxiv_pdf(bare_doi: Column) -> Column:

@@ -69,20 +69,30 @@ def best_candidates(refs: DataFrame, search: DataFrame) -> DataFrame:
     return rows.groupBy("ref_id").agg(best).select("ref_id", "b.*")
 
 
-def looked_up(refs: DataFrame, records: DataFrame) -> DataFrame:
-    """``refs (doi, ...)`` with each provider's outcome and record: one table with a column per provider, one equi-join.
+_FIELDS = ("title", "plain", "year", "authors", "retraction")
+
+
+def _known(records: DataFrame) -> DataFrame:
+    """``_doi`` and a column per provider with its outcome and record.
 
     Of several records of one provider and DOI one counts: an answer before an error, then the greatest by its fields.
     """
-    fields = ("title", "plain", "year", "authors", "retraction")
     records = text.with_plain(records.where("doi <> ''"), "title", "plain")
-    one = [F.max(F.when(F.col("provider") == p, F.struct("outcome", *fields))).alias(f"_{p}") for p in PROVIDERS]
-    known = records.groupBy(F.col("doi").alias("_doi")).agg(*one)
-    out = refs.join(known, F.col("doi") == F.col("_doi"), "left").drop("_doi")
+    one = [F.max(F.when(F.col("provider") == p, F.struct("outcome", *_FIELDS))).alias(f"_{p}") for p in PROVIDERS]
+    return records.groupBy(F.col("doi").alias("_doi")).agg(*one)
+
+
+def _answered(rows: DataFrame) -> DataFrame:
+    """Each provider's outcome and record of rows that are joined to ``_known``."""
     for p in PROVIDERS:
-        out = out.withColumn(f"{p}_outcome", F.when(F.col("doi") != "", F.coalesce(F.col(f"_{p}.outcome"), F.lit("absent"))))
-        out = out.withColumn(p, F.when(F.col(f"_{p}").isNotNull(), F.struct(*[F.col(f"_{p}.{f}").alias(f) for f in fields]))).drop(f"_{p}")
-    return out
+        rows = rows.withColumn(f"{p}_outcome", F.when(F.col("doi") != "", F.coalesce(F.col(f"_{p}.outcome"), F.lit("absent"))))
+        rows = rows.withColumn(p, F.when(F.col(f"_{p}").isNotNull(), F.struct(*[F.col(f"_{p}.{f}").alias(f) for f in _FIELDS]))).drop(f"_{p}")
+    return rows
+
+
+def looked_up(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """``refs (doi, ...)`` with each provider's outcome and record: one table with a column per provider, one equi-join."""
+    return _answered(refs.join(_known(records), F.col("doi") == F.col("_doi"), "left").drop("_doi"))
 
 
 def _first_hit() -> Column:
@@ -103,14 +113,16 @@ def verified(refs: DataFrame, records: DataFrame, probes: DataFrame, candidates:
     """
     rows = refs.withColumn("doi", text.doi(F.col("doi"))).withColumns({"title": F.trim(F.coalesce("title", F.lit(""))), "url_cited": F.coalesce("url", F.lit("")) != ""})
     rows = text.with_plain(rows, "title", "plain")
-    rows = looked_up(rows, records).withColumn("hit", _first_hit())
-    fields = ("title", "plain", "year", "authors", "retraction")
     if candidates is not None:
-        found = text.with_plain(candidates, "title", "plain").select("ref_id", "similarity", F.struct(*fields).alias("found"))
-        rows = rows.join(found, "ref_id", "left")
+        # a reference has a DOI or else a candidate, so both meet it in one join, and its row is shuffled once
+        found = text.with_plain(candidates, "title", "plain").select(F.concat(F.lit("title "), F.col("ref_id").cast("string")).alias("_key"), "similarity", F.struct(*_FIELDS).alias("found"))
+        known = _known(records).withColumn("_key", F.concat(F.lit("doi "), "_doi")).drop("_doi").unionByName(found, allowMissingColumns=True)
+        key = F.when(F.col("doi") != "", F.concat(F.lit("doi "), "doi")).otherwise(F.concat(F.lit("title "), F.col("ref_id").cast("string")))
+        rows = _answered(rows.withColumn("_cited", key).join(known, F.col("_cited") == F.col("_key"), "left").drop("_cited", "_key"))
     else:
         kind = "struct<title:string,plain:string,year:int,authors:array<string>,retraction:string>"
-        rows = rows.withColumns({"similarity": F.lit(None).cast("double"), "found": F.lit(None).cast(kind)})
+        rows = looked_up(rows, records).withColumns({"similarity": F.lit(None).cast("double"), "found": F.lit(None).cast(kind)})
+    rows = rows.withColumn("hit", _first_hit())
     has_doi, has_title = F.col("doi") != "", F.col("title") != ""
     sim = F.col("similarity")
     by_doi = F.when(F.col("hit") == "error", "error").when(F.col("hit").isNull(), "fail").otherwise("pass")

@@ -53,7 +53,8 @@ def _refs(spark, d):
 def _verified(spark, d):
     refs = _refs(spark, d)
     search = derived(spark, d, "search").withColumn("authors", F.array("family"))
-    return verify.verified(refs, _records(spark, d), derived(spark, d, "probes"), verify.best_candidates(refs, search))
+    without = refs.where(text.doi(F.col("doi")) == "")
+    return verify.verified(refs, _records(spark, d), derived(spark, d, "probes"), verify.best_candidates(without, search))
 
 
 _PLAIN = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"

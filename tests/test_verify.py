@@ -81,3 +81,19 @@ def test_title_search_query_cites_every_work(spark):
 def test_envelopes_hold_no_non_finite_number(spark):
     rows = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")])], "id int, x double, y array<double>")
     assert report.envelopes(rows).first()["json"] == '{"success":true,"id":1,"x":null,"y":[1.0,null]}'
+
+
+def test_references_are_shuffled_for_no_column(spark):
+    refs = spark.createDataFrame(
+        [("a", "10.1/x", "Über Straßen", 2000, ["Łukasz Żak"], None), ("b", "", "Ærlige svar", 2001, ["Olsen"], None), ("c", None, "Plain words", 2002, [], None), ("d", "10.1/none", "Plain words", 2002, [], None)], REF.replace("long", "string")
+    )
+    records = spark.createDataFrame([("crossref", "10.1/x", "ok", "uber strassen", 2000, ["Zak, Ł."], None)], RECORD)
+    found = spark.createDataFrame(
+        [("a", 1.0, "Another title", 1900, ["Nobody"], "retraction"), ("b", 0.9, "aerlige svar", 2001, ["Olsen"], None), ("10.1/none", 1.0, "Plain words", 2002, [], None)],
+        "ref_id string, similarity double, title string, year int, authors array<string>, retraction string",
+    )
+    rows = verify.verified(refs, records, spark.createDataFrame([], PROBE), found)
+    got = {r["ref_id"]: (r["existence"], r["metadata"], r["retraction"], r["existence_confidence"]) for r in rows.collect()}
+    assert got == {"a": ("pass", "pass", "pass", 0.95), "b": ("pass", "pass", "pass", 0.9), "c": ("unknown", "unknown", "unknown", 0.3), "d": ("fail", "unknown", "unknown", 0.9)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # what is known of a reference, and its link

@@ -17,6 +17,8 @@ WEIGHTS = {"existence": 0.5, "metadata": 0.3, "retraction": 0.1, "url": 0.1}
 QUALITY = {"pass": 1.0, "warn": 0.6, "fail": 0.0}
 CAPS = {"retracted": 0.1, "not_found": 0.1, "unverifiable": 0.4, "warnings": 0.79}
 PROVIDERS, CANDIDATES = ("crossref", "openalex", "datacite"), 5
+#: What grows with the bibliography is never sent to the driver, which a broadcast would do.
+SORTED = "merge"
 CONFIDENCE = {"crossref": 0.95, "openalex": 0.9, "datacite": 0.9}
 RETRACTION_SOURCES = ("crossref", "openalex")
 
@@ -64,7 +66,7 @@ def best_candidates(refs: DataFrame, search: DataFrame) -> DataFrame:
     """
     cited = text.with_plain(refs.select("ref_id", "title"), "title", "cited").where("cited <> ''").select("ref_id", "cited")
     found = text.with_plain(search.where(F.col("rank") <= CANDIDATES), "title", "known")
-    rows = text.with_ratio(found.join(cited, "ref_id"), "cited", "known", "similarity")
+    rows = text.with_ratio(found.join(cited.hint(SORTED), "ref_id"), "cited", "known", "similarity")
     best = F.max_by(F.struct("similarity", "title", "year", "authors", "retraction"), F.struct("similarity", -F.col("rank"))).alias("b")
     return rows.groupBy("ref_id").agg(best).select("ref_id", "b.*")
 
@@ -92,7 +94,7 @@ def _answered(rows: DataFrame) -> DataFrame:
 
 def looked_up(refs: DataFrame, records: DataFrame) -> DataFrame:
     """``refs (doi, ...)`` with each provider's outcome and record: one table with a column per provider, one equi-join."""
-    return _answered(refs.join(_known(records), F.col("doi") == F.col("_doi"), "left").drop("_doi"))
+    return _answered(refs.join(_known(records).hint(SORTED), F.col("doi") == F.col("_doi"), "left").drop("_doi"))
 
 
 def _first_hit() -> Column:
@@ -118,7 +120,7 @@ def verified(refs: DataFrame, records: DataFrame, probes: DataFrame, candidates:
         found = text.with_plain(candidates, "title", "plain").select(F.concat(F.lit("title "), F.col("ref_id").cast("string")).alias("_key"), "similarity", F.struct(*_FIELDS).alias("found"))
         known = _known(records).withColumn("_key", F.concat(F.lit("doi "), "_doi")).drop("_doi").unionByName(found, allowMissingColumns=True)
         key = F.when(F.col("doi") != "", F.concat(F.lit("doi "), "doi")).otherwise(F.concat(F.lit("title "), F.col("ref_id").cast("string")))
-        rows = _answered(rows.withColumn("_cited", key).join(known, F.col("_cited") == F.col("_key"), "left").drop("_cited", "_key"))
+        rows = _answered(rows.withColumn("_cited", key).join(known.hint(SORTED), F.col("_cited") == F.col("_key"), "left").drop("_cited", "_key"))
     else:
         kind = "struct<title:string,plain:string,year:int,authors:array<string>,retraction:string>"
         rows = looked_up(rows, records).withColumns({"similarity": F.lit(None).cast("double"), "found": F.lit(None).cast(kind)})

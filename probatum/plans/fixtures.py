@@ -88,6 +88,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in SQL[name]}
+    if "part" in used:  # works grow with the tables: in a join they are sorted, not broadcast through the driver
+        used["part"] = used["part"].hint("merge")
     return spark.sql(SQL[name], **used)
 
 

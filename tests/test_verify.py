@@ -97,3 +97,15 @@ def test_references_are_shuffled_for_no_column(spark):
     assert got == {"a": ("pass", "pass", "pass", 0.95), "b": ("pass", "pass", "pass", 0.9), "c": ("unknown", "unknown", "unknown", 0.3), "d": ("fail", "unknown", "unknown", 0.9)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2  # what is known of a reference, and its link
+
+
+def test_records_and_candidates_are_not_broadcast(spark):
+    refs = spark.createDataFrame([(1, "10.1/a", TITLE, 2001, ["Müller"], None), (2, "", TITLE, 2001, ["Müller"], None)], REF)
+    search = spark.createDataFrame([(2, 1, TITLE, 2001, ["Müller"], None)], "ref_id long, rank int, title string, year int, authors array<string>, retraction string")
+    best = verify.best_candidates(refs, search)
+    rows = verify.looked_up(refs, spark.createDataFrame([OK], RECORD))
+    both = verify.verified(refs, spark.createDataFrame([OK], RECORD), spark.createDataFrame([], PROBE), best).select("ref_id", "existence", "metadata")
+    assert sorted(map(tuple, both.collect())) == [(1, "pass", "pass"), (2, "pass", "pass")]
+    for df, joins in ((best, 1), (rows, 1), (both, 2)):
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin ") >= joins

@@ -27,8 +27,10 @@ from probatum.sources.shared import written
 
 #: Letters of a q-gram, unmatched letters up to which the index may be complete, the most postings that a title looks up.
 Q, UNMATCHED, POSTINGS = 5, 4, 500
-#: Titles and records of a block, and the letters by which lengths of blocks are compared.
+#: Titles and records of a block at least, and the letters by which lengths of blocks are compared.
 CITED_BLOCK, KNOWN_BLOCK, STRIDE = 128, 4096, 16
+#: Blocks of a side, of which each meets the other side's: they grow with the tables up to the largest, so that what is shuffled grows no faster.
+SIDES, LARGEST = 32, 1 << 17
 #: The rows here are few and dear, so tasks are dealt by their number and not by their bytes.
 PROBES_A_TASK, PAIRS_A_TASK = 4000, 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,18 +121,27 @@ def _compared(pairs):
 
 
 def _blocks_compared(pairs):
-    last, codes = None, None
+    last, slices = None, []
     for pdf in pairs:
         for row in pdf.itertuples():
-            if row.block != last:
-                last, codes = row.block, Codes(list(row.known))
+            if row.block != last:  # a few thousand records at a time stay in the processor's cache
+                last, cuts = row.block, range(0, len(row.known), KNOWN_BLOCK)
+                parts = [(list(row.known[at : at + KNOWN_BLOCK]), list(row.dois[at : at + KNOWN_BLOCK])) for at in cuts]
+                slices = [(Codes(titles), titles, dois) for titles, dois in parts]
             rows = []
             for cited, least in zip(row.cited, row.least, strict=True):
-                if found := best_of_block(cited, codes, list(row.known), list(row.dois), least):
-                    rows.append((cited, *found))
+                for codes, titles, dois in slices:
+                    if found := best_of_block(cited, codes, titles, dois, least):
+                        rows.append((cited, *found))
+                        least = max(least, found[0])
             yield pd.DataFrame(rows, columns=["cited", "similarity", "apart", "doi"])
 
 
+def block_size(rows: int, least: int) -> int:
+    """Rows of a block: what gives ``SIDES`` blocks, but ``least`` at least and ``LARGEST`` at most."""
+    return max(least, min(LARGEST, -(-rows // SIDES)))
+
+
 _FOUND = "cited string, similarity double, apart long, doi string"
 
 
@@ -206,11 +217,12 @@ def best_titles(refs: DataFrame, records: DataFrame, least: float = 0.6, q: int
     settled = found.where(final).select("cited", "similarity", "apart", "doi")
 
     left = other.join(found.select("cited", "similarity", final.alias("final")), "cited", "left").where("final is null or not final")
-    left = left.select("cited", F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(float(least))).alias("least"))
+    left = written(left.select("cited", F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(float(least))).alias("least")), "left")
+    cited_rows, known_rows = block_size(left.count(), cited_block), block_size(known.count(), known_block)
     by_length = lambda df, c: df.withColumn("n", F.length(c)).repartitionByRange("n", c).sortWithinPartitions("n", c)
-    asked = by_length(left, "cited").mapInPandas(_packed(cited_block, {"cited": "cited", "least": "least"}, {}), "cited array<string>, least array<double>, low int, high int")
+    asked = by_length(left, "cited").mapInPandas(_packed(cited_rows, {"cited": "cited", "least": "least"}, {}), "cited array<string>, least array<double>, low int, high int")
     asked = written(asked.withColumn("part", F.monotonically_increasing_id()), "asked")
-    held = by_length(known, "known").mapInPandas(_packed(known_block, {"known": "known", "doi": "dois"}, {}), "known array<string>, dois array<string>, low int, high int")
+    held = by_length(known, "known").mapInPandas(_packed(known_rows, {"known": "known", "doi": "dois"}, {}), "known array<string>, dois array<string>, low int, high int")
     held = written(held.withColumn("block", F.monotonically_increasing_id()), "held")
     # a title of n letters reaches s only with titles of n s / (2 - s) to n (2 - s) / s letters
     reach = F.array_min("least")
@@ -222,6 +234,7 @@ def best_titles(refs: DataFrame, records: DataFrame, least: float = 0.6, q: int
     blocks = held.select("block", "low", "high").withColumn("stride", strides(F.col("low"), F.col("high")))
     pairs = written(heads.join(blocks, "stride").where((F.col("low") <= F.col("to")) & (F.col("high") >= F.col("from"))).select("part", "block").distinct(), "pairs")
     both = pairs.join(asked.select("part", "cited", "least"), "part").join(held.select("block", "known", "dois"), "block")
-    compared = both.repartition(max(1, -(-pairs.count() // PAIRS_A_TASK))).mapInPandas(_blocks_compared, _FOUND)
+    a_task = max(1, PAIRS_A_TASK * CITED_BLOCK * KNOWN_BLOCK // (cited_rows * known_rows))
+    compared = both.repartition(max(1, -(-pairs.count() // a_task))).mapInPandas(_blocks_compared, _FOUND)
     best = _best(equal.unionAll(settled).unionAll(compared)).where(F.col("similarity") >= least)
     return refs.join(best, "cited").select("ref_id", "similarity", "doi")

@@ -117,3 +117,19 @@ def test_search_of_whole_tables_is_all_pairs(spark):
     refs = [(w["work"], edited(rng, w["title"], 1 + w["work"] % 9)) for w in works]
     pairs = [(w["doi"], w["title"]) for w in works]
     assert found(spark, refs, pairs, 0.6) == brute(refs, pairs, 0.6)
+
+
+def test_blocks_grow_so_that_what_meets_does_not_grow_faster_than_the_titles(monkeypatch):
+    import pandas as pd
+
+    met = lambda n: (-(-n // titles.block_size(n, titles.CITED_BLOCK))) * n + (-(-n // titles.block_size(n, titles.KNOWN_BLOCK))) * n
+    assert met(1_200_000) <= 10.5 * met(120_000)  # titles in all pairs of blocks
+    assert titles.block_size(10, 128) == 128 and titles.block_size(1 << 40, 128) == titles.LARGEST
+    monkeypatch.setattr(titles, "KNOWN_BLOCK", 3)
+    known = sorted((f"title {i}{'x' * (i % 4)}" for i in range(20)), key=len)
+    pair = {"part": 0, "cited": ["title 7xxy", "title 1"], "least": [0.0, 0.5], "block": 1, "known": known, "dois": [f"d{t}" for t in known]}
+    got = pd.concat(titles._blocks_compared([pd.DataFrame([pair])]))
+    codes = titles.Codes(known)
+    for cited, least in zip(pair["cited"], pair["least"], strict=True):
+        best = got[got["cited"] == cited].sort_values(["similarity", "apart", "doi"], ascending=[False, True, True]).iloc[0]
+        assert tuple(best[["similarity", "apart", "doi"]]) == titles.best_of_block(cited, codes, known, pair["dois"], least)

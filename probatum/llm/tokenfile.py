@@ -21,9 +21,11 @@ import functools
 import gc
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ from probatum.llm.bpe import vocabulary_path
 from probatum.llm.common import sampled, some, written
 from probatum.llm.pretoken import in_chunks, pieces_of
 
-VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000
-PART_BYTES, PARTS_A_BLOCK = 32 << 20, 4096
+VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE, SLICE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000, 256
+PART_BYTES, PARTS_A_BLOCK = 16 << 20, 4096
 
 
 class LibraryCache(dict):
@@ -111,10 +113,24 @@ def rest() -> None:
     library.cache_clear()
     gc.enable()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory of this process back to the system."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, ``SLICE`` at a time, so that only those become Python objects; freed memory goes back after each batch."""
+    rows = rows or SLICE
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        trim()
+
+
 def missing(values: list) -> list[int]:
     """The positions of None."""
     out, i = [], -1
@@ -162,37 +178,40 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     shared = trained_dictionary(docs, path)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def frames(batches):
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdCompressor(level=3)
         gc.disable()  # the cache is large and free of cycles
         lib = library(path)
         end, size = end_of(lib), lib.kind.itemsize
-        for pdf in batches:
+        for part in sliced(batches):
             n, tie, packed = [], [], []
-            for ids in lib.encode_batch(pdf["text"].tolist()):
+            for ids in lib.encode_batch(part["text"].to_pylist()):
                 n.append(len(ids) // size + 1)
                 tie.append(xxhash.xxh3_64_intdigest(ids) >> 1)
                 packed.append(press.compress(ids + end))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tie": pd.Series(tie, dtype="int64"), "n": pd.Series(n, dtype="int64"), "frame": packed})
+            yield pa.record_batch({"doc_id": part["doc_id"], "tie": pa.array(tie, pa.int64()), "n": pa.array(n, pa.int64()), "frame": pa.array(packed, pa.binary())})
 
-    packed = written(docs.mapInPandas(frames, f"doc_id {id_type}, tie long, n long, frame binary"), "frames")
+    packed = written(docs.mapInArrow(frames, f"doc_id {id_type}, tie long, n long, frame binary"), "frames")
     held = packed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-held["docs"] // PART_DOCS), -(-held["bytes"] // PART_BYTES))  # a partition is read in one batch
+    parts = max(1, -(-held["docs"] // PART_DOCS), -(-held["bytes"] // PART_BYTES))  # a partition can be one Arrow batch
     digest = hashlib.sha256(shared).hexdigest()
 
-    def shards(batches):
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest()
         start, held, size = 0, [], 0
 
         def full():
-            ends = np.cumsum([0, *(len(f) for _, _, f in held)])
-            row = {"first": starts[0], "doc_ids": [d for d, _, _ in held], "starts": starts, "frames": ends, "payload": b"".join(f for _, _, f in held), "dictionary": digest}
-            return pd.DataFrame({k: [v] for k, v in row.items()} | {"tokens": [sum(n for _, n, _ in held)]})
-
-        starts = []
-        for pdf in batches:
-            for d, n, f in zip(pdf["doc_id"], pdf["n"], pdf["frame"], strict=True):
-                held.append((None if pd.isna(d) else d, n, f))
+            ends = np.cumsum([0, *(len(f) for _, _, f in held)]).tolist()
+            ids = pa.array([[d for d, _, _ in held]], pa.list_(kind))
+            longs = {"starts": pa.array([starts], pa.list_(pa.int64())), "frames": pa.array([ends], pa.list_(pa.int64()))}
+            rest_ = {"payload": pa.array([b"".join(f for _, _, f in held)], pa.binary()), "dictionary": pa.array([digest]), "tokens": pa.array([sum(n for _, n, _ in held)], pa.int64())}
+            return pa.record_batch({"first": pa.array([starts[0]], pa.int64()), "doc_ids": ids, **longs, **rest_})
+
+        starts, kind = [], None
+        for part in sliced(batches):
+            kind = part["doc_id"].type
+            for d, n, f in zip(*(part[c].to_pylist() for c in ("doc_id", "n", "frame")), strict=True):
+                held.append((d, n, f))
                 starts.append(start)
                 start, size = start + n, size + len(f)
                 if len(held) >= SHARD_DOCS or size >= SHARD_BYTES:
@@ -203,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
 
     laid = packed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     file = written(
-        laid.mapInPandas(shards, f"first long, doc_ids array<{id_type}>, starts array<long>, frames array<long>, payload binary, dictionary string, tokens long").withColumn("part", F.spark_partition_id()),
+        laid.mapInArrow(shards, f"first long, doc_ids array<{id_type}>, starts array<long>, frames array<long>, payload binary, dictionary string, tokens long").withColumn("part", F.spark_partition_id()),
         "tokens",
     )
     totals = file.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("block", F.floor(F.col("part") / PARTS_A_BLOCK))
@@ -219,21 +238,25 @@ def read_tokens(file: DataFrame, bases: DataFrame, shared: bytes, size: int) ->
     id_type = file.schema["doc_ids"].dataType.elementType.simpleString()
     digest = hashlib.sha256(shared).hexdigest()
 
-    def read(batches):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest()
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared)) if shared else zstandard.ZstdDecompressor()
-        for pdf in batches:
-            if (pdf["dictionary"] != digest).any():
+        for part in sliced(batches, 1):
+            row = {c: part[c][0] for c in part.schema.names}
+            if row["dictionary"].as_py() != digest:
                 raise ValueError(f"the file needs another dictionary than {digest}")
-            for ids_of, starts, frames, payload, base in zip(pdf["doc_ids"], pdf["starts"], pdf["frames"], pdf["payload"], pdf["base"], strict=True):
-                view = memoryview(payload)
-                ids = [np.frombuffer(open_.decompress(view[a:b]), dtype=f"<u{size}").astype("<u4") for a, b in zip(frames[:-1], frames[1:], strict=True)]
-                n, crc = np.array([len(x) for x in ids], dtype=np.int64), np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
-                yield pd.DataFrame({"doc_id": ids_of, "start": np.asarray(starts, dtype=np.int64) + base, "n_tokens": n, "ids_crc32": crc})
+            view, cuts = memoryview(row["payload"].as_buffer()), row["frames"].as_py()
+            n, crc = [], []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                ids = np.frombuffer(open_.decompress(view[x:y]), dtype=f"<u{size}").astype("<u4")
+                n.append(len(ids))
+                crc.append(zlib.crc32(ids))
+            starts = row["starts"].values.to_numpy() + row["base"].as_py()
+            yield pa.record_batch({"doc_id": row["doc_ids"].values, "start": pa.array(starts), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     # the written sums are broadcast where Spark finds their files small
     shards = file.join(bases, "part").select("doc_ids", "starts", "frames", "payload", "dictionary", "base")
-    return shards.mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_file(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,21 @@ def test_token_file_orders_repeated_ids(spark, monkeypatch):
     assert [d for d, *_ in runs[0]] == sorted(i % 3 for i in range(60))
 
 
+def test_token_file_keeps_large_ids_beside_null_ones(spark):
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, "no id"), (big, "one text"), (big + 2, "and another")], DOC).coalesce(1)
+    assert [r["doc_id"] for r in tokenfile.op7_token_file(docs).orderBy("start").collect()] == [None, big, big + 2]
+
+
+def test_token_file_takes_batches_in_slices():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"x": list(range(n))}) for n in (600, 0, 3)]
+    got = list(tokenfile.sliced(iter(batches)))
+    assert max(b.num_rows for b in got) <= tokenfile.SLICE
+    assert [x for b in got for x in b["x"].to_pylist()] == [*range(600), *range(3)]
+
+
 def test_a_full_cache_still_encodes(monkeypatch):
     monkeypatch.setattr(tokenfile, "CACHE", 10)
     lib = tokenfile.LibraryCache(bpe.vocabulary_path(tokenfile.VOCABULARY))

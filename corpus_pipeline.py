@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of copies and near copies: the smallest id (nulls last), then the least digest of its text."""
+    """One row of each group that SimHash fingerprints (as op10 links them) or shingles (0.8 alike) join: the smallest id (nulls last), then the least digest of its text."""
     common.ship(spark)
     decided = shingles.with_one_kept(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shingles.text_digest().alias("same"))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatum.llm.common import connected_components, forget, release, written
+from probatum.llm.simhash import fingerprint, links_of
 
 SHINGLE, ORDER_ONE_IN, FREQUENT, MOST_FREQUENT, FEW, WORD_CACHE = 5, 12, 2, 1 << 20, 16, 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype="<u8")
@@ -111,8 +112,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order].astype("<i4")
 
 
-def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
-    """Per document the number of its shingles, their bitmap, and the shingles of its prefix in order."""
+def _prefixes(frequent: tuple[np.ndarray, np.ndarray], fingerprints: bool):
+    """Per document its SimHash fingerprint if asked, the number of its shingles, their bitmap, and the shingles of its prefix in order."""
     tokens, counts = frequent
 
     def prefix(text):
@@ -127,7 +128,8 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
         for pdf in batches:
             if len(pdf):  # Spark 4.1 can't take a frame of binaries without rows
                 size, bits, tokens = zip(*map(prefix, pdf["text"]), strict=True)
-                yield pdf[["doc_id", "same"]].assign(size=np.array(size, dtype=np.int32), bits=bits, tokens=tokens)
+                fp = np.array([fingerprint(t) if fingerprints else 0 for t in pdf["text"]], dtype=np.int64)
+                yield pdf[["doc_id", "same"]].assign(fp=fp, size=np.array(size, dtype=np.int32), bits=bits, tokens=tokens)
 
     return run
 
@@ -165,15 +167,16 @@ def text_digest(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     """``doc_id, same, times, group, component_id`` of every different row ``(doc_id, text)``, which occurs ``times`` times.
 
     ``same`` is the digest of the text; ``group`` numbers the texts that links join; ``component_id`` is their smallest id,
-    null where none has one.
+    null where none has one. With ``fingerprints``, texts whose SimHash fingerprints link are joined first, by the multi-index
+    hashing of ``simhash``; the prefix filter then finds the links that those are too coarse for.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_digest().alias("same"), "text")
-    prefixes = written(rows.mapInPandas(_prefixes(frequent_shingles(docs)), "doc_id long, same binary, size int, bits binary, tokens array<long>"), "prefixes")
+    prefixes = written(rows.mapInPandas(_prefixes(frequent_shingles(docs), fingerprints), "doc_id long, same binary, fp long, size int, bits binary, tokens array<long>"), "prefixes")
     marked = written(prefixes.groupBy("same", "doc_id").agg(F.count("*").alias("times")), "marked")
     classes = written(prefixes.dropDuplicates(["same"]).withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, in the files
     forget(prefixes)
@@ -232,7 +235,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
         release(spark)
         return links
 
+    def by_fingerprint() -> DataFrame:
+        reps = written(classes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+        equal = classes.select("fp", "node").join(reps.hint("merge"), "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+        links = written(links_of(reps).unionAll(equal), "alike")
+        release(spark)
+        return links
+
     first = linked(with_earliest())
+    if fingerprints:
+        first = by_fingerprint().unionAll(first)
     links = first.unionAll(linked(with_all(connected_components(first))))
     comps = connected_components(links)
     groups = classes.select("same", "node").join(comps, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
@@ -242,7 +254,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def with_one_kept(docs: DataFrame) -> DataFrame:
-    """``doc_id, same, times, kept`` of every different row; one of each group is kept: the least id (nulls last), then the least digest."""
-    named = written(near_copies(docs).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")), "groups")
+    """``doc_id, same, times, kept`` of every different row; one of each group of texts that fingerprints or shingles link is kept: the least id (nulls last), then the least digest."""
+    named = written(near_copies(docs, fingerprints=True).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")), "groups")
     first = named.groupBy("group").agg(F.min("rank").alias("first"))
     return written(named.join(first, "group").select("doc_id", "same", "times", F.col("rank").eqNullSafe(F.col("first")).alias("kept")), "kept")

@@ -79,16 +79,20 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, segments: int = SEGM
     return met.select("a", "b").distinct()
 
 
+def links_of(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``u, v``: the representatives of fingerprints that differ in at most ``radius`` bits, from ``reps (fp, rep)``."""
+    named = reps.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
+    pairs = near_fingerprints(reps.select("fp"), radius).join(named.hint("merge"), "a")  # never broadcast: these grow with the table
+    return pairs.join(named.select(F.col("a").alias("b"), F.col("u").alias("v")).hint("merge"), "b").select("u", "v")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs (doc_id, text)``."""
     marked = written(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
     reps = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    pairs = near_fingerprints(reps.select("fp"), radius)
-    named = reps.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
-    edges = pairs.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
-    comps = connected_components(edges)
-    of_fp = reps.join(comps, reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(of_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    comps = connected_components(links_of(reps, radius))
+    of_fp = reps.join(comps.hint("merge"), reps.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(of_fp.hint("merge"), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:

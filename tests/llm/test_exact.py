@@ -416,3 +416,18 @@ def test_near_copies_of_crowded_shingles(spark):
     truth = near_pairs(texts)
     assert 20 < len(set(truth)) < len(texts)
     assert [got[i] for i in range(len(texts))] == truth
+
+
+def test_the_stage_links_by_fingerprints_too(spark):
+    import corpus_pipeline
+
+    rng, pair = random.Random(2), None
+    while not pair:  # alike for fingerprints, less than 0.8 alike by shingles
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        a, b = " ".join(words), " ".join(w if rng.random() > 0.02 else f"y{rng.randrange(10**6)}" for w in words)
+        x, y = set(shingles.shingle_hashes(a)), set(shingles.shingle_hashes(b))
+        if ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) & (1 << 64) - 1).bit_count() <= 3 and 5 * len(x & y) < 4 * len(x | y):
+            pair = [a, b]
+    docs = docs_of(spark, [*pair, "another text altogether", pair[0] + " and a tail"])
+    assert [r["component_id"] for r in shingles.near_copies(docs).orderBy("doc_id").collect()] == [0, 1, 2, 0]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import copy
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.functions.detectors import DETECTORS, NEEDED, Detector, passes
+from probatum.functions.detectors import DETECTORS, NEEDED, NEEDED_ANY_CASE, Detector, passes
 
 HIT = "array<struct<label:string,match:string>>"
 
@@ -30,6 +31,9 @@ def hits_of(text: Column, detector: Detector, allowed: tuple[str, ...] = ()) ->
     out = F.transform(F.filter(pairs, kept), lambda x: F.struct(F.lit(detector.label).alias("label"), x["m"].alias("match")))
     if detector.label in NEEDED:
         out = F.when(F.contains(text, F.lit(NEEDED[detector.label])), out).otherwise(F.array().cast(HIT))
+    if detector.label in NEEDED_ANY_CASE:
+        low, words = F.lower(text), NEEDED_ANY_CASE[detector.label]
+        out = F.when(functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), out).otherwise(F.array().cast(HIT))
     return out
 
 

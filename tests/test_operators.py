@@ -178,3 +178,17 @@ def test_stream_verifies_each_reference_once(spark, tmp_path):
     q = verified_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), records, probes).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["verdict"] for r in spark.sql("select * from seen").collect()] == ["verified"]
+
+
+def test_patterns_that_ignore_case_skip_rows_without_their_words(spark):
+    from probatum.functions.detectors import DETECTORS
+    from probatum.operators import scan
+
+    texts = ["Authorization: BASIC abcdefgh12345678", "BEARER abcdefghij0123456789xyz", "Client_Secret = 'abcdefgh12345678'", "API-KEY: abcdefgh12345678", "pWd=abcdefgh12345678", "nothing at all"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["id"], r["label"]) for r in scan.scanned(rows).collect()}
+    assert {(0, "basic-auth"), (1, "bearer-token"), (2, "hardcoded-credential"), (3, "hardcoded-credential-unquoted"), (4, "hardcoded-credential-unquoted")} <= got
+    assert not any(i == 5 for i, _ in got)
+    for d in DETECTORS:
+        if d.pattern.startswith("(?i)"):
+            assert "lower(text)" in rows.select(scan.hits_of(rows["text"], d))._jdf.queryExecution().optimizedPlan().toString()

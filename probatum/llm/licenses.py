@@ -1,28 +1,30 @@
 """License scans by a trained paragraph classifier, in DataFrame functions and JVM learners only.
 
-A paragraph is a line with words. Its words and word pairs are hashed to a sparse vector; a multinomial logistic
-regression with an elastic net gives a probability to each licence family and to the class ``unknown``. It learns from
-the templates below, whole, clipped, and between other words, and from at most twice ``NEGATIVES`` corpus paragraphs
-that resemble no template (of about ``NEGATIVES`` documents, chosen by a hash). Half of those are held out: a family's probability must exceed every
-probability that a family got on them, and one half at least. A prediction is confirmed if the paragraph holds
-``CONFIRM`` of the word pairs of one of the family's templates.
+A paragraph is a line with words. Of its words and word pairs, those that some example holds are hashed to a sparse vector; a
+multinomial logistic regression with an elastic net gives a probability to each licence family and to the class ``unknown``. Examples
+are the templates below, whole, clipped, and between other words. All corpus paragraphs that resemble no template are ``unknown``:
+paragraphs with the same vector are one row of that weight, which gives the model that each for itself would give, and all together
+weigh as ``UNKNOWN_WEIGHT`` rows at most, so that a large corpus does not outweigh the examples. Half of the vectors are held out: a
+family's probability must exceed every probability that a family got on them, and one half at least, or the paragraph be confirmed.
+A prediction is confirmed if the paragraph holds ``CONFIRM`` of the word pairs of one of the family's templates.
 
 Null and empty texts have no paragraphs. Repeated rows and null ids are returned as they are. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import HashingTF, NGram, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm.common import sampled
+from probatum.llm.common import written
 
-NEGATIVES, CONFIRM, FEATURES, UNKNOWN = 4000, 0.8, 1 << 14, "unknown"
+UNKNOWN_WEIGHT, CONFIRM, FEATURES, UNKNOWN = 4000, 0.8, 1 << 14, "unknown"
 #: Notices of licence families (fixed texts).
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -59,6 +61,21 @@ def pairs_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def examples() -> list[tuple[str, list[str]]]:
+    """Family and words of each template: whole, without its first or last word, and after and before other words."""
+    out = []
+    for family, text in TEMPLATES:
+        w = words_of(text)
+        for words in (w, w[1:], w[:-1], ["the", "project", "is", *w], [*w, "see", "file", "for", "details"], ["this", "text", "is", *w, "or", "later"]):
+            out.append((family, words))
+    return out
+
+
+#: Words and word pairs of the examples: what a paragraph is judged by.
+WORDS = sorted({w for _, words in examples() for w in words})
+PAIRS = sorted({p for _, words in examples() for p in pairs_of(" ".join(words))})
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph`` (index of the line) and ``words``."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
@@ -66,59 +83,71 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "paragraph", plain.alias("plain")).where("plain <> ''").select("doc_id", "paragraph", F.split("plain", " ").alias("words"))
 
 
-def featured(rows: DataFrame) -> DataFrame:
+def with_grams(rows: DataFrame) -> DataFrame:
+    """``words`` replaced by ``grams``: its words and pairs that some example holds, once each, sorted. A run of other words becomes one dot first."""
+    seen = F.array_join(F.transform("words", lambda w: F.when(w.isin(WORDS), w).otherwise(".")), " ")
+    rows = rows.withColumn("words", F.split(F.regexp_replace(seen, r"\.(?: \.)+", "."), " "))
     rows = NGram(n=2, inputCol="words", outputCol="pairs").transform(rows)
-    rows = rows.withColumn("grams", F.concat("words", "pairs"))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows)
+    known = F.filter(F.concat("words", "pairs"), lambda g: g.isin(WORDS + PAIRS))
+    return rows.withColumn("grams", F.sort_array(F.array_distinct(known))).drop("words", "pairs")
 
 
-def share_held(pairs: Column, template: list[str]) -> Column:
-    return F.size(F.array_intersect(pairs, F.array(*[F.lit(p) for p in template]))) / F.lit(float(len(template)))
+def featured(rows: DataFrame) -> DataFrame:
+    """``features``: the places of the hashed vector that grams of examples have."""
+    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="hashed")
+    places = sorted({hashing.indexOf(g) for g in WORDS + PAIRS})
+    return VectorSlicer(inputCol="hashed", outputCol="features", indices=places).transform(hashing.transform(rows)).drop("hashed")
 
 
-def template_rows(rows: DataFrame) -> DataFrame:
-    """Templates as training rows: whole, without their first or last word, and after and before other words."""
-    out = []
-    for family, text in TEMPLATES:
-        w = words_of(text)
-        for words in (w, w[1:], w[:-1], ["the", "project", "is", *w], [*w, "see", "file", "for", "details"], ["this", "text", "is", *w, "or", "later"]):
-            out.append(F.struct(F.array(*[F.lit(x) for x in words]).alias("words"), F.lit(float(CLASSES.index(family))).alias("label")))
-    return rows.sparkSession.range(1).select(F.explode(F.array(*out)).alias("r")).select("r.words", "r.label")
-
-
-def train(docs: DataFrame, negatives: int = NEGATIVES):
-    """The model and the least probability at which a family counts.
-
-    Paragraphs come from about ``negatives`` documents, chosen by a hash before their texts are split, and of those different ones by a hash of
-    their words, in that order, so that the sample does not depend on how rows are dealt out.
-    """
-    rows = paragraphs(sampled(docs, F.xxhash64("doc_id", "text"), negatives))
-    chosen = rows.select("words").distinct().withColumn("place", F.xxhash64("words")).orderBy("place", "words").limit(2 * negatives)
-    chosen = NGram(n=2, inputCol="words", outputCol="pairs").transform(chosen)
-    for _, text in TEMPLATES:
-        chosen = chosen.where(share_held(F.col("pairs"), pairs_of(text)) < 0.5)
-    chosen = chosen.select("words", F.lit(0.0).alias("label"), (F.pmod(F.shiftright(F.xxhash64("words"), 32), F.lit(2)) == 1).alias("out")).cache()
-    known = template_rows(rows)
-    plain = rows.sparkSession.range(1).select(F.array(F.lit("no"), F.lit("words"), F.lit("of"), F.lit("a"), F.lit("notice")).alias("words"), F.lit(0.0).alias("label"))
-    learner = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False)
-    model = learner.fit(featured(chosen.where("not out").select("words", "label").unionAll(known).unionAll(plain)))
-    p = vector_to_array("probability")
-    worst = model.transform(featured(chosen.where("out").select("words"))).agg(F.max(F.array_max(F.slice(p, 2, len(CLASSES) - 1)))).first()[0]
-    chosen.unpersist()
+def share_held(grams: Column, template: list[str]) -> Column:
+    return F.size(F.array_intersect(grams, F.array(*[F.lit(p) for p in template]))) / F.lit(float(len(template)))
+
+
+def example_rows(spark: SparkSession) -> DataFrame:
+    """Examples as training rows of weight one, and a row of the class unknown, which a corpus may lack."""
+    rows = [*examples(), (UNKNOWN, ["no", "words", "of", "a", "notice"])]
+    each = [F.struct(F.array(*[F.lit(x) for x in words]).alias("words"), F.lit(float(CLASSES.index(family))).alias("label"), F.lit(1.0).alias("weight")) for family, words in rows]
+    return with_grams(spark.range(1).select(F.explode(F.array(*each)).alias("r")).select("r.*")).select("grams", "label", "weight")
+
+
+def unknowns(rows: DataFrame) -> DataFrame:
+    """``grams, times, out``: every set of grams of paragraphs (``grams``) that resemble no template, how many they are, and whether it is held out."""
+    similar = F.greatest(*[share_held(F.col("grams"), pairs_of(t)) for _, t in TEMPLATES])
+    out = F.pmod(F.shiftright(F.xxhash64("grams"), 32), F.lit(2)) == 1
+    # written before it is filtered, or else the filter would run on paragraphs instead of sets
+    sets = written(rows.groupBy("grams").agg(F.count("*").alias("times")).select("grams", "times", out.alias("out"), similar.alias("similar")), "licence-sets")
+    return sets.where("similar < 0.5").select("grams", "times", "out")
+
+
+def train(rows: DataFrame):
+    """The model and the probability that a family must exceed, from the ``grams`` of all paragraphs."""
+    sets = unknowns(rows)
+    total = sets.where("not out").agg(F.sum("times")).first()[0] or 0
+    weight = F.col("times") * F.lit(min(1.0, UNKNOWN_WEIGHT / max(1, total)))
+    learner = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False, weightCol="weight")
+    model = learner.fit(featured(sets.where("not out").select("grams", F.lit(0.0).alias("label"), weight.alias("weight")).unionAll(example_rows(rows.sparkSession))))
+    worst = model.transform(featured(sets.where("out").select("grams"))).agg(F.max(best_family(vector_to_array("probability")))).first()[0]
     return model, max(0.5, worst or 0.0)
 
 
+def best_family(p: Column) -> Column:
+    """The highest probability of a family."""
+    return F.array_max(F.slice(p, 2, len(CLASSES) - 1))
+
+
 def licensed(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph, family, probability, similarity, confirmed`` for each paragraph that a family claims."""
-    rows = paragraphs(docs)
-    model, least = train(docs)
-    got = model.transform(featured(rows)).select("doc_id", "paragraph", "pairs", vector_to_array("probability").alias("p"))
-    best = F.array_max(F.slice("p", 2, len(CLASSES) - 1))
-    got = got.withColumn("best", best).where(F.col("best") > least)
-    got = got.withColumn("family", F.get(F.array(*[F.lit(c) for c in CLASSES]), (F.array_position("p", F.col("best")) - 1).cast("int")))
-    similar = F.greatest(F.lit(0.0), *[F.when(F.col("family") == f, share_held(F.col("pairs"), pairs_of(t))).otherwise(0.0) for f, t in TEMPLATES])
-    got = got.withColumn("similarity", similar)
-    return got.select("doc_id", "paragraph", "family", F.col("best").alias("probability"), "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    rows = written(with_grams(paragraphs(docs)), "licence-grams")
+    model, least = train(rows)
+    got = model.transform(featured(rows)).select("doc_id", "paragraph", "grams", vector_to_array("probability").alias("p"))
+    got = got.withColumn("best", best_family(F.col("p")))
+    # the fewest pairs that can confirm; similarity is worked out for what may be returned only
+    pairs = F.size(F.filter("grams", lambda g: g.contains(" "))) >= math.ceil(CONFIRM * min(len(pairs_of(t)) for _, t in TEMPLATES))
+    got = got.where((F.col("best") > least) | pairs)
+    got = got.withColumn("family", F.get(F.array(*[F.lit(c) for c in CLASSES]), (F.array_position(F.slice("p", 2, len(CLASSES) - 1), F.col("best"))).cast("int")))
+    similar = F.greatest(F.lit(0.0), *[F.when(F.col("family") == f, share_held(F.col("grams"), pairs_of(t))).otherwise(0.0) for f, t in TEMPLATES])
+    got = got.withColumn("similarity", similar).withColumn("confirmed", F.col("similarity") >= CONFIRM).where((F.col("best") > least) | F.col("confirmed"))
+    return got.select("doc_id", "paragraph", "family", F.col("best").alias("probability"), "similarity", "confirmed")
 
 
 def op8_licenses(docs: DataFrame) -> DataFrame:

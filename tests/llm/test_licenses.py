@@ -46,3 +46,9 @@ def test_grams_are_those_of_the_examples(spark):
     for r in licenses.with_grams(licenses.paragraphs(docs)).collect():
         w = re.findall("[a-z0-9]+", texts[r["doc_id"]].lower())
         assert r["grams"] == sorted(known & {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
+
+
+def test_the_model_is_as_small_as_its_examples(spark):
+    """Every iteration sends all coefficients from the driver and back: a place for each gram, not for each hash."""
+    model, _ = licenses.train(licenses.with_grams(licenses.paragraphs(docs_of(spark, []))))
+    assert model.numFeatures <= len(licenses.WORDS) + len(licenses.PAIRS) < 1000

@@ -13,11 +13,14 @@ import base64
 import functools
 import hashlib
 import heapq
+from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from probatum.llm.common import alone, sliced
 from probatum.llm.pretoken import in_chunks, pieces_of
 
 VOCABULARY, CACHE = "byte_bpe_multi_50k.tiktoken", 600_000
@@ -126,17 +129,18 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
     path = path or vocabulary_path(VOCABULARY)
 
-    def digest(batches):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe", codec.cache_clear)
         c = codec(path)
-        for pdf in batches:
+        for part in sliced(batches):
             n, of_ids, of_bytes = [], [], []
-            for ids in c.encode_batch(pdf["text"].tolist()):
+            for ids in c.encode_batch(part["text"].to_pylist()):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
+            yield pa.record_batch({"doc_id": part["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())})
 
-    return docs.select("doc_id", "text").mapInPandas(digest, _schema(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.select("doc_id", "text").mapInArrow(digest, _schema(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6_byte_bpe(docs: DataFrame) -> DataFrame:

@@ -20,40 +20,28 @@ text the empty one. Rows with a null id take part and order last. Repeated rows
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.llm.common import connected_components, forget, release, written
+from probatum.llm.common import alone, connected_components, forget, release, sliced, written
 from probatum.llm.simhash import fingerprint, links_of
 
-SHINGLE, ORDER_ONE_IN, FREQUENT, MOST_FREQUENT, FEW, WORD_CACHE = 5, 12, 2, 1 << 20, 16, 1 << 20
+SHINGLE, ORDER_ONE_IN, FREQUENT, MOST_FREQUENT, FEW = 5, 12, 2, 1 << 20, 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype="<u8")
 _FINAL, _HALF = np.uint64(0xC4CEB9FE1A85EC53), np.uint64(32)
 
 
-class _Words(dict):
-    """Hashes of words; most words of a corpus are seen again."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < WORD_CACHE:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct ``words``-word shingles (fewer words: the whole sequence)."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(parts) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(parts))], dtype="<u8")
-    own = np.fromiter(map(_words.__getitem__, parts), dtype="<u8", count=len(parts))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype="<u8", count=len(parts))
     n = len(parts) - words + 1
     h = np.zeros(n, dtype="<u8")
     for i in range(words):
@@ -88,9 +76,16 @@ def bits_allow(a: bytes, m: int, b: bytes, n: int) -> bool:
     return 9 * (m + n - differ) >= 8 * (m + n)
 
 
-def _sampled(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<i8"), *[shingle_hashes(t).view("<i8") for t in pdf["text"]]])})
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of hashes as one column of lists of longs."""
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "<u8"), *sets]).view("<i8"), pa.int64()))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("shingles")
+    for part in sliced(batches):
+        yield pa.record_batch({"token": _lists([shingle_hashes(t) for t in part["text"].to_pylist()]).flatten()})
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +94,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     The sample is the same share of the documents at every size; only the list reaches the driver.
     """
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ORDER_ONE_IN)) == 0)
-    counts = sample.select("text").mapInPandas(_sampled, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    counts = sample.select("text").mapInArrow(_sampled, "token long").groupBy("token").agg(F.count("*").alias("n"))
     counts = written(counts.where(F.col("n") >= FREQUENT), "frequent")
     least, held = FREQUENT, 0
     for n, times in sorted(((r["n"], r["times"]) for r in counts.groupBy("n").agg(F.count("*").alias("times")).collect()), reverse=True):
@@ -122,38 +117,42 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray], fingerprints: bool):
         if len(tokens):
             at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
             count = np.where(tokens[at] == own, counts[at], 0)
-        return len(own), parity_bits(own), own[np.argsort(count, kind="stable")][: prefix_length(len(own))].view("<i8")
+        return len(own), parity_bits(own), own[np.argsort(count, kind="stable")][: prefix_length(len(own))]
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):  # Spark 4.1 can't take a frame of binaries without rows
-                size, bits, tokens = zip(*map(prefix, pdf["text"]), strict=True)
-                fp = np.array([fingerprint(t) if fingerprints else 0 for t in pdf["text"]], dtype=np.int64)
-                yield pdf[["doc_id", "same"]].assign(fp=fp, size=np.array(size, dtype=np.int32), bits=bits, tokens=tokens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("shingles")
+        for part in sliced(batches):
+            texts = part["text"].to_pylist()
+            size, bits, firsts = zip(*map(prefix, texts), strict=True)
+            fp = pa.array([fingerprint(t) if fingerprints else 0 for t in texts], pa.int64())
+            yield pa.record_batch({"doc_id": part["doc_id"], "same": part["same"], "fp": fp, "size": pa.array(size, pa.int32()), "bits": pa.array(bits, pa.binary()), "tokens": _lists(firsts)})
 
     return run
 
 
-def _sets(batches):
-    for pdf in batches:
-        yield pdf[["node"]].assign(tokens=[shingle_hashes(t).view("<i8") for t in pdf["text"]])
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("shingles")
+    for part in sliced(batches):
+        yield pa.record_batch({"node": part["node"], "tokens": _lists([shingle_hashes(t) for t in part["text"].to_pylist()])})
 
 
-def _allowed(batches):
-    for pdf in batches:
-        got = [bits_allow(*x) for x in zip(pdf["bits_u"], pdf["size_u"], pdf["bits_v"], pdf["size_v"], strict=True)]
-        yield pdf.loc[got, ["u", "v"]]
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("shingles")
+    for part in sliced(batches):
+        got = [bits_allow(*x) for x in zip(*(part[c].to_pylist() for c in ("bits_u", "size_u", "bits_v", "size_v")), strict=True)]
+        yield part.select(["u", "v"]).filter(pa.array(got, pa.bool_()))
 
 
-def _verified(batches):
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("shingles")
     hashes = functools.lru_cache(maxsize=8)(shingle_hashes)
-    for pdf in batches:
+    for part in sliced(batches):
         got = []
-        for x, y in zip(pdf["text_u"], pdf["text_v"], strict=True):
+        for x, y in zip(part["text_u"].to_pylist(), part["text_v"].to_pylist(), strict=True):
             a, b = hashes(x), hashes(y)
             both = len(np.intersect1d(a, b, assume_unique=True))
             got.append(5 * both >= 4 * (len(a) + len(b) - both))
-        yield pdf.loc[got, ["u", "v"]]
+        yield part.select(["u", "v"]).filter(pa.array(got, pa.bool_()))
 
 
 def _may_be_alike(a: str, b: str) -> Column:
@@ -175,8 +174,8 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     hashing of ``simhash``; the prefix filter then finds the links that those are too coarse for.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_digest().alias("same"), "text")
-    prefixes = written(rows.mapInPandas(_prefixes(frequent_shingles(docs), fingerprints), "doc_id long, same binary, fp long, size int, bits binary, tokens array<long>"), "prefixes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("same"), "text")
+    prefixes = written(rows.mapInArrow(_prefixes(frequent_shingles(docs), fingerprints), "doc_id long, same binary, fp long, size int, bits binary, tokens array<long>"), "prefixes")
     marked = written(prefixes.groupBy("same", "doc_id").agg(F.count("*").alias("times")), "marked")
     classes = written(prefixes.dropDuplicates(["same"]).withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, in the files
     forget(prefixes)
@@ -208,7 +207,7 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
         mixed = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
         own = written(own.join(mixed.select("token", "members"), "token"), "mixed")
         crowd = written(own.where(F.col("members") > FEW).select("own.node", "comp").distinct(), "crowd")
-        sets = written(texts_of(crowd.select("node")).mapInPandas(_sets, "node long, tokens array<long>"), "sets")
+        sets = written(texts_of(crowd.select("node")).mapInArrow(_sets, "node long, tokens array<long>"), "sets")
         release(spark)
         each = sets.select("node", F.explode("tokens").alias("token"))
         counted = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -226,12 +225,12 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sided(classes, "u", "bits", "size"), "u").join(sided(classes, "v", "bits", "size"), "v")
-        likely = written(both.mapInPandas(_allowed, "u long, v long"), "likely")
+        likely = written(both.mapInArrow(_allowed, "u long, v long"), "likely")
         release(spark)
         needed = likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct()
         texts = texts_of(needed)
         release(spark)
-        links = written(likely.join(sided(texts, "u", "text"), "u").join(sided(texts, "v", "text"), "v").mapInPandas(_verified, "u long, v long"), "links")
+        links = written(likely.join(sided(texts, "u", "text"), "u").join(sided(texts, "v", "text"), "v").mapInArrow(_verified, "u long, v long"), "links")
         release(spark)
         return links
 

@@ -16,7 +16,6 @@ hash of their ids. Other columns are ignored.
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import functools
 import gc
 import hashlib
@@ -33,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from probatum.llm.bpe import vocabulary_path
-from probatum.llm.common import sampled, some, written
+from probatum.llm.common import SLICE, sampled, sliced, some, trim, written
 from probatum.llm.pretoken import in_chunks, pieces_of
 
-VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE, SLICE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000, 256
+VOCABULARY, END, SAMPLES, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES, PART_DOCS, CACHE = "byte_bpe_50k.json", 0, 400, 65_536, 512, 1 << 20, 20_000, 500_000
 PART_BYTES, PARTS_A_BLOCK = 16 << 20, 4096
 
 
@@ -116,21 +115,6 @@ def rest() -> None:
     trim()
 
 
-def trim() -> None:
-    """Gives freed memory of this process back to the system."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches, ``SLICE`` at a time, so that only those become Python objects; freed memory goes back after each batch."""
-    rows = rows or SLICE
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-        trim()
-
-
 def missing(values: list) -> list[int]:
     """The positions of None."""
     out, i = [], -1

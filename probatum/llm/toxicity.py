@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probatum.llm.common import sampled, written
+from probatum.llm.common import alone, sampled, written
 
 SAMPLE, SUPPORT, SUPPORT_SHARE, LEAST_WEIGHT, LEAST_Z, CUT, FOLDS = 20_000, 4, 0.01, 2.5, 7.0, 0.7, 4
 PREFIXES = range(4, 9)
@@ -183,6 +183,7 @@ def score_column(model: Model):
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
+        alone("toxicity", _BUILT.clear)
         auto = _automaton(model.words)
         rows = np.array([features(t, auto) for t in texts], dtype=float).reshape(-1, 4)
         return pd.Series(model.scores(rows))

@@ -91,6 +91,26 @@ def test_token_file_takes_batches_in_slices():
     assert [x for b in got for x in b["x"].to_pylist()] == [*range(600), *range(3)]
 
 
+def test_ids_beside_a_null_one_are_not_rounded(spark):
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, "no id"), (big, "one text"), (big + 2, "and another")], DOC).coalesce(1)
+    ids = lambda out: sorted(r["doc_id"] or 0 for r in out.collect())
+    assert ids(bpe.round_trip(docs)) == ids(shingles.near_copies(docs)) == [0, big, big + 2]
+
+
+def test_a_worker_keeps_the_cache_of_one_operator(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "_held", [])
+    common.alone("bpe", bpe.codec.cache_clear)
+    bpe.codec(bpe.vocabulary_path(bpe.VOCABULARY))
+    common.alone("bpe", bpe.codec.cache_clear)
+    assert bpe.codec.cache_info().currsize == 1
+    batches = [pa.record_batch({"text": ["a text of five or six words", None]})]
+    assert sum(b.num_rows for b in shingles._sampled(iter(batches))) == 4
+    assert bpe.codec.cache_info().currsize == 0
+
+
 def test_a_full_cache_still_encodes(monkeypatch):
     monkeypatch.setattr(tokenfile, "CACHE", 10)
     lib = tokenfile.LibraryCache(bpe.vocabulary_path(tokenfile.VOCABULARY))

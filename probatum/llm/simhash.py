@@ -75,7 +75,8 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS, segments: int = SEGM
         F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), i, segments).alias("key")) for i in range(segments)])).alias("k"), F.col("fp").alias("a")
     ).select("k.seg", "k.key", "a", F.explode(flips).alias("flip"))
     probes = probes.select("seg", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), "a")
-    met = probes.join(index, (probes.seg == index.seg) & (probes.key == index.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    # Spark sizes a table with an explode as if it had no more rows: without a hint the probes, 66 a fingerprint, would be broadcast through the driver
+    met = probes.hint("merge").join(index, (probes.seg == index.seg) & (probes.key == index.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return met.select("a", "b").distinct()
 
 

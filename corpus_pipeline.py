@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shingles.text_digest().alias("same"))
     rows = rows.withColumn("id", F.col("row.doc_id"))
     gone = decided.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("same").alias("gone"))
-    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("same") == F.col("gone")), "left_anti")
+    rows = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("same") == F.col("gone")), "left_anti")
     if decided.where("kept and times > 1").take(1):  # repeated rows: one of them stays
         rows = rows.dropDuplicates(["id", "same"])
     return rows.select("row.*")

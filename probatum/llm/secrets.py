@@ -109,12 +109,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, sets: tuple[RuleSet,
     blobs = rows.groupBy("blob").agg(F.min("doc_id").alias("path")).withColumn("todo", versions)
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set("version").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>"))))
+        blobs = blobs.join(seen.hint("merge"), "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>"))))
     unseen = written(blobs.where(F.size("todo") > 0).select(F.col("blob").alias("unseen"), "path", "todo"), "unseen")
     texts = rows.join(unseen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("unseen")))
     hits = found_in(texts.select("blob", "text", "todo"), sets)
     empty = F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
-    new = written(unseen.select(F.col("unseen").alias("blob"), F.explode("todo").alias("version")).join(hits, ["blob", "version"], "left").select("blob", "version", empty), "findings")
+    new = written(unseen.select(F.col("unseen").alias("blob"), F.explode("todo").alias("version")).join(hits.hint("merge"), ["blob", "version"], "left").select("blob", "version", empty), "findings")
     every = new if ledger is None else new.unionAll(ledger.select("blob", "version", "spans"))
     return on_paths(rows, every, sets), new
 
@@ -123,7 +123,7 @@ def on_paths(rows: DataFrame, ledger: DataFrame, sets: tuple[RuleSet, ...]) -> D
     """``doc_id, blob, spans``: the ledger's findings under the versions in force, joined back to all paths."""
     some = ledger.where(F.col("version").isin(*[x.version for x in sets]) & (F.size("spans") > 0)).dropDuplicates(["blob", "version"])  # most blobs have none
     some = some.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return rows.select("doc_id", "blob").join(some, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return rows.select("doc_id", "blob").join(some.hint("merge"), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 class Ledger:
@@ -153,7 +153,7 @@ def masked(docs: DataFrame, ledger: DataFrame | None = None, sets: tuple[RuleSet
     clear = F.when(F.col("start") >= F.col("from"), F.struct("start", "from", "kind"))
     cuts = spans.groupBy(F.col("blob").alias("found")).agg(F.array_sort(F.collect_list(clear)).alias("cuts"), F.max("end").alias("rest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # whatever names they have, columns can't clash
-    rows = rows.withColumn("blob", F.sha2("row.text", 256)).join(cuts, F.col("blob") == F.col("found"), "left")
+    rows = rows.withColumn("blob", F.sha2("row.text", 256)).join(cuts.hint("merge"), F.col("blob") == F.col("found"), "left")
     names, text = F.array(*[F.lit(f"<{r.kind}>") for r in ALL_RULES]), F.col("row.text")
 
     def part(chunks, a, b):

@@ -11,7 +11,8 @@ of different components meet: all of them where a shingle has up to ``FEW`` memb
 ordered anew, by exact counts of their shingles among themselves: what a group of texts has in common moves to the end, and
 only texts that are nearly alike still meet. A pair goes on if sizes and places in the prefixes allow a similarity of 0.8, then
 if the parity bitmaps of its sets do (equal shingles cancel out, so bits that differ are shingles that differ), and is then
-verified on the whole texts. All three tests are exact bounds: no partner is capped.
+verified on the whole texts. All three tests are exact bounds: no partner is capped. Joins are sorted by hint: Spark sizes exploded and
+aggregated tables too low, and would broadcast them through the driver.
 
 Words are runs other than ASCII white space, A-Z lower-cased; a text of fewer than five words is one shingle, a null or empty
 text the empty one. Rows with a null id take part and order last. Repeated rows are one row here. Other columns are ignored.
@@ -182,7 +183,7 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     release(spark)
     keyed = classes.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     met = keyed.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    shared = written(keyed.join(met, "token").select("token", F.struct("pos", "size", "node").alias("own")), "shared")
+    shared = written(keyed.join(met.hint("merge"), "token").select("token", F.struct("pos", "size", "node").alias("own")), "shared")
     release(spark)
 
     def pairs_of(met: DataFrame) -> DataFrame:
@@ -191,32 +192,32 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
 
     def with_earliest() -> DataFrame:
         earliest = shared.groupBy("token").agg(F.min("own").alias("other"))
-        return pairs_of(shared.join(earliest, "token").where("own.node <> other.node"))
+        return pairs_of(shared.join(earliest.hint("merge"), "token").where("own.node <> other.node"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(classes.select("node", F.col("same").alias("wanted"), F.col("doc_id").alias("at")), "node")
-        texts = rows.join(wanted, (F.col("same") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("at"))).select("node", "text")
+        wanted = nodes.join(classes.select("node", F.col("same").alias("wanted"), F.col("doc_id").alias("at")).hint("merge"), "node")
+        texts = rows.join(wanted.hint("merge"), (F.col("same") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("at"))).select("node", "text")
         return written(texts, "texts").dropDuplicates(["node"])  # repeated rows have one text
 
     def across(own: DataFrame) -> DataFrame:
         other = own.select("token", F.col("own").alias("other"), F.col("comp").alias("other_comp"))
-        return pairs_of(own.join(other, "token").where("comp > other_comp"))
+        return pairs_of(own.join(other.hint("merge"), "token").where("comp > other_comp"))
 
     def with_all(comps: DataFrame) -> DataFrame:
-        own = shared.join(comps, F.col("own.node") == comps.node, "left").select("token", "own", F.coalesce("component", "own.node").alias("comp"))
+        own = shared.join(comps.hint("merge"), F.col("own.node") == comps.node, "left").select("token", "own", F.coalesce("component", "own.node").alias("comp"))
         mixed = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
-        own = written(own.join(mixed.select("token", "members"), "token"), "mixed")
+        own = written(own.join(mixed.select("token", "members").hint("merge"), "token"), "mixed")
         crowd = written(own.where(F.col("members") > FEW).select("own.node", "comp").distinct(), "crowd")
         sets = written(texts_of(crowd.select("node")).mapInArrow(_sets, "node long, tokens array<long>"), "sets")
         release(spark)
         each = sets.select("node", F.explode("tokens").alias("token"))
         counted = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-        common = each.join(counted, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("common"))
+        common = each.join(counted.hint("merge"), "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("common"))
         size = F.col("size")
         alone, prefix = size - F.size("common"), size - F.floor((4 * size + 4) / 5) + 1  # shingles of no other text come first
         first = F.slice("common", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))
-        anew = sets.select("node", F.size("tokens").alias("size")).join(common, "node").select("node", "size", alone.alias("alone"), F.posexplode(first).alias("i", "t"))
-        anew = anew.join(crowd, "node").select("t.token", F.struct((F.col("alone") + F.col("i")).alias("pos"), "size", "node").alias("own"), "comp")
+        anew = sets.select("node", F.size("tokens").alias("size")).join(common.hint("merge"), "node").select("node", "size", alone.alias("alone"), F.posexplode(first).alias("i", "t"))
+        anew = anew.join(crowd.hint("merge"), "node").select("t.token", F.struct((F.col("alone") + F.col("i")).alias("pos"), "size", "node").alias("own"), "comp")
         few = across(own.where(F.col("members") <= FEW))
         return few.unionAll(across(written(anew, "anew"))).distinct()
 
@@ -224,13 +225,13 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
         return table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sided(classes, "u", "bits", "size"), "u").join(sided(classes, "v", "bits", "size"), "v")
+        both = pairs.join(sided(classes, "u", "bits", "size").hint("merge"), "u").join(sided(classes, "v", "bits", "size").hint("merge"), "v")
         likely = written(both.mapInArrow(_allowed, "u long, v long"), "likely")
         release(spark)
         needed = likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct()
         texts = texts_of(needed)
         release(spark)
-        links = written(likely.join(sided(texts, "u", "text"), "u").join(sided(texts, "v", "text"), "v").mapInArrow(_verified, "u long, v long"), "links")
+        links = written(likely.join(sided(texts, "u", "text").hint("merge"), "u").join(sided(texts, "v", "text").hint("merge"), "v").mapInArrow(_verified, "u long, v long"), "links")
         release(spark)
         return links
 
@@ -246,14 +247,14 @@ def near_copies(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
         first = by_fingerprint().unionAll(first)
     links = first.unionAll(linked(with_all(connected_components(first))))
     comps = connected_components(links)
-    groups = classes.select("same", "node").join(comps, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
-    named = written(marked.join(groups, "same"), "named")
+    groups = classes.select("same", "node").join(comps.hint("merge"), "node", "left").select("same", F.coalesce("component", "node").alias("group"))
+    named = written(marked.join(groups.hint("merge"), "same"), "named")
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "group").select("doc_id", "same", "times", "group", "component_id")
+    return named.join(least.hint("merge"), "group").select("doc_id", "same", "times", "group", "component_id")
 
 
 def with_one_kept(docs: DataFrame) -> DataFrame:
     """``doc_id, same, times, kept`` of every different row; one of each group of texts that fingerprints or shingles link is kept: the least id (nulls last), then the least digest."""
     named = written(near_copies(docs, fingerprints=True).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")), "groups")
     first = named.groupBy("group").agg(F.min("rank").alias("first"))
-    return written(named.join(first, "group").select("doc_id", "same", "times", F.col("rank").eqNullSafe(F.col("first")).alias("kept")), "kept")
+    return written(named.join(first.hint("merge"), "group").select("doc_id", "same", "times", F.col("rank").eqNullSafe(F.col("first")).alias("kept")), "kept")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
-from probatum.llm import common, simhash
+import corpus_pipeline
+from probatum.llm import common, mixing, secrets, simhash
 
 
 @pytest.fixture
@@ -36,3 +37,15 @@ def test_simhash_broadcasts_nothing(spark, plans):
     fps = [r["fp"] for r in spark.range(200).select(F.xxhash64("id").alias("fp")).collect()]
     near = spark.createDataFrame([(f ^ (b and 1 << b),) for f in fps for b in (0, 5, 40)], "fp long")
     assert simhash.near_fingerprints(near).count() == 600
+
+
+def test_the_pipelines_stages_broadcast_no_documents(spark, plans):
+    docs = docs_of(spark).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" password = hunter2hunter2"))).otherwise(F.col("text")))
+    kept = common.written(corpus_pipeline.drop_near_copies(spark, docs, ""), "kept")
+    assert 0 < kept.count() < 120
+    masked = common.written(secrets.masked(docs), "masked")
+    assert masked.where("text like '%<assign>%'").count() == 14
+    assert len(plans) > 15 and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    assert common.written(mixing.mixed(docs, 0.9, 1), "mixed").count() > 0
+    assert not any("BroadcastHashJoin" in line and "bucket" in line for p in plans for line in p.splitlines())  # a leaf's budget is one row

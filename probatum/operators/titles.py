@@ -1,13 +1,16 @@
 """The most similar of all recorded titles for each cited one, by Ratcliff-Obershelp similarity, without a block key.
 
-The similarity of two titles is 2M/T: M letters in matching blocks, T letters in all. Three steps, each exact for what it settles:
+The similarity of two titles is 2M/T: M letters in matching blocks, T letters in all. Four steps, each exact for what it settles:
 
 1. Equal titles are an equi-join.
-2. An index of q-grams. A pair with U = T - 2M unmatched letters has at most U damaged places, so of U + 1 disjoint q-grams of the cited title
+2. Rounds of falling similarity (``ROUNDS``): recorded titles are a tree of their beginnings, block by block, and a cited title goes down it only while the
+   longest common subsequence may still reach the round's similarity. That finds all records that reach it, so the best of them is final; the others wait for the next round.
+   What many titles begin with is compared once for all of them.
+3. An index of q-grams. A pair with U = T - 2M unmatched letters has at most U damaged places, so of U + 1 disjoint q-grams of the cited title
    one stands in the recorded title as it is. A title looks up its p rarest disjoint q-grams, as many as ``POSTINGS`` postings allow, and is compared
    with the records that hold one. What is not met so has p unmatched letters or more, and is at most ``1 - p / (2n + p)`` similar to a title of n letters:
    a better find is final, another one is a lower bound for the next step.
-3. What is left is compared with all records, block by block. A pair is looked at while 2 x (common letters) / T, and then 2 x (longest common
+4. What is left is compared with all records, block by block. A pair is looked at while 2 x (common letters) / T, and then 2 x (longest common
    subsequence) / T, may still reach the best so far: matching blocks stand in order, so M is no more than either. The subsequences of a title and a whole
    block come from bits in whole arrays; the measure itself is computed for the few pairs that are left, the most promising first.
 
@@ -30,10 +33,17 @@ Q, UNMATCHED, POSTINGS = 5, 4, 500
 #: Titles and records of a block at least, and the letters by which lengths of blocks are compared.
 CITED_BLOCK, KNOWN_BLOCK, STRIDE = 128, 4096, 16
 #: Blocks of a side, of which each meets the other side's: they grow with the tables up to the largest, so that what is shuffled grows no faster.
-SIDES, LARGEST = 32, 1 << 17
+SIDES, TREES, LARGEST = 32, 8, 1 << 17
 #: The rows here are few and dear, so tasks are dealt by their number and not by their bytes.
 PROBES_A_TASK, PAIRS_A_TASK = 4000, 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Similarities that the rounds look for, one after the other; titles of a batch, and places in the tree that are looked at together.
+ROUNDS, BATCH, FRONT = (0.96, 0.9, 0.875, 0.85), 1024, 1 << 18
+#: For 16 bits, of which a set one stands for -1 and another for 1: their sum, and the least sum of the first ones (0 for none).
+_SUMS, _LEAST = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+for _bit in range(16):
+    _SUMS += 1 - 2 * ((np.arange(1 << 16) >> _bit) & 1)
+    np.minimum(_LEAST, _SUMS, out=_LEAST)
 
 
 class Codes:
@@ -85,6 +95,114 @@ class Codes:
         return np.bitwise_count(~state).sum(0, dtype=np.int64)
 
 
+class Tree:
+    """Different titles by their beginnings: per level (letters from the start) the nodes' letters, children, whole titles, and lengths of the titles below."""
+
+    def __init__(self, titles: list[str]):
+        self.titles = sorted(titles)
+        lengths = np.array([len(t) for t in self.titles], dtype=np.int64)
+        points = np.frombuffer("".join(self.titles).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.letters, codes = np.unique(points, return_inverse=True)
+        starts, n = np.cumsum(lengths) - lengths, len(self.titles)
+        same, live, depth = np.zeros(n, dtype=np.int64), np.arange(1, n), 0  # letters at the start that a title shares with the one before
+        while len(live):
+            live = live[(lengths[live] > depth) & (lengths[live - 1] > depth)]
+            live = live[codes[starts[live] + depth] == codes[starts[live - 1] + depth]]
+            depth += 1
+            same[live] = depth
+        same[:1] = -1
+        self.levels, live, above = [], np.arange(n), np.zeros(1, dtype=np.int64)
+        for depth in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[lengths[live] >= depth]
+            own = live[same[live] < depth]
+            parent = np.searchsorted(above, own, "right") - 1
+            count = np.bincount(parent, minlength=len(above))
+            self.levels.append({"code": codes[starts[own] + depth - 1] + 1, "parent": parent, "count": count, "first": np.cumsum(count) - count, "whole": np.where(lengths[own] == depth, own, -1)})
+            above = own
+        for depth in range(len(self.levels), 0, -1):
+            level = self.levels[depth - 1]
+            level["low"], level["high"] = np.where(level["whole"] >= 0, depth, 1 << 40), np.where(level["whole"] >= 0, depth, 0)
+            if depth < len(self.levels):
+                below = self.levels[depth]
+                np.minimum.at(level["low"], below["parent"], below["low"])
+                np.maximum.at(level["high"], below["parent"], below["high"])
+
+    def reaching(self, cited: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``cited``, places in ``titles`` and 2 x (longest common subsequence) / T of all pairs for which that is ``least`` (over 0) or more."""
+        n, words = np.array([len(t) for t in cited]), -(-max(map(len, cited)) // 64)
+        points = np.frombuffer("".join(cited).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at = np.minimum(np.searchsorted(self.letters, points), max(0, len(self.letters) - 1))
+        held = np.flatnonzero(self.letters[at] == points) if len(self.letters) else np.zeros(0, dtype=np.int64)
+        column, place = np.repeat(np.arange(len(cited)), n)[held], (np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n))[held]
+        places = np.zeros((words, len(cited), len(self.letters) + 1), dtype=np.uint64)
+        np.bitwise_or.at(places, (place // 64, column, at[held] + 1), np.uint64(1) << (place % 64).astype(np.uint64))
+        shortest, longest = n * least / (2 - least) - 1e-9, n * (2 - least) / least + 1e-9
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        todo = [(0, np.arange(len(cited)), np.zeros(len(cited), dtype=np.int64), np.full((len(cited), words), _ALL))]
+        while todo:
+            depth, who, node, state = todo.pop()
+            if depth == len(self.levels) or not len(who):
+                continue
+            level = self.levels[depth]
+            count = level["count"][node]
+            if len(node) > 1 and count.sum() > FRONT:
+                half = len(node) // 2
+                todo += [(depth, who[half:], node[half:], state[half:]), (depth, who[:half], node[:half], state[:half])]
+                continue
+            of = np.repeat(np.arange(len(node)), count)
+            node = level["first"][node][of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+            near = (level["low"][node] <= longest[who[of]]) & (level["high"][node] >= shortest[who[of]])
+            of, node = of[near], node[near]
+            who, state, code, carry = who[of], state[of], level["code"][node], None
+            for w in range(words):
+                v, hit = state[:, w], places[w, who, code]
+                total = v + (v & hit)
+                if words > 1:
+                    over = total < v
+                    if carry is not None:
+                        total = total + carry
+                        over |= (total == 0) & carry.astype(bool)
+                    carry = over.astype(np.uint64)
+                state[:, w] = total | (v & ~hit)
+            # letters that match nothing, of the title's first ones and the record's: at best, all that follow match
+            parts, length = np.ascontiguousarray(~state).astype("<u8", copy=False).view("<u2"), n[who]
+            lone, total = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
+            for k in range(-(-int(length.max(initial=0)) // 16)):
+                np.minimum(lone, total + _LEAST[parts[:, k]], out=lone)
+                total += _SUMS[parts[:, k]]
+            depth += 1
+            keep = depth + lone <= (1 - least) * (length + np.minimum(level["high"][node], longest[who])) + 1e-9
+            who, node, state = who[keep], node[keep], state[keep]
+            whole = np.flatnonzero(level["whole"][node] >= 0)
+            if len(whole):
+                ratio = 2.0 * np.bitwise_count(~state[whole]).sum(1, dtype=np.int64) / (n[who[whole]] + depth)
+                reached = ratio >= least - 1e-12
+                found.append((who[whole][reached], level["whole"][node[whole]][reached], ratio[reached]))
+            todo.append((depth, who, node, state))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def best_reaching(cited: list[str], tree: Tree, doi_of: dict[str, str], least: float) -> list[tuple[str, float, int, str]]:
+    """``cited, similarity, difference of lengths, doi``, as ``best_of_block`` finds them, of the titles that a record of the tree is ``least`` similar to."""
+    out = []
+    cited = sorted(cited, key=lambda t: -(-len(t) // 64))  # titles of as many words of bits go together
+    for at in range(0, len(cited), BATCH):
+        part = cited[at : at + BATCH]
+        who, which, bound = tree.reaching(part, least)
+        order = np.lexsort((which, -bound, who))
+        best = {}
+        for i, j, b in zip(who[order].tolist(), which[order].tolist(), bound[order].tolist(), strict=True):
+            title, record = part[i], tree.titles[j]
+            if b < (-best[i][0] if i in best else least) - 1e-12:
+                continue
+            ratio = 1.0 if record == title else text.similarity(title, record)
+            if ratio >= least:
+                got = (-ratio, abs(len(record) - len(title)), doi_of[record])
+                best[i] = min(best.get(i, got), got)
+        out += [(part[i], -r, apart, doi) for i, (r, apart, doi) in best.items()]
+    return out
+
+
 def best_of_block(title: str, known: Codes, titles: list[str], dois: list[str], least: float) -> tuple[float, int, str] | None:
     """``similarity, difference of lengths, doi`` of the best record that reaches ``least``; equal ones by nearest length, then by doi."""
     own, total = known.of(title), known.lengths + len(title)
@@ -137,9 +255,18 @@ def _blocks_compared(pairs):
             yield pd.DataFrame(rows, columns=["cited", "similarity", "apart", "doi"])
 
 
-def block_size(rows: int, least: int) -> int:
-    """Rows of a block: what gives ``SIDES`` blocks, but ``least`` at least and ``LARGEST`` at most."""
-    return max(least, min(LARGEST, -(-rows // SIDES)))
+def _near_compared(pairs):
+    last, tree, doi_of = None, None, None
+    for pdf in pairs:
+        for row in pdf.itertuples():
+            if row.block != last:
+                last, tree, doi_of = row.block, Tree(list(row.known)), dict(zip(row.known, row.dois, strict=True))
+            yield pd.DataFrame(best_reaching(list(row.cited), tree, doi_of, float(row.least[0])), columns=["cited", "similarity", "apart", "doi"])
+
+
+def block_size(rows: int, least: int, sides: int = SIDES) -> int:
+    """Rows of a block: what gives ``sides`` blocks, but ``least`` at least and ``LARGEST`` at most."""
+    return max(least, min(LARGEST, -(-rows // sides)))
 
 
 _FOUND = "cited string, similarity double, apart long, doi string"
@@ -205,6 +332,27 @@ def best_titles(refs: DataFrame, records: DataFrame, least: float = 0.6, q: int
     equal = cited.join(known, F.col("cited") == F.col("known")).select("cited", F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("apart"), "doi")
     other = written(cited.join(known.select(F.col("known").alias("cited")), "cited", "left_anti"), "unequal")
 
+    by_title = lambda df, c: df.repartitionByRange(c).sortWithinPartitions(c)
+    in_a_tree = block_size(known.count(), known_block, TREES)
+    trees = by_title(known, "known").mapInPandas(_packed(in_a_tree, {"known": "known", "doi": "dois"}, {}), "known array<string>, dois array<string>, low int, high int")
+    trees = written(trees.withColumn("block", F.monotonically_increasing_id()), "trees")
+    n_trees, reached = max(1, trees.count()), []
+    for reach in (*(s for s in ROUNDS if s > least), *([least] if least >= ROUNDS[-1] else [])):
+        if not (rest := other.count()):
+            break
+        rows = block_size(rest * n_trees, cited_block)
+        asked = by_title(other, "cited").withColumn("least", F.lit(float(reach))).mapInPandas(_packed(rows, {"cited": "cited", "least": "least"}, {}), "cited array<string>, least array<double>, low int, high int")
+        asked = written(asked.withColumn("part", F.monotonically_increasing_id()), "asked")
+        pairs = written(asked.select("part").crossJoin(trees.select("block")), "pairs")  # numbers of blocks of up to LARGEST titles
+        both = pairs.join(asked.select("part", "cited", "least").hint("merge"), "part").join(trees.select("block", "known", "dois").hint("merge"), "block")
+        near = both.repartition(max(1, -(-pairs.count() // max(1, PAIRS_A_TASK * CITED_BLOCK * KNOWN_BLOCK // (rows * in_a_tree))))).mapInPandas(_near_compared, _FOUND)
+        reached.append(written(_best(near), "reached"))
+        other = written(other.join(reached[-1].select("cited").hint("merge"), "cited", "left_anti"), "unequal")
+    for one in reached:
+        equal = equal.unionAll(one)
+    if least >= ROUNDS[-1] or not other.take(1):
+        return refs.join(_best(equal).where(F.col("similarity") >= least).hint("merge"), "cited").select("ref_id", "similarity", "doi")
+
     index = known.select("known", "doi", F.explode(F.array_distinct(_grams("known", q))).alias("gram"))
     probes = written(_probes(other, index.groupBy("gram").agg(F.count("*").alias("n")), q, unmatched, postings), "probes")
     near = probes.select("cited", "gram").join(index, "gram").select("cited", "known", "doi").distinct()

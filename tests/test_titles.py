@@ -133,3 +133,31 @@ def test_blocks_grow_so_that_what_meets_does_not_grow_faster_than_the_titles(mon
     for cited, least in zip(pair["cited"], pair["least"], strict=True):
         best = got[got["cited"] == cited].sort_values(["similarity", "apart", "doi"], ascending=[False, True, True]).iloc[0]
         assert tuple(best[["similarity", "apart", "doi"]]) == titles.best_of_block(cited, codes, known, pair["dois"], least)
+
+
+def test_the_tree_finds_all_that_reach_a_similarity():
+    rng = random.Random(11)
+    for letters in ("abcd é", "ab"):
+        known = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 30, 70, 140]))) for _ in range(60)}, key=len)
+        cited = sorted({t for k in known[:40] if (t := edited(rng, k, rng.randrange(5)))})
+        dois = [f"d{rng.randrange(9)}" for _ in known]
+        codes, tree = titles.Codes(known), titles.Tree(known)
+        for least in (0.96, 0.85, 0.4):
+            got = {c: tuple(found) for c, *found in titles.best_reaching(cited, tree, dict(zip(known, dois, strict=True)), least)}
+            assert got == {c: f for c in cited if (f := titles.best_of_block(c, codes, known, dois, least))}
+
+
+def test_titles_that_begin_alike_are_compared_once(monkeypatch):
+    """What the tree looks at for a title grows with what its records don't share, and not with all their letters."""
+    known = [f"trials of {a} {b} by brand {c} {i}" for i, (a, b, c) in enumerate((a, b, c) for a in ("cold", "hot", "large") for b in ("bolt", "plate", "ring", "gear") for c in range(300))]
+    tree, looked, least = titles.Tree(known), [], titles._LEAST
+    monkeypatch.setattr(titles, "_LEAST", type("Counted", (), {"__getitem__": lambda self, at: (looked.append(len(at)), least[at])[1]})())
+    cited = known[1234].replace("plate by", "bt")
+    who, which, _ = tree.reaching([cited], 0.85)
+    assert known[1234] in {tree.titles[j] for j in which} and sum(looked) < sum(map(len, known)) / 10
+
+
+def test_near_titles_need_no_index_of_all_titles(spark, monkeypatch):
+    refs, works = [(i, f"trials of hot bt brand 7 {i}") for i in range(200)], [(f"10.1/{i}", f"Trials of hot bolt by brand 7 {i}") for i in range(200)]
+    monkeypatch.setattr(titles, "_probes", None)  # the rounds settle all of these
+    assert found(spark, refs, works, 0.0) == brute(refs, works, 0.0)

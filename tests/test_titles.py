@@ -152,7 +152,7 @@ def test_titles_that_begin_alike_are_compared_once(monkeypatch):
     known = [f"trials of {a} {b} by brand {c} {i}" for i, (a, b, c) in enumerate((a, b, c) for a in ("cold", "hot", "large") for b in ("bolt", "plate", "ring", "gear") for c in range(300))]
     tree, looked, least = titles.Tree(known), [], titles._LEAST
     monkeypatch.setattr(titles, "_LEAST", type("Counted", (), {"__getitem__": lambda self, at: (looked.append(len(at)), least[at])[1]})())
-    cited = known[1234].replace("plate by", "bt")
+    cited = known[1234].replace("bolt by", "bt")
     who, which, _ = tree.reaching([cited], 0.85)
     assert known[1234] in {tree.titles[j] for j in which} and sum(looked) < sum(map(len, known)) / 10
 
